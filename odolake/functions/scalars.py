@@ -46,7 +46,7 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def clean_tags(tags: Column) -> Column:
-    trimmed = F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.trim)
+    trimmed = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.trim(t))
     return F.array_distinct(F.filter(trimmed, lambda t: t != ""))
 
 

@@ -82,10 +82,13 @@ def _member_count(members: DataFrame) -> DataFrame:
 
 
 def _roll_up(per_dataset: DataFrame, members: DataFrame, cell: Seq[str], key: str) -> DataFrame:
-    """Pooled counts and the mean of the members' percents; a member without a cell counts as zero."""
+    """Pooled counts and the mean of the members' percents; a member without a cell counts as zero.
+
+    The rounded percents are added as decimals, so the result does not depend on the order of the merge.
+    """
     joined = per_dataset.join(members.select("cohort", key), key)
     cells = joined.groupBy("cohort", *cell).agg(
-        F.sum("count").alias("count"), F.sum("percent").alias("__percents"))
+        F.sum("count").alias("count"), F.sum(F.col("percent").cast("decimal(18,6)")).cast("double").alias("__percents"))
     cells = lookup(cells, _member_count(members), ["cohort"])
     return cells.withColumn("mean_percent", F.round(F.col("__percents") / F.col("__members"), 6)).drop(
         "__percents", "__members")

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixed_values import DEGENERATE_MEAN
 from ..functions.scalars import category, finite, ratio
@@ -130,7 +131,7 @@ def diff_stats(df: DataFrame, columns: Seq[str], keys: Seq[str]) -> DataFrame:
     return means.join(quantiles(long, by, "value", DIFF_PERCENTS, "q", in_memory=False), by, "left")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ks_of_quantiles(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Largest gap of two distributions given by their 1..99 % quantiles, one row per comparison."""
     probs = np.arange(1, 100) / 100

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence as Seq
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import and_
 
@@ -15,10 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import CLUSTER_COLUMN_NAME, CLUSTER_RESTARTS, CLUSTER_SEED
-from ..limits import CLUSTER_FIT_ROWS, PCA_SIGNALS, require
+from ..limits import CLUSTER_FIT_ROWS, PCA_SIGNALS, conf_int, require
 from .charts import pooled
 from .filters import apply_filters
-from .sampling import every_stride, group_sample
+from .sampling import group_sample
 from .schema import require_numeric
 
 
@@ -30,15 +31,16 @@ def _complete(df: DataFrame, columns: Seq[str]) -> DataFrame:
     return df.filter(_is_complete(columns))
 
 
-def standard_columns(df: DataFrame, columns: Seq[str]) -> tuple[DataFrame, list[dict]]:
-    """Adds z_i = (value - mean) / population deviation; a constant column becomes 0. One scan, one row back."""
+def standard_scale(df: DataFrame, columns: Seq[str]) -> tuple[list[dict], int]:
+    """Mean and population deviation per column (1 for a constant one) and the row count. One scan, one row back."""
     row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(columns)],
-                 *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{i}") for i, c in enumerate(columns)]).first()
-    scale = [{"mean": row[f"m_{i}"] or 0.0, "std": row[f"s_{i}"] or 1.0} for i in range(len(columns))]
-    return scaled(df, columns, scale), scale
+                 *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{i}") for i, c in enumerate(columns)],
+                 F.count(F.lit(1)).alias("n")).first()
+    return [{"mean": row[f"m_{i}"] or 0.0, "std": row[f"s_{i}"] or 1.0} for i in range(len(columns))], row["n"]
 
 
 def scaled(df: DataFrame, columns: Seq[str], scale: list[dict]) -> DataFrame:
+    """Adds z_i = (value - mean) / deviation."""
     return df.select("*", *[((F.col(c).cast("double") - F.lit(s["mean"])) / F.lit(s["std"])).alias(f"z_{i}")
                             for i, (c, s) in enumerate(zip(columns, scale))])
 
@@ -49,14 +51,22 @@ def _assemble(df: DataFrame, n: int) -> DataFrame:
 
 def fit_clusters(complete: DataFrame, features: Seq[str], k: int, order: Seq[str],
                  fit_rows: int = CLUSTER_FIT_ROWS) -> tuple[KMeansModel, list[dict]]:
-    """Best of four seeded starts on at most `fit_rows` evenly spaced complete rows, scaled over all of them."""
-    _, scale = standard_columns(complete, features)
-    sample = every_stride(complete.select(F.lit(0).alias("__all"), *dict.fromkeys([*order, *features])),
-                          ["__all"], order, fit_rows)
-    ready = _assemble(scaled(sample, features, scale), len(features)).select("features")
-    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)  # at most fit_rows rows, read by every iteration
+    """Best of four seeded starts on about `fit_rows` complete rows, scaled over all of them.
+
+    All rows are used up to `fit_rows`; beyond it every n-th by a hash of the row key, a narrow filter that
+    neither sorts nor shuffles the table.
+    """
+    scale, rows = standard_scale(complete, features)
+    stride = max(1, -(-rows // fit_rows))
+    sample = complete if stride == 1 else complete.filter(F.pmod(F.xxhash64(*order), F.lit(stride)) == 0)
+    ready = _assemble(scaled(sample.select(*features), features, scale), len(features)).select("features")
+    parts = max(1, min(conf_int(complete.sparkSession, "spark.sql.shuffle.partitions", 200), fit_rows // 10_000))
+    ready = ready.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)  # bounded, read by every iteration
     try:
-        fits = [KMeans(k=k, seed=CLUSTER_SEED + i, maxIter=50).fit(ready) for i in range(CLUSTER_RESTARTS)]
+        ready.count()
+        with ThreadPoolExecutor(CLUSTER_RESTARTS) as pool:  # the starts are independent jobs
+            fits = list(pool.map(lambda i: KMeans(k=k, seed=CLUSTER_SEED + i, maxIter=30).fit(ready),
+                                 range(CLUSTER_RESTARTS)))
         return min(fits, key=lambda m: m.summary.trainingCost), scale
     finally:
         ready.unpersist()
@@ -110,8 +120,8 @@ def cohort_pca(df: DataFrame, members: DataFrame, columns: Seq[str], filters: li
     rows = apply_filters(pooled(df, named, [*columns, tie, *[f["column"] for f in filters or []]], key), filters)
     sample = group_sample(_complete(rows, columns), ["label"], [key, tie]).persist(StorageLevel.MEMORY_AND_DISK)
     require(len(sample.take(3)) >= 3, "too few complete rows for principal components")
-    z, _ = standard_columns(sample, columns)
-    ready = _assemble(z, len(columns))
+    scale, _ = standard_scale(sample, columns)
+    ready = _assemble(scaled(sample, columns, scale), len(columns))
     model = PCA(k=2, inputCol="features", outputCol="pc").fit(ready)
     axes = model.pc.toArray()  # columns x 2, a model parameter
     signs = [1.0 if axes[abs(axes[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]

@@ -57,7 +57,8 @@ def gps_pairs(catalog: DataFrame) -> DataFrame:
     seconds = F.when(F.col("start").isNotNull(), F.transform(offsets, lambda o: F.struct(
         F.lit(TIMESTAMP).alias("kind"), (F.col("start") + o).cast("string").alias("k"), F.abs(o).alias("gap"))))
     by_name = F.array(F.struct(F.lit(NAME).alias("kind"), F.col("base").alias("k"), F.lit(0).alias("gap")))
-    asked = F.concat(by_name, F.coalesce(seconds, F.filter(by_name, lambda _: F.lit(False))))
+    entry = "array<struct<kind:int,k:string,gap:int>>"
+    asked = F.concat(by_name.cast(entry), F.coalesce(seconds.cast(entry), F.array().cast(entry)))
     probes = signals.select("dataset_id", F.explode(wanted_slots).alias("slot"), asked.alias("a")).select(
         "dataset_id", "slot", F.explode("a").alias("a")).select("dataset_id", "slot", "a.kind", "a.k", "a.gap")
     near = probes.join(shelf, ["kind", "k", "slot"]).filter(F.col("place.id") != F.col("dataset_id")).select(

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixed_values import DEFAULT_BAND
 from ..functions.scalars import epoch_seconds, ratio
@@ -24,7 +25,7 @@ from .quantiles import quantiles
 from .schema import dtype_of, require_numeric, require_orderable
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def segment_power(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """One-sided power density of one segment: mean removed, periodic Hann window, scaled by the sampling rate."""
     for segments, rates in batches:
@@ -39,7 +40,7 @@ def segment_power(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
         yield pd.Series(out)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def on_grid(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """A recording's density interpolated on the common grid 0..limit."""
     for densities, rates, limits in batches:

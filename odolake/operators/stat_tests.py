@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixed_values import BOOTSTRAP_ROUNDS, BOOTSTRAP_SEED
 from ..functions.distributions import rank_sum_two_sided, student_two_sided
@@ -77,7 +78,7 @@ def rank_statistics(pairs: DataFrame) -> DataFrame:
     return sums.select(*BY, u.alias("u"), "tie_term", (ratio(2 * u, cells) - 1).alias("cliffs_delta"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def welch_p(n1: pd.Series, m1: pd.Series, v1: pd.Series, n2: pd.Series, m2: pd.Series, v2: pd.Series) -> pd.Series:
     def p(n_l, mean_l, var_l, n_r, mean_r, var_r):
         if n_l < 2 or n_r < 2 or not (var_l > 0 or var_r > 0):
@@ -89,7 +90,7 @@ def welch_p(n1: pd.Series, m1: pd.Series, v1: pd.Series, n2: pd.Series, m2: pd.S
     return pd.Series([p(*row) for row in zip(n1, m1, v1, n2, m2, v2)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rank_sum_p(u: pd.Series, n_right: pd.Series, n_left: pd.Series, tie_term: pd.Series) -> pd.Series:
     def p(u_, r, left, ties):
         return rank_sum_two_sided(u_, int(r), int(left), ties) if r >= 2 and left >= 2 else None

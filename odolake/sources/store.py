@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..errors import RequestError
 from ..functions.scalars import clean_tags
 from ..limits import require
+from ..operators.catalog import distinct_tags, edit_tags, filter_by_tags, newest_first, set_tags
 from ..operators.frames import lookup
 from ..operators.schema import coordinate_columns, has_other_signals, kind_of
 from .readers import extension, read_recording, stitch, union_by_name
@@ -66,7 +67,7 @@ class RecordingStore:
         return newest.select("r.*").filter(~F.col("deleted"))
 
     def list_datasets(self) -> DataFrame:
-        return self.catalog().orderBy(F.desc("created_at"), "dataset_id")
+        return newest_first(self.catalog())
 
     def get(self, dataset_id: str):
         row = self.catalog().filter(F.col("dataset_id") == dataset_id).first()
@@ -176,17 +177,16 @@ class RecordingStore:
     def update_tags(self, dataset_id: str, tags: Seq[str]) -> None:
         self.get(dataset_id)
         row = self.catalog().filter(F.col("dataset_id") == dataset_id)
-        self._append(row.withColumn("tags", clean_tags(_words(tags))))
+        self._append(set_tags(row, tags))
 
     def bulk_update_tags(self, dataset_ids: Seq[str], add: Seq[str] = (), remove: Seq[str] = ()) -> int:
         """Remove tags, then append the missing ones, in one pass over the catalog."""
         rows = self.catalog().filter(F.col("dataset_id").isin(list(dataset_ids)))
-        tags = F.array_union(F.array_except("tags", clean_tags(_words(remove))), clean_tags(_words(add)))
-        self._append(rows.withColumn("tags", tags))
+        self._append(edit_tags(rows, add, remove))
         return len(list(dataset_ids))
 
     def all_tags(self) -> DataFrame:
-        return self.catalog().select(F.explode("tags").alias("tag")).distinct().orderBy("tag")
+        return distinct_tags(self.catalog())
 
     def with_any_tag(self, tags: Seq[str]) -> DataFrame:
         """Catalog rows with any of the tags; all rows when none are given."""
@@ -250,10 +250,3 @@ class RecordingStore:
     def delete_alias(self, alias_id: str) -> None:
         self._remove(f"{self.root}/aliases/id={alias_id}")
 
-
-def _words(words: Seq[str]):
-    return F.array(*[F.lit(str(w)) for w in words]).cast("array<string>")
-
-
-def filter_by_tags(catalog: DataFrame, tags: Seq[str]) -> DataFrame:
-    return catalog.filter(F.arrays_overlap("tags", _words(tags))) if tags else catalog
