@@ -68,19 +68,18 @@ def recording_start(name: Column) -> Column:
     """First valid start time written in a file name: the long form before the short form."""
     stem = F.regexp_replace(name, FILE_EXTENSION, "")
 
-    def first_valid(pattern: str, prefix: str) -> Column:
-        pieces = [F.regexp_extract_all(stem, F.lit(pattern), F.lit(i)) for i in range(1, 7)]
-
-        def build(parts: Column) -> Column:
-            numbers = [parts[str(i)].cast("int") for i in range(6)]
-            if prefix:
-                numbers[0] = F.concat(F.lit(prefix), parts["0"]).cast("int")
-            ok = numbers[5] < 60
-            return F.when(ok, F.try_make_timestamp_ntz(*numbers[:5], numbers[5].cast("decimal(16,6)")))
-
-        zipped = F.transform(
-            F.arrays_zip(*pieces), lambda z: F.struct(*[z[str(i)].alias(str(i)) for i in range(6)]))
-        stamps = F.filter(F.transform(zipped, build), lambda s: s.isNotNull())
+    def first_valid(pattern: str, century: str) -> Column:
+        # the separators hold no digits, so a match is its digits: yyyymmddhhmmss, without the century in the short form
+        digits = F.transform(F.regexp_extract_all(stem, F.lit(pattern), F.lit(0)),
+                             lambda m: F.concat(F.lit(century), F.regexp_replace(m, r"\D", "")))
+
+        def build(d: Column) -> Column:
+            parts = [F.substr(d, F.lit(at), F.lit(2)).cast("int") for at in (5, 7, 9, 11, 13)]
+            stamp = F.try_make_timestamp_ntz(
+                F.substr(d, F.lit(1), F.lit(4)).cast("int"), *parts[:4], parts[4].cast("decimal(16,6)"))
+            return F.when(parts[4] < 60, stamp)
+
+        stamps = F.filter(F.transform(digits, build), lambda s: s.isNotNull())
         return F.get(stamps, F.lit(0))
 
     return F.coalesce(first_valid(START_LONG, ""), first_valid(START_SHORT, "20"))

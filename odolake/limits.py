@@ -37,9 +37,13 @@ START_TOLERANCE_SECONDS = 2
 # A group of at most this many rows is worked on by one window task; larger ones are split into range chunks.
 GROUP_ROWS_CONF = "spark.odolake.maxGroupRows"
 GROUP_ROWS_DEFAULT = 2_000_000
-# An exact in-memory percentile is used up to this many distinct values per group; beyond it ranks are sorted.
+# An exact in-memory percentile is used up to this many distinct values per group, and up to this many in all
+# groups one task may hold at a time; beyond it ranks are sorted.
 DISTINCT_CONF = "spark.odolake.maxGroupDistinct"
-DISTINCT_DEFAULT = 200_000
+DISTINCT_DEFAULT = 1_000_000
+TASK_DISTINCT_CONF = "spark.odolake.maxTaskDistinct"
+TASK_DISTINCT_DEFAULT = 8_000_000
+TASK_GROUPS = 128  # groups an object aggregation keeps before it sorts instead
 # A lookup table is broadcast only up to this many rows.
 BROADCAST_CONF = "spark.odolake.maxBroadcastRows"
 BROADCAST_DEFAULT = 200_000

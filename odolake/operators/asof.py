@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..limits import ALIGN_MEDIAN_SECONDS
+from ..session import materialize
 from .frames import lookup
 from .ordered import Ordered
 from .quantiles import quantiles
@@ -65,8 +66,8 @@ def align(left: DataFrame, right: DataFrame, keys: Seq[str] = ("pair",), *, time
     same = left.select(*keys, pos, F.col(pos).alias("right_pos"))
     if time is None or time not in left.columns or time not in right.columns:
         return same.withColumn("align_mode", F.lit("rowid"))
-    timed = nearest(left, right, keys, time=time, pos=pos)
-    modes = choose_alignment(timed, keys)
+    timed = materialize(nearest(left, right, keys, time=time, pos=pos))  # the sort runs once, not per use
+    modes = materialize(choose_alignment(timed, keys))  # one row per pair
     by_time = lookup(timed, modes.filter(F.col("align_mode") == "time").select(*keys, "align_mode"), keys)
     agreeing = modes.filter(F.col("align_mode") == "time").select(*keys)
     others = left.select(*keys, pos).join(agreeing, list(keys), "left_anti")

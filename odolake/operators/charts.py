@@ -20,6 +20,7 @@ from ..limits import (
     clamp_points,
     require,
 )
+from ..session import materialize
 from .bins import bin_grid, bin_of, density, percent_within, top_labels, value_range
 from .compare import guard_cardinality
 from .filters import apply_filters
@@ -39,6 +40,11 @@ def first_colors(rows: DataFrame, keys: Seq[str], color: str = "color") -> DataF
     return top_rows(names, keys, [F.col(color).asc_nulls_last()], COLOR_GROUPS, "color_rank")
 
 
+def _on_axis(cells: DataFrame, axis: DataFrame, axis_keys: Seq[str]) -> DataFrame:
+    """Cells whose category is on the axis; an axis shared by all series has at most 40 rows."""
+    return cells.join(axis if axis_keys else F.broadcast(axis), [*axis_keys, "category"])
+
+
 def _aggregate(kind: str, y: str | None) -> Column:
     if kind in ("count", "share"):
         return F.count(F.lit(1)).cast("double")
@@ -67,6 +73,7 @@ def bar(df: DataFrame, x: str, y: str | None = None, color: str | None = None, a
         cells = cells.select(*group, F.get("q", F.lit(0)).alias("value"), "n")
     else:
         cells = rows.groupBy(*group).agg(_aggregate(agg, y).alias("value"), F.count(F.lit(1)).alias("n"))
+    cells = materialize(cells)  # one row per cell: read for shares, the axis and the colours
     if agg == "share":
         whole = cells.groupBy(*keys, "color").agg(F.sum("n").alias("__total"))
         cells = join_on(cells, whole, [*keys, "color"], null_keys=["color"])
@@ -74,7 +81,7 @@ def bar(df: DataFrame, x: str, y: str | None = None, color: str | None = None, a
     axis_keys = [] if shared_axis else list(keys)
     axis = top_labels(cells.groupBy(*axis_keys, "category").agg(F.sum("n").alias("total")), CATEGORY_LABELS,
                       "category", keys=axis_keys).drop("total")
-    shown = lookup(cells, axis, [*axis_keys, "category"])
+    shown = _on_axis(cells, axis, axis_keys)
     if color:
         shown = join_on(shown, first_colors(cells, keys), [*keys, "color"], null_keys=["color"]).drop("color_rank")
     return shown.select(*keys, "color", "category", "axis", finite(F.col("value")).alias("value"), "n")
@@ -87,13 +94,12 @@ def box(df: DataFrame, x: str, y: str, color: str | None = None, filters: list[d
     require_numeric(df, y)
     rows = apply_filters(df, filters).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     rows = rows.select(*keys, _label(df, x).alias("category"), _label(df, color).alias("color"), F.col(y).alias("__y"))
-    paired = rows.select(*keys, F.struct("category", "color").alias("group"))
-    guard_cardinality(paired, keys, "group", BOX_CARDINALITY if shared_axis else BOX_COLOR_CARDINALITY)
-    stats = box_stats(rows, [*keys, "category", "color"], "__y", null_keys=["color"]).drop("min", "max")
+    stats = materialize(box_stats(rows, [*keys, "category", "color"], "__y", null_keys=["color"]).drop("min", "max"))
+    guard_cardinality(stats, keys, BOX_CARDINALITY if shared_axis else BOX_COLOR_CARDINALITY)
     axis_keys = [] if shared_axis else list(keys)
     axis = top_labels(stats.groupBy(*axis_keys, "category").agg(F.sum("count").alias("total")), CATEGORY_LABELS,
                       "category", keys=axis_keys).drop("total")
-    shown = lookup(stats, axis, [*axis_keys, "category"])
+    shown = _on_axis(stats, axis, axis_keys)
     if color:
         shown = join_on(shown, first_colors(stats, keys), [*keys, "color"], null_keys=["color"]).drop("color_rank")
     return shown
@@ -108,6 +114,7 @@ def histogram_by_color(df: DataFrame, x: str, color: str | None = None, bins: in
     if kind_of(dtype_of(df, x)) != "numeric":
         cells = rows.groupBy(_label(df, x).alias("label"), _label(df, color).alias("color")).agg(
             F.count(F.lit(1)).alias("count"))
+        cells = materialize(cells)
         axis = top_labels(cells.groupBy("label").agg(F.sum("count").alias("total")), CATEGORY_LABELS,
                           numeric_order=None).drop("total")
         whole = cells.groupBy("color").agg(F.sum("count").alias("__n"))
@@ -121,7 +128,7 @@ def histogram_by_color(df: DataFrame, x: str, color: str | None = None, bins: in
     present = rows.filter(F.col(x).isNotNull()).select(x, _label(df, color).alias("color"))
     ranges = value_range(present, [x], [n])
     binned = present.crossJoin(F.broadcast(ranges)).groupBy(bin_of(x, 0, n).alias("bin"), "color")
-    cells = binned.agg(F.count(F.lit(1)).alias("count"))
+    cells = materialize(binned.agg(F.count(F.lit(1)).alias("count")))
     colors = first_colors(cells, ()).drop("color_rank")
     grid = colors.crossJoin(F.broadcast(bin_grid(ranges, n)))  # at most 8 x 200
     filled = join_on(grid, cells, ["color", "bin"], "left", null_keys=["color"])
@@ -186,6 +193,7 @@ def group_histogram(df, members, x, bins=40, filters=None) -> DataFrame:
     series = members.select("label").distinct()
     if kind_of(dtype_of(df, x)) != "numeric":
         cells = rows.groupBy("label", _label(df, x).alias("category")).agg(F.count(F.lit(1)).alias("count"))
+        cells = materialize(cells)
         axis = top_labels(cells.groupBy("category").agg(F.sum("count").alias("total")), CATEGORY_LABELS,
                           "category").drop("total")
         sizes = cells.groupBy("label").agg(F.sum("count").alias("__n"))

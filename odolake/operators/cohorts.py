@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence as Seq
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import COHORT_METRICS
 from ..functions.scalars import clean_tags, ratio
 from ..limits import BINS_2D_MAX, MULTI_SIGNALS, require
-from .bins import density
+from .bins import density, percent_within
 from .compare import compare_histogram, compare_summary
 from .filters import apply_filters
 from .frames import lookup, unpivot_rows
@@ -89,14 +89,14 @@ def _roll_up(per_dataset: DataFrame, members: DataFrame, cell: Seq[str], key: st
     joined = per_dataset.join(members.select("cohort", key), key)
     cells = joined.groupBy("cohort", *cell).agg(
         F.sum("count").alias("count"), F.sum(F.col("percent").cast("decimal(18,6)")).cast("double").alias("__percents"))
-    cells = lookup(cells, _member_count(members), ["cohort"])
+    cells = cells.join(F.broadcast(_member_count(members)), "cohort")  # one row per cohort
     return cells.withColumn("mean_percent", F.round(F.col("__percents") / F.col("__members"), 6)).drop(
         "__percents", "__members")
 
 
 def _pooled_percent(cells: DataFrame) -> DataFrame:
-    total = cells.groupBy("cohort").agg(F.sum("count").alias("total_points"))
-    out = lookup(cells, total, ["cohort"])
+    whole = Window.partitionBy("cohort")  # at most one row per bin or label
+    out = cells.withColumn("total_points", F.sum("count").over(whole))
     share = F.coalesce(F.round(ratio(F.col("count") * 100, F.col("total_points")), 6), F.lit(0.0))
     return out.withColumn("pooled_percent", share)
 
@@ -117,8 +117,7 @@ def cohort_histogram2d(df: DataFrame, members: DataFrame, x: str, y: str, bins_x
     """Sparse 2-D densities of each cohort over shared edges."""
     rows = only_members(df, members, key)
     cells = density(rows, x, y, bins_x, bins_y, filters, keys=[key], clamp_low=True, upper=BINS_2D_MAX)
-    sizes = cells.groupBy(key).agg(F.sum("count").alias("__n"))
-    shares = lookup(cells, sizes, [key]).withColumn("percent", F.round(F.col("count") * 100 / F.col("__n"), 6))
+    shares = percent_within(cells, [key], "count", "percent", 6)  # at most 100 x 100 cells per recording
     return _pooled_percent(_roll_up(shares, members, ["bin_x", "bin_y", "lower_x", "lower_y"], key))
 
 
@@ -150,9 +149,12 @@ def representative_values(df: DataFrame, members: DataFrame, columns: Seq[str],
     return per_dataset.join(members.select("cohort", "position", key), key)
 
 
-def describe_values(values: DataFrame, keys: Seq[str], value: str = "value") -> DataFrame:
-    """n, mean, std, min, q25, median, q75, max of a sample per key."""
-    stats = spread_quartiles(grouped_stats(values, keys, value), ("q25", "median", "q75"))
+def describe_values(values: DataFrame, keys: Seq[str], value: str = "value", *, p90: bool = False) -> DataFrame:
+    """n, mean, std, min, q25, median, q75, max (and p90) of a sample per key."""
+    probs, names = [0.25, 0.5, 0.75], ["q25", "median", "q75"]
+    if p90:
+        probs, names = [*probs, 0.9], [*names, "p90"]
+    stats = spread_quartiles(grouped_stats(values, keys, value, probs), names)
     return stats.withColumnsRenamed({"count": "n", "avg": "mean"})
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..fixed_values import DEGENERATE_MEAN
 from ..functions.scalars import category, finite, ratio
 from ..limits import BOX_CARDINALITY, BOX_GROUPS, CATEGORY_LABELS, DIFF_SIGNALS, clamp_bins, require
+from ..session import materialize
 from .bins import bin_grid, bin_of, label_counts, percent_within, top_labels, value_range
 from .filters import apply_filters
 from .frames import lookup, unpivot_rows
@@ -45,7 +46,7 @@ def compare_histogram(df: DataFrame, column: str, bins: int = 40, filters: list[
 
 
 def _compare_labels(rows: DataFrame, column: str, keys: Seq[str]) -> DataFrame:
-    counts = label_counts(rows, column, keys)
+    counts = materialize(label_counts(rows, column, keys))  # read for sizes, labels and cells
     sizes = counts.groupBy(*keys).agg(F.sum("count").alias("__n"))
     pooled = counts.groupBy("label").agg(F.sum("count").alias("total"))
     labels = top_labels(pooled, CATEGORY_LABELS, numeric_order="count").drop("total")
@@ -66,19 +67,17 @@ def compare_group_stats(df: DataFrame, column: str, group_by: str, filters: list
     label = category(F.col(group_by), dtype_of(df, group_by))
     rows = apply_filters(df, filters).filter(F.col(column).isNotNull() & F.col(group_by).isNotNull())
     rows = rows.select(*keys, label.alias("group"), column)
-    guard_cardinality(rows.select(*keys, "group"), keys, "group", BOX_CARDINALITY)
-    stats = box_stats(rows, [*keys, "group"], column)
+    stats = materialize(box_stats(rows, [*keys, "group"], column))  # one row per recording and group value
+    guard_cardinality(stats, keys, BOX_CARDINALITY)
     pooled = stats.groupBy("group").agg(F.sum("count").alias("total"))
     axis = top_labels(pooled, BOX_GROUPS, "group").drop("total")
     return stats.join(F.broadcast(axis), "group")  # at most 30 rows
 
 
-def guard_cardinality(rows: DataFrame, keys: Seq[str], column: str, limit: int) -> None:
-    """Refuse a grouping column with more than `limit` values in any group of `keys`."""
-    values = rows.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
-    per_key = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    worst = per_key.agg(F.max("n")).first()[0] or 0
-    require(worst <= limit, f"too many values in {column}: {worst}; choose a discrete column")
+def guard_cardinality(cells: DataFrame, keys: Seq[str], limit: int) -> None:
+    """Refuse a grouping with more than `limit` cells in any group of `keys`; `cells` has one row per cell."""
+    worst = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    require(worst <= limit, f"too many groups: {worst}; choose a discrete column")
 
 
 def compare_summary(df: DataFrame, column: str, filters: list[dict] | None = None, *,
@@ -159,7 +158,7 @@ def compare_diff(df: DataFrame, baseline: str, filters: list[dict] | None = None
     signals = [c for c in (columns or numeric_columns(df)) if c != key][:DIFF_SIGNALS]
     require(bool(signals), "no common numeric columns")
     rows = apply_filters(df, filters).select(key, *signals)
-    stats = diff_stats(rows, signals, [key])
+    stats = materialize(diff_stats(rows, signals, [key]))  # one row per recording and signal
     base = stats.filter(F.col(key) == baseline).select(
         "signal", F.col("avg").alias("base_avg"), F.col("q").alias("base_q"))
     others = stats.filter(F.col(key) != baseline)
@@ -168,6 +167,7 @@ def compare_diff(df: DataFrame, baseline: str, filters: list[dict] | None = None
                     F.round((F.col("avg") - F.col("base_avg")) * 100 / F.abs("base_avg"), 2))
     scored = pairs.select("signal", key, finite(F.col("avg")).alias("avg"), finite(F.col("base_avg")).alias("base_avg"),
                           change.alias("delta_pct"), ks_of_quantiles("base_q", "q").alias("ks"))
+    scored = materialize(scored)
     best = scored.groupBy("signal").agg(F.max("ks").alias("max_ks"))
     order = F.array(*[F.lit(s) for s in signals])
     ranked = best.withColumn("rank", F.row_number().over(
@@ -185,6 +185,7 @@ def exact_ks(df: DataFrame, column: str, baseline: str, filters: list[dict] | No
     values = apply_filters(df, filters).filter(F.col(column).isNotNull()).select(
         key, F.col(column).cast("double").alias("v"))
     counts = values.groupBy(key, "v").agg(F.count(F.lit(1)).alias("c"))
+    counts = materialize(counts)  # distinct values with counts, read by each step below
     sizes = counts.groupBy(key).agg(F.sum("c").alias("n"))
     others = counts.filter(F.col(key) != baseline)
     # the baseline's values are laid beside every other recording, so each comparison is one ordered group

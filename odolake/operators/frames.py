@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..limits import BROADCAST_CONF, BROADCAST_DEFAULT, conf_int, require
+from ..session import materialize
 
 
 def require_columns(df: DataFrame, *names: str | None) -> None:
@@ -32,21 +33,16 @@ def join_on(left: DataFrame, right: DataFrame, keys: Seq[str], how: str = "inner
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def is_small(df: DataFrame) -> bool:
-    """True when `df` has at most the configured number of rows; reads no more rows than that."""
-    bound = conf_int(df.sparkSession, BROADCAST_CONF, BROADCAST_DEFAULT)
-    return df.limit(bound + 1).count() <= bound
-
-
 def lookup(left: DataFrame, table: DataFrame, keys: Seq[str], how: str = "inner") -> DataFrame:
     """Join a fact table with a per-key table.
 
-    The per-key side is broadcast only when its counted size is within the bound. Otherwise it is an
-    ordinary equi-join, whose hot partitions adaptive execution splits.
+    The per-key side is computed once into a table, counted from its footers, and broadcast only within the
+    bound. Otherwise it is an ordinary equi-join, whose hot partitions adaptive execution splits.
     """
     if not keys:
-        return left.crossJoin(F.broadcast(table))
-    if is_small(table):
+        return left.crossJoin(F.broadcast(table))  # a one-row aggregate
+    table = materialize(table)
+    if table.count() <= conf_int(table.sparkSession, BROADCAST_CONF, BROADCAST_DEFAULT):
         table = F.broadcast(table)
     return left.join(table, list(keys), how)
 

@@ -60,12 +60,12 @@ def fit_clusters(complete: DataFrame, features: Seq[str], k: int, order: Seq[str
     stride = max(1, -(-rows // fit_rows))
     sample = complete if stride == 1 else complete.filter(F.pmod(F.xxhash64(*order), F.lit(stride)) == 0)
     ready = _assemble(scaled(sample.select(*features), features, scale), len(features)).select("features")
-    parts = max(1, min(conf_int(complete.sparkSession, "spark.sql.shuffle.partitions", 200), fit_rows // 10_000))
+    parts = max(1, min(conf_int(complete.sparkSession, "spark.sql.shuffle.partitions", 200), fit_rows // 25_000))
     ready = ready.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)  # bounded, read by every iteration
     try:
         ready.count()
         with ThreadPoolExecutor(CLUSTER_RESTARTS) as pool:  # the starts are independent jobs
-            fits = list(pool.map(lambda i: KMeans(k=k, seed=CLUSTER_SEED + i, maxIter=30).fit(ready),
+            fits = list(pool.map(lambda i: KMeans(k=k, seed=CLUSTER_SEED + i, maxIter=20).fit(ready),
                                  range(CLUSTER_RESTARTS)))
         return min(fits, key=lambda m: m.summary.trainingCost), scale
     finally:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import base_name, normal_tags, recording_start, tag_base
 from ..limits import START_TOLERANCE_SECONDS
+from ..session import materialize
 from .sampling import top_rows
 
 NAME, TIMESTAMP, TAG, SELF = 0, 1, 2, 3
@@ -40,7 +41,7 @@ def gps_pairs(catalog: DataFrame) -> DataFrame:
     Within name and timestamp, a tag link (X beside X_GPS) comes first, then the smaller time difference, then
     the newest log. A tag alone pairs only when it leads to exactly one position log.
     """
-    keyed = pairing_keys(catalog)
+    keyed = materialize(pairing_keys(catalog))  # the names are parsed once
     signals = keyed.filter(~F.col("is_gps") | F.col("extra_signals"))
     gps = keyed.filter("is_gps")
 

@@ -12,7 +12,7 @@ from ..functions.scalars import category, finite, ratio
 from ..limits import CORRELATION_COLUMNS, require
 from .filters import apply_filters
 from .frames import join_on
-from .quantiles import fits_in_memory, quantile_column, quantiles
+from .quantiles import fits_in_memory, fitting_columns, quantile_column, quantiles
 from .schema import kind_of, numeric_columns, require_numeric, signal_fields
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -64,8 +64,7 @@ def column_profile(df: DataFrame, *, keys: Seq[str] = (), exact: bool = False) -
     fields = [f for f in signal_fields(df) if f.name not in keys]
     wide: list[Column] = [F.count(F.lit(1)).alias("__rows")]
     numeric = [f.name for f in fields if kind_of(f.dataType) == "numeric"]
-    if exact and numeric:
-        exact_fit = fits_in_memory(df, keys, numeric)
+    fitting = fitting_columns(df, keys, numeric) if exact and numeric else []
     rows = []
     for i, field in enumerate(fields):
         column = F.col(f"`{field.name}`")
@@ -78,7 +77,7 @@ def column_profile(df: DataFrame, *, keys: Seq[str] = (), exact: bool = False) -
             wide += [F.avg(value).alias(f"avg_{i}"), F.stddev_samp(value).alias(f"std_{i}")]
             if not exact:
                 wide.append(F.percentile_approx(value, list(QUARTILES), 10000).alias(f"q_{i}"))
-            elif exact_fit:
+            elif field.name in fitting:
                 wide.append(quantile_column(field.name, QUARTILES).alias(f"q_{i}"))
         q = [F.get(f"q_{i}", F.lit(j)) if is_number else F.lit(None).cast("double") for j in range(3)]
         rows.append(F.struct(
@@ -92,9 +91,9 @@ def column_profile(df: DataFrame, *, keys: Seq[str] = (), exact: bool = False) -
             F.col("__rows").alias("count"),
             F.round(ratio((F.col("__rows") - F.col(f"count_{i}")) * 100, F.col("__rows")), 2).alias("null_percentage")))
     out = df.groupBy(*keys).agg(*wide) if keys else df.agg(*wide)
-    if exact and numeric and not exact_fit:
+    if exact:
         for i, field in enumerate(fields):
-            if field.name in numeric:
+            if field.name in numeric and field.name not in fitting:
                 q = quantiles(df, keys, field.name, QUARTILES, f"q_{i}", in_memory=False)
                 out = out.join(q, list(keys), "left") if keys else out.join(q, how="left")
     return out.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")

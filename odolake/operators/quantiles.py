@@ -7,22 +7,35 @@ from collections.abc import Sequence as Seq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..limits import DISTINCT_CONF, DISTINCT_DEFAULT, conf_int
+from ..limits import (
+    DISTINCT_CONF,
+    DISTINCT_DEFAULT,
+    TASK_DISTINCT_CONF,
+    TASK_DISTINCT_DEFAULT,
+    TASK_GROUPS,
+    conf_int,
+)
+from ..session import materialize
 from .frames import join_on
 from .ordered import Ordered
 
 
-def fits_in_memory(df: DataFrame, keys: Seq[str], columns: Seq[str]) -> bool:
-    """True when no group has more distinct values of any column than the bound.
+def fitting_columns(df: DataFrame, keys: Seq[str], columns: Seq[str]) -> list[str]:
+    """Columns whose distinct values per group are few enough for `percentile`, which keeps them in one task.
 
-    `percentile` keeps every distinct value of a group in one task. The estimate is one scan with
-    map-side sketches; a 20 % margin covers its error.
+    One scan with map-side sketches for all columns; a 20 % margin covers their error.
     """
-    bound = conf_int(df.sparkSession, DISTINCT_CONF, DISTINCT_DEFAULT)
-    sketches = [F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(columns)]
-    per_group = df.groupBy(*keys).agg(*sketches)
-    largest = per_group.agg(F.max(F.greatest(*[f"n{i}" for i in range(len(columns))], F.lit(0)))).first()[0] or 0
-    return largest * 1.2 <= bound
+    spark = df.sparkSession
+    per_group = conf_int(spark, DISTINCT_CONF, DISTINCT_DEFAULT)
+    per_task = conf_int(spark, TASK_DISTINCT_CONF, TASK_DISTINCT_DEFAULT)
+    sketches = df.groupBy(*keys).agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(columns)])
+    row = sketches.agg(F.count(F.lit(1)), *[F.max(f"n{i}") for i in range(len(columns))]).first()
+    groups = min(TASK_GROUPS, row[0])
+    return [c for c, n in zip(columns, row[1:]) if (n or 0) * 1.2 <= min(per_group, per_task / max(1, groups))]
+
+
+def fits_in_memory(df: DataFrame, keys: Seq[str], columns: Seq[str]) -> bool:
+    return len(fitting_columns(df, keys, columns)) == len(columns)
 
 
 def quantile_column(column: str, probs: Seq[float]) -> Column:
@@ -47,6 +60,7 @@ def _by_rank(rows: DataFrame, keys: list[str], column: str, probs: list[float],
     if not keys:
         rows = rows.withColumn("__all", F.lit(0))
     counts = rows.groupBy(*group, F.col(column).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    counts = materialize(counts)  # read by the size check, the sizes and the sort
     ranked = Ordered(counts, group, ["__v"]).running_sum({"__hi": F.col("__c")}).df
     sizes = counts.groupBy(*group).agg(F.sum("__c").alias("__n"))
     ranked = join_on(ranked, sizes, group, null_keys=[k for k in null_keys if k in group])

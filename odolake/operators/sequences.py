@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import category, epoch_seconds, ratio
 from ..limits import EVENTS_PER_DATASET, require
+from ..session import materialize
 from .cohorts import describe_values, only_members
 from .filters import apply_filters
-from .frames import lookup, require_columns
+from .frames import require_columns
 from .ordered import Ordered
-from .quantiles import quantiles
 from .sampling import top_rows
 from .schema import dtype_of, require_numeric, require_orderable
 
@@ -71,15 +71,14 @@ def event_summary(df: DataFrame, members: DataFrame, state: str, value: str, ord
     rows = only_members(df, members, key)
     found = events(rows, state, value, order_by, time_column, secondary, filters, key=key, tie=tie)
     pairs = members.select("cohort", key)
-    durations = found.join(pairs, key)
-    stats = describe_values(durations, ["cohort"], "duration")
-    p90 = quantiles(durations, ["cohort"], "duration", [0.9], "__p").select("cohort", F.get("__p", F.lit(0)).alias("p90"))
+    durations = materialize(found.join(pairs, key).select("cohort", "duration", "secondary"))  # one row per event
+    stats = describe_values(durations, ["cohort"], "duration", p90=True)
     counted = durations.groupBy("cohort").agg(
         F.count(F.lit(1)).alias("event_count"), F.avg("secondary").alias("secondary_mean"))
     source = _states(rows, state, order_by, filters, {}, key, tie).groupBy(key).agg(F.count(F.lit(1)).alias("c"))
     sizes = source.join(pairs, key).groupBy("cohort").agg(F.sum("c").alias("source_rows"))
     out = members.select("cohort").distinct().join(sizes, "cohort", "left").join(counted, "cohort", "left")
-    out = out.join(stats, "cohort", "left").join(p90, "cohort", "left")
+    out = out.join(stats, "cohort", "left")
     number = F.coalesce("event_count", F.lit(0))
     return out.withColumn("event_count", number).withColumn("n", F.coalesce("n", F.lit(0))).withColumn(
         "events_per_1k_rows", F.round(ratio(number * 1000, F.col("source_rows")), 3))
@@ -106,7 +105,8 @@ def transition_rates(df: DataFrame, members: DataFrame, state: str, order_by: st
         require_numeric(df, denominator)
     rows = only_members(df, members, key)
     label = F.concat_ws("→", "previous", "state")
-    counts = transitions(rows, state, order_by, filters, key=key, tie=tie).select(key, label.alias("transition"), "count")
+    counts = transitions(rows, state, order_by, filters, key=key, tie=tie)
+    counts = materialize(counts.select(key, label.alias("transition"), "count"))  # read for cells and labels
     extra = {"d": F.col(denominator).cast("double")} if denominator else {}
     source = _states(rows, state, order_by, filters, extra, key, tie)
     span = F.coalesce(F.max("d") - F.min("d"), F.lit(0.0)) if denominator else F.count(F.lit(1)).cast("double")
@@ -121,7 +121,7 @@ def transition_rates(df: DataFrame, members: DataFrame, state: str, order_by: st
     cells = counts.join(sized, key).groupBy("cohort", "transition").agg(
         F.sum("count").alias("count"), F.sum(rate).alias("rates"))
     order = counts.groupBy("transition").agg(F.sum("count").alias("total"))
-    grid = lookup(cohort.crossJoin(order), cells, ["cohort", "transition"], "left")  # one row per result cell
+    grid = order.crossJoin(F.broadcast(cohort)).join(cells, ["cohort", "transition"], "left")  # one row per result cell
     count = F.coalesce("count", F.lit(0))
     return grid.select(
         "cohort", "transition", "total", count.alias("count"), "source_rows",

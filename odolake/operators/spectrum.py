@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..fixed_values import DEFAULT_BAND
 from ..functions.scalars import epoch_seconds, ratio
 from ..limits import SPECTRUM_GRID, SPECTRUM_MIN_ROWS, SPECTRUM_SEGMENT, require
+from ..session import materialize
 from .cohorts import only_members
 from .filters import apply_filters
 from .frames import lookup
@@ -63,7 +64,7 @@ def welch(df: DataFrame, signal: str, order_by: str, filters: list[dict] | None
     rows = rows.select(key, F.col(order_by).alias("__order"), F.col(tie).alias("__tie"), t.alias("t"),
                        F.col(signal).cast("double").alias("v"))
     numbered = Ordered(rows, [key], ["__order", "__tie"]).row_number("rn", "n").lag({"t_prev": "t"}).df
-    numbered = numbered.filter(F.col("n") >= SPECTRUM_MIN_ROWS)
+    numbered = materialize(numbered.filter(F.col("n") >= SPECTRUM_MIN_ROWS).select(key, "rn", "n", "t", "t_prev", "v"))
     steps = numbered.filter(F.col("t_prev").isNotNull()).select(key, (F.col("t") - F.col("t_prev")).alias("dt"))
     step = quantiles(steps, [key], "dt", [0.5], "q").select(key, F.get("q", F.lit(0)).alias("dt"))
     rates = step.filter(F.col("dt") > 0).select(key, (1.0 / F.col("dt")).alias("rate"))

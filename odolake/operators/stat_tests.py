@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..fixed_values import BOOTSTRAP_ROUNDS, BOOTSTRAP_SEED
 from ..functions.distributions import rank_sum_two_sided, student_two_sided
 from ..functions.scalars import ratio
+from ..session import materialize
 from .ordered import Ordered
 
 BLOCK_VALUES = 50_000
@@ -166,7 +167,7 @@ def labels(df: DataFrame) -> DataFrame:
 
 def compare_cohorts(values: DataFrame, key: str = "dataset_id", *, with_bootstrap: bool = True) -> DataFrame:
     """Every test of every cohort against the first one, per signal."""
-    pairs = sides(values, key)
+    pairs = sides(materialize(values), key)  # one row per signal and recording, read by every test
     m = hedges_g(mean_difference(moments(pairs)))
     out = m.join(rank_statistics(pairs), BY).withColumn(
         "t_test_p", welch_p("n_left", "mean_left", "var_left", "n_right", "mean_right", "var_right")).withColumn(

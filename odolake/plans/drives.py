@@ -177,7 +177,7 @@ lg AS (SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS dataset_id, o_orderkey,
    CASE o_orderkey % 5 WHEN 1 THEN 'maker' || CAST(o_custkey % 10 AS VARCHAR) || '_gps' WHEN 3 THEN 'fleet' || CAST(o_custkey % 10 AS VARCHAR) || '_gps'
      WHEN 2 THEN 'fleet' || CAST(o_orderkey % 10 AS VARCHAR) ELSE 'maker' || CAST(o_orderkey % 10 AS VARCHAR) END AS tag FROM orders),
 kk AS (SELECT *, CASE o_orderkey % 5 WHEN 0 THEN regexp_replace(name, '\\.csv$', '') WHEN 1 THEN regexp_replace(name, '_GPS\\.csv$', '') ELSE name END AS base,
-   CASE WHEN o_orderkey % 5 = 2 THEN epoch(strptime(name, '%y%m%d_%H%M%S')) WHEN o_orderkey % 5 = 3 THEN epoch(strptime(name, 'gps_%Y-%m-%d_%H-%M-%S')) END AS start,
+   CASE WHEN o_orderkey % 5 = 2 THEN epoch(strptime('20' || name, '%Y%m%d_%H%M%S')) WHEN o_orderkey % 5 = 3 THEN epoch(strptime(name, 'gps_%Y-%m-%d_%H-%M-%S')) END AS start,
    regexp_replace(tag, '_gps$', '') AS tagbase FROM lg)"""
 
 
