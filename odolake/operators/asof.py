@@ -68,7 +68,7 @@ def align(left: DataFrame, right: DataFrame, keys: Seq[str] = ("pair",), *, time
         return same.withColumn("align_mode", F.lit("rowid"))
     timed = materialize(nearest(left, right, keys, time=time, pos=pos))  # the sort runs once, not per use
     modes = materialize(choose_alignment(timed, keys))  # one row per pair
-    by_time = lookup(timed, modes.filter(F.col("align_mode") == "time").select(*keys, "align_mode"), keys)
+    by_time = lookup(timed, modes.filter(F.col("align_mode") == "time").select(*keys, "align_mode"), keys, written=True)
     agreeing = modes.filter(F.col("align_mode") == "time").select(*keys)
     others = left.select(*keys, pos).join(agreeing, list(keys), "left_anti")
     by_row = others.select(*keys, pos, F.col(pos).alias("right_pos"), F.lit("rowid").alias("align_mode"))
@@ -93,13 +93,15 @@ def resample(df: DataFrame, grid: DataFrame, keys: Seq[str], *, time: str = "t",
     return around.select(*keys, "g", "t", y.alias("y"))
 
 
-def uniform_grid(df: DataFrame, keys: Seq[str], step: DataFrame | float, *, time: str = "t") -> DataFrame:
+def uniform_grid(df: DataFrame, keys: Seq[str], step: DataFrame | float, *, time: str = "t",
+                 written: bool = False) -> DataFrame:
     """(keys, g, t) grid points from the first to the last time in equal steps (at least two points).
 
     `step` is one positive number or a (keys, dt) table. Points are made in blocks, so a long grid is never one array.
     """
     span = df.groupBy(*keys).agg(F.min(time).cast("double").alias("lo"), F.max(time).cast("double").alias("hi"))
-    span = span.withColumn("dt", F.lit(float(step))) if isinstance(step, (int, float)) else lookup(span, step, keys)
+    span = span.withColumn("dt", F.lit(float(step))) if isinstance(step, (int, float)) else lookup(
+        span, step, keys, written=written)
     n = F.greatest(F.lit(2), F.floor((F.col("hi") - F.col("lo")) / F.col("dt") + 0.5) + 1).cast("long")
     blocks = span.select(*keys, "lo", "dt", n.alias("n")).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / GRID_BLOCK))))

@@ -20,7 +20,7 @@ from .filters import apply_filters
 from .frames import lookup, unpivot_rows
 from .ordered import Ordered
 from .profile import box_stats, grouped_stats, spread_quartiles
-from .quantiles import fits_in_memory, quantile_column, quantiles
+from .quantiles import quantiles
 from .schema import dtype_of, kind_of, numeric_columns, require_numeric
 
 DATASET = ("dataset_id",)
@@ -116,18 +116,12 @@ def compare_cdf(df: DataFrame, column: str, filters: list[dict] | None = None, *
 
 
 def diff_stats(df: DataFrame, columns: Seq[str], keys: Seq[str]) -> DataFrame:
-    """(keys, signal, avg, q[99]) for all signals: one wide aggregation, or by rank when groups are large."""
-    if fits_in_memory(df, keys, columns):
-        wide = df.groupBy(*keys).agg(*[F.struct(
-            F.avg(F.col(c).cast("double")).alias("avg"), quantile_column(c, DIFF_PERCENTS).alias("q")).alias(f"s_{i}")
-            for i, c in enumerate(columns)])
-        rows = F.array(*[F.struct(F.lit(c).alias("signal"), F.col(f"s_{i}.avg").alias("avg"),
-                                  F.col(f"s_{i}.q").alias("q")) for i, c in enumerate(columns)])
-        return wide.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
-    long = unpivot_rows(df, keys, columns)
+    """(keys, signal, avg, q[99]): means of all signals in one wide aggregation, curves of all in one ranking."""
+    wide = df.groupBy(*keys).agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(columns)])
+    cells = F.array(*[F.struct(F.lit(c).alias("signal"), F.col(f"m_{i}").alias("avg")) for i, c in enumerate(columns)])
+    means = wide.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
     by = [*keys, "signal"]
-    means = long.groupBy(*by).agg(F.avg("value").alias("avg"))
-    return means.join(quantiles(long, by, "value", DIFF_PERCENTS, "q", in_memory=False), by, "left")
+    return means.join(quantiles(unpivot_rows(df, keys, columns), by, "value", DIFF_PERCENTS, "q"), by, "left")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -33,15 +33,16 @@ def join_on(left: DataFrame, right: DataFrame, keys: Seq[str], how: str = "inner
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def lookup(left: DataFrame, table: DataFrame, keys: Seq[str], how: str = "inner") -> DataFrame:
+def lookup(left: DataFrame, table: DataFrame, keys: Seq[str], how: str = "inner", *,
+           written: bool = False) -> DataFrame:
     """Join a fact table with a per-key table.
 
-    The per-key side is computed once into a table, counted from its footers, and broadcast only within the
-    bound. Otherwise it is an ordinary equi-join, whose hot partitions adaptive execution splits.
+    The per-key side is computed once into a table (unless it is `written` already), counted from its footers,
+    and broadcast only within the bound. Otherwise it is an ordinary equi-join, whose hot partitions adaptive execution splits.
     """
     if not keys:
         return left.crossJoin(F.broadcast(table))  # a one-row aggregate
-    table = materialize(table)
+    table = table if written else materialize(table)
     if table.count() <= conf_int(table.sparkSession, BROADCAST_CONF, BROADCAST_DEFAULT):
         table = F.broadcast(table)
     return left.join(table, list(keys), how)

@@ -38,7 +38,8 @@ class Ordered:
         self.order = list(order)
         if split is None:
             bound = conf_int(df.sparkSession, GROUP_ROWS_CONF, GROUP_ROWS_DEFAULT)
-            split = largest_group(df, self.keys) > bound
+            # the plain count, read from the footers of an unfiltered scan, often settles it
+            split = df.count() > bound and largest_group(df, self.keys) > bound
         self.split = split
         self._written = True
         if split:

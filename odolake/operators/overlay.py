@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import OFFSET_GRID, OFFSET_OVERLAP, OFFSET_SIGNAL_NAME, OFFSET_WEAK_SCORE
 from ..functions.scalars import finite
 from ..limits import require
+from ..session import materialize
 from .asof import resample, uniform_grid
 from .filters import resolvable_filters
 from .frames import lookup
@@ -79,10 +80,11 @@ def best_offset(a: DataFrame, b: DataFrame) -> DataFrame:
     usable = spans[0].join(spans[1], "pair").filter(
         (F.col("a_n") >= 4) & (F.col("b_n") >= 4) & (F.col("a_span") > 0) & (F.col("b_span") > 0))
     steps = usable.select("pair", "a_lo", "b_lo", (F.greatest("a_span", "b_span") / OFFSET_GRID).alias("dt"))
+    steps = materialize(steps)  # one row per pair, used for both grids
     fit = steps
     for name, df in sides.items():
-        grid = uniform_grid(df, ["pair"], steps.select("pair", "dt"))
-        values = resample(lookup(df, steps.select("pair"), ["pair"]), grid, ["pair"])
+        grid = uniform_grid(df, ["pair"], steps.select("pair", "dt"), written=True)
+        values = resample(lookup(df, steps.select("pair"), ["pair"], written=True), grid, ["pair"])
         arrays = values.groupBy("pair").agg(  # at most 601 grid points
             F.transform(F.array_sort(F.collect_list(F.struct("g", "y"))), lambda s: s["y"]).alias(name))
         fit = fit.join(arrays, "pair")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence as Seq
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +18,10 @@ from ..limits import (
     conf_int,
 )
 from ..session import materialize
-from .frames import join_on
 from .ordered import Ordered
 
+CURVE_PROBS = 10  # from more probabilities on, ranks are cheaper than `percentile`
+
 
 def fitting_columns(df: DataFrame, keys: Seq[str], columns: Seq[str]) -> list[str]:
     """Columns whose distinct values per group are few enough for `percentile`, which keeps them in one task.
@@ -28,6 +31,8 @@ def fitting_columns(df: DataFrame, keys: Seq[str], columns: Seq[str]) -> list[st
     spark = df.sparkSession
     per_group = conf_int(spark, DISTINCT_CONF, DISTINCT_DEFAULT)
     per_task = conf_int(spark, TASK_DISTINCT_CONF, TASK_DISTINCT_DEFAULT)
+    if df.count() <= min(per_group, per_task):  # no more rows than values allowed; from the footers of plain scans
+        return list(columns)
     sketches = df.groupBy(*keys).agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(columns)])
     row = sketches.agg(F.count(F.lit(1)), *[F.max(f"n{i}") for i in range(len(columns))]).first()
     groups = min(TASK_GROUPS, row[0])
@@ -44,15 +49,32 @@ def quantile_column(column: str, probs: Seq[float]) -> Column:
 
 def quantiles(df: DataFrame, keys: Seq[str], column: str, probs: Seq[float], name: str = "quantiles", *,
               in_memory: bool | None = None, null_keys: Seq[str] = ()) -> DataFrame:
-    """(keys, name ARRAY<DOUBLE>): one value per probability; groups without values are absent."""
+    """(keys, name ARRAY<DOUBLE>): one value per probability; groups without values are absent.
+
+    A few probabilities of groups that fit a task use `percentile`; its cost grows with the number of
+    probabilities, so whole curves are read from ranks, as are groups that do not fit.
+    """
     rows = df.filter(F.col(column).isNotNull())
     if in_memory is None:
-        in_memory = fits_in_memory(rows, keys, [column])
+        in_memory = len(probs) <= CURVE_PROBS and fits_in_memory(rows, keys, [column])
     if in_memory:
         return rows.groupBy(*keys).agg(quantile_column(column, probs).alias(name))
     return _by_rank(rows, list(keys), column, [float(p) for p in probs], name, null_keys or keys)
 
 
+def _touched(probs: list[float], first: Column, last: Column, gaps: Column) -> tuple[Column, Column]:
+    """Range of probability indexes whose position may fall beside the ranks first..last of n = gaps + 1."""
+    step = (probs[-1] - probs[0]) / max(1, len(probs) - 1)
+    even = len(probs) > 1 and all(abs(p - probs[0] - i * step) < 1e-12 for i, p in enumerate(probs))
+    top = F.lit(len(probs) - 1)
+    if not even:
+        return F.lit(0), top
+    scale = F.greatest(gaps, F.lit(1)) * F.lit(step)
+    low = F.floor((first - 1 - gaps * F.lit(probs[0])) / scale - 1e-6)
+    high = F.ceil((last + 1 - gaps * F.lit(probs[0])) / scale + 1e-6)
+    return F.greatest(F.lit(0), low).cast("int"), F.least(top, high).cast("int")
+
+
 def _by_rank(rows: DataFrame, keys: list[str], column: str, probs: list[float], name: str,
              null_keys: Seq[str]) -> DataFrame:
     """Quantiles from cumulative counts of distinct values: copies collapse map-side before the sort."""
@@ -61,19 +83,21 @@ def _by_rank(rows: DataFrame, keys: list[str], column: str, probs: list[float],
         rows = rows.withColumn("__all", F.lit(0))
     counts = rows.groupBy(*group, F.col(column).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     counts = materialize(counts)  # read by the size check, the sizes and the sort
-    ranked = Ordered(counts, group, ["__v"]).running_sum({"__hi": F.col("__c")}).df
-    sizes = counts.groupBy(*group).agg(F.sum("__c").alias("__n"))
-    ranked = join_on(ranked, sizes, group, null_keys=[k for k in null_keys if k in group])
-    # positions p * (n - 1) whose lower or upper neighbour is one of this value's ranks [hi - c, hi)
-    spots = F.transform(F.array(*[F.lit(p) for p in probs]),
-                        lambda p, i: F.struct(i.alias("i"), (p * (F.col("__n") - 1)).alias("pos")))
-    first, last = F.col("__hi") - F.col("__c"), F.col("__hi") - 1
-    hits = F.filter(spots, lambda s: (F.floor(s["pos"]).between(first, last)) | (F.ceil(s["pos"]).between(first, last)))
-    hit = ranked.select(*group, "__v", first.alias("__first"), last.alias("__last"), F.explode(hits).alias("s"))
-    low = F.when(F.floor("s.pos").between(F.col("__first"), F.col("__last")), F.col("__v"))
-    high = F.when(F.ceil("s.pos").between(F.col("__first"), F.col("__last")), F.col("__v"))
-    each = hit.groupBy(*group, F.col("s.i").alias("i"), F.col("s.pos").alias("pos")).agg(
-        F.max(low).alias("lo"), F.max(high).alias("hi"))
+    ranked = Ordered(counts, group, ["__v"]).running_sum({"__hi": F.col("__c")}).totals({"__n": F.sum("__c")}).df
+    first, last, gaps = F.col("__hi") - F.col("__c"), F.col("__hi") - 1, (F.col("__n") - 1).cast("double")
+    # a value holds the ranks first..last; keep those beside a position p * (n - 1)
+    if len(probs) <= CURVE_PROBS:
+        near = [F.floor(gaps * p).between(first, last) | F.ceil(gaps * p).between(first, last) for p in probs]
+        ranked = ranked.filter(reduce(or_, near))
+    low, high = _touched(probs, first, last, gaps)
+    numbers = F.array(*[F.lit(p) for p in probs])
+    hit = ranked.filter(low <= high).select(
+        *group, "__v", first.alias("__first"), last.alias("__last"), gaps.alias("__gaps"),
+        F.explode(F.sequence(low, high)).alias("i"))
+    hit = hit.withColumn("pos", F.element_at(numbers, F.col("i") + 1) * F.col("__gaps"))
+    below = F.when(F.floor("pos").between(F.col("__first"), F.col("__last")), F.col("__v"))
+    above = F.when(F.ceil("pos").between(F.col("__first"), F.col("__last")), F.col("__v"))
+    each = hit.groupBy(*group, "i").agg(F.first("pos").alias("pos"), F.max(below).alias("lo"), F.max(above).alias("hi"))
     weight = F.col("pos") - F.floor("pos")
     value = F.col("lo") * (1 - weight) + F.col("hi") * weight
     out = each.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))).alias("__a"))

@@ -26,10 +26,13 @@ from ..operators.frames import lookup
 from ..operators.schema import coordinate_columns, has_other_signals, kind_of
 from .readers import extension, read_recording, stitch, union_by_name
 
-CATALOG_SCHEMA = T.StructType.fromDDL(
-    "dataset_id string, name string, original_filename string, row_count bigint, column_count int, "
-    "file_size bigint, tags array<string>, created_at timestamp, coord_kind string, coord_cols array<string>, "
-    "extra_signals boolean, fingerprint string, schema_json string, version bigint, changed bigint, deleted boolean")
+TEXTS = T.ArrayType(T.StringType())
+CATALOG_SCHEMA = T.StructType([T.StructField(name, dtype) for name, dtype in (
+    ("dataset_id", T.StringType()), ("name", T.StringType()), ("original_filename", T.StringType()),
+    ("row_count", T.LongType()), ("column_count", T.IntegerType()), ("file_size", T.LongType()), ("tags", TEXTS),
+    ("created_at", T.TimestampType()), ("coord_kind", T.StringType()), ("coord_cols", TEXTS),
+    ("extra_signals", T.BooleanType()), ("fingerprint", T.StringType()), ("schema_json", T.StringType()),
+    ("version", T.LongType()), ("changed", T.LongType()), ("deleted", T.BooleanType()))])
 PRUNE_IN_PLAN = 1000
 LABELSET_SCHEMA = "id string, name string, dataset_id string, columns array<string>, created_at timestamp"
 ALIAS_SCHEMA = "id string, canonical_name string, column_name string"
