@@ -60,9 +60,10 @@ class Ordered:
         out.keys, out.order, out.split, out._df, out._written = self.keys, self.order, self.split, df, False
         return out
 
-    def _window(self):
+    def _window(self, backward: bool = False):
         parts = self.keys + ([CHUNK] if self.split else [])
-        return Window.partitionBy(*parts).orderBy(*sort_last(*self.order))
+        order = [F.col(c).desc_nulls_first() for c in self.order] if backward else sort_last(*self.order)
+        return Window.partitionBy(*parts).orderBy(*order)
 
     def _source(self) -> DataFrame:
         """Input of a chunked step. It is read twice, so a derived one is written first."""
@@ -75,8 +76,8 @@ class Ordered:
         carried = edges.select(*at, *[c.alias(n) for n, c in scan.items()])
         return join_on(df, carried, at, "left", null_keys=self.keys)
 
-    def _chunks(self):
-        return Window.partitionBy(*self.keys).orderBy(CHUNK)
+    def _chunks(self, backward: bool = False):
+        return Window.partitionBy(*self.keys).orderBy(F.col(CHUNK).desc() if backward else F.col(CHUNK).asc())
 
     # -- operations ------------------------------------------------------
 
@@ -131,23 +132,25 @@ class Ordered:
 
     def last_known(self, values: Mapping[str, Column], inclusive: bool = True) -> Ordered:
         """Latest non-null value at or before this row (strictly before when not inclusive)."""
-        return self._known(values, F.last, F.max_by, (Window.unboundedPreceding, 0 if inclusive else -1),
-                           (Window.unboundedPreceding, -1))
+        return self._known(values, inclusive, backward=False)
 
     def next_known(self, values: Mapping[str, Column], inclusive: bool = True) -> Ordered:
-        """Earliest non-null value at or after this row."""
-        return self._known(values, F.first, F.min_by, (0 if inclusive else 1, Window.unboundedFollowing),
-                           (1, Window.unboundedFollowing))
+        """Earliest non-null value at or after this row.
 
-    def _known(self, values, pick, edge_by, frame, chunk_frame) -> Ordered:
-        w = self._window()
-        near = {n: pick(c, ignorenulls=True).over(w.rowsBetween(*frame)) for n, c in values.items()}
+        Runs over the reversed order: a frame that ends at the last row would be summed anew for every row.
+        """
+        return self._known(values, inclusive, backward=True)
+
+    def _known(self, values: Mapping[str, Column], inclusive: bool, backward: bool) -> Ordered:
+        w = self._window(backward).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        near = {n: F.last(c, ignorenulls=True).over(w) for n, c in values.items()}
         if not self.split:
             return self._next(self._df.select("*", *[c.alias(n) for n, c in near.items()]))
-        df = self._source().withColumn(LOCAL, F.row_number().over(w))
+        df = self._source().withColumn(LOCAL, F.row_number().over(self._window()))
+        edge_by = F.min_by if backward else F.max_by
         edge = {f"__e_{n}": edge_by(c, F.when(c.isNotNull(), F.col(LOCAL))) for n, c in values.items()}
-        far = {f"__f_{n}": pick(f"__e_{n}", ignorenulls=True).over(self._chunks().rowsBetween(*chunk_frame))
-               for n in values}
+        over_chunks = self._chunks(backward).rowsBetween(Window.unboundedPreceding, -1)
+        far = {f"__f_{n}": F.last(f"__e_{n}", ignorenulls=True).over(over_chunks) for n in values}
         df = self._carry(df, edge, far)
         df = df.select("*", *[F.coalesce(near[n], F.col(f"__f_{n}")).alias(n) for n in values])
         return self._next(df.drop(LOCAL, *far))

@@ -12,7 +12,7 @@ from odolake import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("odolake-tests", "local[4]", 4, {"spark.ui.showConsoleProgress": "false"})
+    session = build_session("odolake-tests", "local[4]", 3, {"spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
