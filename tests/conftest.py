@@ -12,7 +12,9 @@ from odolake import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("odolake-tests", "local[4]", 3, {"spark.ui.showConsoleProgress": "false"})
+    session = build_session(
+        "odolake-tests", "local[4]", 3,  # tiny inputs: compiling each plan would take most of the time
+        {"spark.ui.showConsoleProgress": "false", "spark.sql.codegen.wholeStage": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
