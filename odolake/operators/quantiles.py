@@ -99,7 +99,7 @@ def _by_rank(rows: DataFrame, keys: list[str], column: str, probs: list[float],
     above = F.when(F.ceil("pos").between(F.col("__first"), F.col("__last")), F.col("__v"))
     each = hit.groupBy(*group, "i").agg(F.first("pos").alias("pos"), F.max(below).alias("lo"), F.max(above).alias("hi"))
     weight = F.col("pos") - F.floor("pos")
-    value = F.col("lo") * (1 - weight) + F.col("hi") * weight
+    value = F.col("lo") + (F.col("hi") - F.col("lo")) * weight  # exactly the value when both neighbours are equal
     out = each.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))).alias("__a"))
     out = out.select(*group, F.transform("__a", lambda s: s["v"]).alias(name))  # one entry per probability
     return out.drop("__all")

@@ -263,7 +263,7 @@ p AS (SELECT cohort AS label, value, k FROM ev JOIN mem USING (dataset_id)),
 r AS (SELECT min(value) AS lx, (max(value) - min(value)) / 10 AS wx, min(k) AS ly, (max(k) - min(k)) / 10.0::DOUBLE AS wy FROM p),
 c AS (SELECT label, least(CAST(floor((value - lx) / wx) AS INT), 9) AS bin_x, least(CAST(floor((k - ly) / wy) AS INT), 9) AS bin_y,
   count(*) AS n FROM p, r GROUP BY ALL)
-SELECT label, bin_x, bin_y, n AS "count", round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY label), 8) AS percent FROM c""")
+SELECT label, bin_x, bin_y, n AS "count", round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY label), 5) AS percent FROM c""")
 def group_heatmap(spark, sf):
     out = charts.group_heatmap(tables.events(spark, sf), _members(spark, sf), "value", "k", 10)
     return out.select("label", "bin_x", "bin_y", "count", "percent")
