@@ -29,6 +29,7 @@ HEADLINE = [
 def main() -> None:
     from odolake import build_session
     from odolake.plans import all_queries
+    from odolake.session import release_tables
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -44,6 +45,7 @@ def main() -> None:
             started = time.perf_counter()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - started, 3)
+            release_tables(spark)
     spark.stop()
     print(json.dumps({"metric": "total seconds of the headline queries", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": Path(sf_dir).name.removeprefix("sf")}))

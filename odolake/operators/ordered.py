@@ -26,24 +26,28 @@ CHUNK = "__chunk"
 LOCAL = "__local"
 
 
-def largest_group(df: DataFrame, keys: Seq[str]) -> int:
-    """Rows of the largest key: a key-only scan with map-side counts, one number to the driver."""
+def group_sizes(df: DataFrame, keys: Seq[str]) -> tuple[int, int]:
+    """Rows of the largest key and of all keys: one key-only scan with map-side counts, two numbers to the driver."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
+    row = counts.agg(F.max("n"), F.sum("n")).first()
+    return row[0] or 0, row[1] or 0
+
+
+def largest_group(df: DataFrame, keys: Seq[str]) -> int:
+    return group_sizes(df, keys)[0]
 
 
 class Ordered:
     def __init__(self, df: DataFrame, keys: Seq[str], order: Seq[str], *, split: bool | None = None):
         self.keys = list(keys)
         self.order = list(order)
-        if split is None:
-            bound = conf_int(df.sparkSession, GROUP_ROWS_CONF, GROUP_ROWS_DEFAULT)
-            # the plain count, read from the footers of an unfiltered scan, often settles it
-            split = df.count() > bound and largest_group(df, self.keys) > bound
-        self.split = split
+        bound = conf_int(df.sparkSession, GROUP_ROWS_CONF, GROUP_ROWS_DEFAULT)
+        largest, total = group_sizes(df, self.keys)
+        self.split = largest > bound if split is None else split
         self._written = True
-        if split:
-            parts = max(2, conf_int(df.sparkSession, "spark.sql.shuffle.partitions", 200))
+        if self.split:
+            # chunks grow in number, not in size, with the data
+            parts = max(2, conf_int(df.sparkSession, "spark.sql.shuffle.partitions", 200), -(-total // bound))
             ranged = df.repartitionByRange(
                 parts, *[F.col(k).asc() for k in self.keys], *sort_last(*self.order))
             df = materialize(ranged.withColumn(CHUNK, F.spark_partition_id()))

@@ -13,6 +13,7 @@ from .frames import require_columns
 from .ordered import Ordered
 
 DATASET = ("dataset_id",)
+SPREAD_PARTS = 256
 
 
 def every_stride(df: DataFrame, keys: Seq[str], order: Seq[str], limit: int, *, floor: bool = False,
@@ -55,10 +56,19 @@ def preview(df: DataFrame, limit: int = PREVIEW_DEFAULT, *, tie: str = "row_pos"
     return df.orderBy(tie).limit(min(int(limit), PREVIEW_MAX))
 
 
-def top_rows(df: DataFrame, keys: Seq[str], order: Seq[Column], n: int, name: str = "rank") -> DataFrame:
-    """First n rows of each key. Only a per-task top-n is shuffled."""
+def top_rows(df: DataFrame, keys: Seq[str], order: Seq[Column], n: int, name: str = "rank", *,
+             spread: str | None = None) -> DataFrame:
+    """First n rows of each key. Only a per-task top-n is shuffled.
+
+    Spark pushes that bound down for up to 1000 rows. A larger n names a column to `spread` a key over: its
+    parts are cut to n rows each before they meet.
+    """
     if not keys:
         return df.orderBy(*order).limit(n).withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    if spread is not None:
+        part = F.pmod(F.xxhash64(spread), F.lit(SPREAD_PARTS))
+        within = F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order))
+        df = df.withColumn(name, within).filter(F.col(name) <= n).drop(name)
     # the optimizer pushes the row_number bound below the shuffle (WindowGroupLimit)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn(name, rank).filter(F.col(name) <= n)

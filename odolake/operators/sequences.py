@@ -61,7 +61,8 @@ def events(df: DataFrame, state: str, value: str, order_by: str, time_column: st
     found = runs.filter(F.col("state") == value).drop("state")
     if per_dataset is None:
         return found
-    return top_rows(found, [key], [F.col("start").asc_nulls_last(), F.col("run").asc()], per_dataset, "event")
+    return top_rows(found, [key], [F.col("start").asc_nulls_last(), F.col("run").asc()], per_dataset, "event",
+                    spread="run")
 
 
 def event_summary(df: DataFrame, members: DataFrame, state: str, value: str, order_by: str,

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_own_dir: list[str] = []
+_written: list[str] = []
 
 
 def build_session(app: str = "odolake", master: str | None = None, partitions: int | None = None,
@@ -34,9 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
         return path
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="odolake-")
-    spark.conf.set(CHECKPOINT_CONF, path)
-    return path
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="odolake-"))
+    return _own_dir[0]
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -48,4 +50,15 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/odolake-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables `materialize` wrote in this process, once the results that read them are done with."""
+    for path in _written:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    count = len(_written)
+    _written.clear()
+    return count

@@ -130,3 +130,27 @@ def test_similar_runs_and_delete_all(ws, ids):
     assert ws.similar_runs(ids["a"]).count() == 0
     assert ws.store.delete_all(include_label_sets=True) == 3
     assert ws.store.list_datasets().count() == 0
+
+
+def test_shared_tables(spark, tmp_path, monkeypatch):
+    from odolake import session
+
+    df = session.materialize(spark.range(5))
+    assert df.count() == 5 and session.release_tables(spark) >= 1 and session.release_tables(spark) == 0
+    monkeypatch.setattr(session, "CHECKPOINT_CONF", "spark.odolake.unset")
+    assert session.shared_dir(spark) == session.shared_dir(spark) != ""
+
+
+def test_task_functions_need_no_package_on_executors(spark):
+    """What a task runs is pickled by value: an interpreter without this package can load it."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from odolake.operators import compare, course, overlay, spectrum, stat_tests
+
+    functions = [course._match_pair, overlay._fit_batches, stat_tests._resample, stat_tests.welch_p.func,
+                 stat_tests.rank_sum_p.func, compare.ks_of_quantiles.func, spectrum.segment_power.func, spectrum.on_grid.func]
+    load = "import sys, pickle; pickle.loads(sys.stdin.buffer.read()); assert not any(m.startswith('odolake') for m in sys.modules)"
+    subprocess.run([sys.executable, "-I", "-c", load], input=cloudpickle.dumps(functions), cwd="/", check=True)
