@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from ..limits import CATEGORY_LABELS, clamp_bins, require
 from .filters import apply_filters
-from .frames import lookup
+from .frames import beside, lookup
 from .sampling import top_rows
 from .schema import dtype_of, require_numeric
 from ..functions.scalars import category, ratio
 
 
 def value_range(df: DataFrame, columns: Seq[str], bins: Seq[int], keys: Seq[str] = ()) -> DataFrame:
-    """(keys, lo_c, width_c) per column. An empty range is widened to 1; groups without values are dropped."""
+    """(keys, lo_c, width_c) per column. An empty range is widened to 1; groups without values are dropped.
+
+    Without keys the one row is computed here, so that edges and bins use it without another scan.
+    """
     aggregates = []
     for i, column in enumerate(columns):
         aggregates += [F.min(column).cast("double").alias(f"lo_{i}"), F.max(column).cast("double").alias(f"hi_{i}")]
@@ -24,7 +27,8 @@ def value_range(df: DataFrame, columns: Seq[str], bins: Seq[int], keys: Seq[str]
     for i, n in enumerate(bins):
         hi = F.when(F.col(f"hi_{i}") == F.col(f"lo_{i}"), F.col(f"lo_{i}") + 1).otherwise(F.col(f"hi_{i}"))
         out = out.withColumn(f"width_{i}", (hi - F.col(f"lo_{i}")) / F.lit(n)).filter(F.col(f"lo_{i}").isNotNull())
-    return out.drop(*[f"hi_{i}" for i in range(len(columns))])
+    out = out.drop(*[f"hi_{i}" for i in range(len(columns))])
+    return out if keys else df.sparkSession.createDataFrame(out.collect(), out.schema)
 
 
 def bin_of(column: str, i: int, bins: int, clamp_low: bool = False) -> Column:
@@ -98,7 +102,7 @@ def density(df: DataFrame, x: str, y: str, bins_x: int, bins_y: int | None = Non
     ny = clamp_bins(bins_y if bins_y is not None else bins_x, upper or 200)
     rows = apply_filters(df, filters).select(*keys, x, y)
     ranges = value_range(rows, [x, y], [nx, ny])  # each axis over all its values; one row
-    both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).crossJoin(F.broadcast(ranges))
+    both = beside(rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), ranges)
     cells = both.groupBy(*keys, bin_of(x, 0, nx, clamp_low).alias("bin_x"), bin_of(y, 1, ny, clamp_low).alias("bin_y"))
     edge = [(F.first(f"lo_{i}") + F.first(f"width_{i}") * F.col(f"bin_{a}")).alias(f"lower_{a}")
             for i, a in enumerate("xy")]

@@ -24,7 +24,7 @@ from ..session import materialize
 from .bins import bin_grid, bin_of, density, percent_within, top_labels, value_range
 from .compare import guard_cardinality
 from .filters import apply_filters
-from .frames import join_on, lookup, require_columns
+from .frames import beside, join_on, lookup, repeat_for, require_columns
 from .profile import box_stats, grouped_stats
 from .sampling import every_stride, top_rows
 from .schema import dtype_of, kind_of, require_numeric
@@ -119,7 +119,7 @@ def histogram_by_color(df: DataFrame, x: str, color: str | None = None, bins: in
                           numeric_order=None).drop("total")
         whole = cells.groupBy("color").agg(F.sum("count").alias("__n"))
         colors = join_on(whole, first_colors(cells, ()), ["color"], null_keys=["color"])
-        grid = colors.crossJoin(F.broadcast(axis))  # at most 8 x 40
+        grid = repeat_for(colors, axis)  # at most 8 x 40
         filled = join_on(grid, cells, ["color", "label"], "left", null_keys=["color", "label"])
         filled = filled.withColumn("count", F.coalesce("count", F.lit(0)))
         return filled.select("color", "label", "axis", "count",
@@ -127,10 +127,10 @@ def histogram_by_color(df: DataFrame, x: str, color: str | None = None, bins: in
     n = clamp_bins(bins)
     present = rows.filter(F.col(x).isNotNull()).select(x, _label(df, color).alias("color"))
     ranges = value_range(present, [x], [n])
-    binned = present.crossJoin(F.broadcast(ranges)).groupBy(bin_of(x, 0, n).alias("bin"), "color")
+    binned = beside(present, ranges).groupBy(bin_of(x, 0, n).alias("bin"), "color")
     cells = materialize(binned.agg(F.count(F.lit(1)).alias("count")))
     colors = first_colors(cells, ()).drop("color_rank")
-    grid = colors.crossJoin(F.broadcast(bin_grid(ranges, n)))  # at most 8 x 200
+    grid = repeat_for(colors, bin_grid(ranges, n))  # at most 8 x 200
     filled = join_on(grid, cells, ["color", "bin"], "left", null_keys=["color"])
     return percent_within(filled.withColumn("count", F.coalesce("count", F.lit(0))), ["color"], "count", "percent", 3)
 
@@ -197,7 +197,7 @@ def group_histogram(df, members, x, bins=40, filters=None) -> DataFrame:
         axis = top_labels(cells.groupBy("category").agg(F.sum("count").alias("total")), CATEGORY_LABELS,
                           "category").drop("total")
         sizes = cells.groupBy("label").agg(F.sum("count").alias("__n"))
-        grid = series.crossJoin(F.broadcast(axis)).join(sizes, "label", "left")  # at most 8 x 40
+        grid = repeat_for(series, axis).join(sizes, "label", "left")  # at most 8 x 40
         filled = join_on(grid, cells, ["label", "category"], "left", null_keys=["category"])
         filled = filled.withColumn("count", F.coalesce("count", F.lit(0)))
         share = F.coalesce(F.round(ratio(F.col("count") * 100, F.col("__n")), 3), F.lit(0.0))
@@ -205,9 +205,9 @@ def group_histogram(df, members, x, bins=40, filters=None) -> DataFrame:
     n = clamp_bins(bins)
     present = rows.filter(F.col(x).isNotNull())
     ranges = value_range(present, [x], [n])
-    cells = present.crossJoin(F.broadcast(ranges)).groupBy("label", bin_of(x, 0, n).alias("bin")).agg(
+    cells = beside(present, ranges).groupBy("label", bin_of(x, 0, n).alias("bin")).agg(
         F.count(F.lit(1)).alias("count"))
-    grid = series.crossJoin(F.broadcast(bin_grid(ranges, n)))  # at most 8 x 200
+    grid = repeat_for(series, bin_grid(ranges, n))  # at most 8 x 200
     filled = grid.join(cells, ["label", "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return percent_within(filled, ["label"], "count", "percent", 3)
 

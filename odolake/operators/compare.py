@@ -17,7 +17,7 @@ from ..limits import BOX_CARDINALITY, BOX_GROUPS, CATEGORY_LABELS, DIFF_SIGNALS,
 from ..session import materialize
 from .bins import bin_grid, bin_of, label_counts, percent_within, top_labels, value_range
 from .filters import apply_filters
-from .frames import lookup, unpivot_rows
+from .frames import beside, lookup, repeat_for, unpivot_rows
 from .ordered import Ordered
 from .profile import box_stats, grouped_stats, spread_quartiles
 from .quantiles import quantiles
@@ -37,10 +37,10 @@ def compare_histogram(df: DataFrame, column: str, bins: int = 40, filters: list[
     n = clamp_bins(bins)
     present = rows.filter(F.col(column).isNotNull())
     ranges = value_range(present, [column], [n])
-    binned = present.crossJoin(F.broadcast(ranges)).withColumn("bin", bin_of(column, 0, n))
+    binned = beside(present, ranges).withColumn("bin", bin_of(column, 0, n))
     counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
     # recordings that the filters empty keep a row of zeros; the grid has at most 200 rows
-    every = df.select(*keys).distinct().crossJoin(F.broadcast(bin_grid(ranges, n)))
+    every = repeat_for(df.select(*keys).distinct(), bin_grid(ranges, n))
     filled = every.join(counts, [*keys, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return percent_within(filled, keys, "count", "percent", 3)
 
@@ -50,7 +50,7 @@ def _compare_labels(rows: DataFrame, column: str, keys: Seq[str]) -> DataFrame:
     sizes = counts.groupBy(*keys).agg(F.sum("count").alias("__n"))
     pooled = counts.groupBy("label").agg(F.sum("count").alias("total"))
     labels = top_labels(pooled, CATEGORY_LABELS, numeric_order="count").drop("total")
-    grid = sizes.crossJoin(F.broadcast(labels))  # at most 40 labels
+    grid = repeat_for(sizes, labels)  # at most 40 labels
     shown = grid.alias("g").join(
         counts.alias("c"), [F.col(f"g.{k}") == F.col(f"c.{k}") for k in keys]
         + [F.col("g.label").eqNullSafe(F.col("c.label"))], "left")
@@ -97,11 +97,11 @@ def compare_curve(df: DataFrame, x: str, y: str, bins: int = 40, filters: list[d
     rows = apply_filters(df, filters).select(*keys, x, y)
     ranges = value_range(rows, [x], [n])  # over all x, also where y is missing
     both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    binned = both.crossJoin(F.broadcast(ranges)).select(*keys, bin_of(x, 0, n).alias("bin"), F.col(y).alias("__y"))
+    binned = beside(both, ranges).select(*keys, bin_of(x, 0, n).alias("bin"), F.col(y).alias("__y"))
     stats = spread_quartiles(grouped_stats(binned, [*keys, "bin"], "__y", [0.1, 0.9]), ("p10", "p90"))
     centre = (F.col("lower") + F.col("upper")) / 2
     grid = bin_grid(ranges, n).select("bin", centre.alias("center"))
-    every = df.select(*keys).distinct().crossJoin(F.broadcast(grid))  # at most 200 bins
+    every = repeat_for(df.select(*keys).distinct(), grid)  # at most 200 bins
     out = every.join(stats, [*keys, "bin"], "left")
     return out.select(*keys, "bin", "center", F.coalesce("count", F.lit(0)).alias("count"),
                       F.col("avg").alias("mean"), "p10", "p90")
@@ -188,9 +188,9 @@ def exact_ks(df: DataFrame, column: str, baseline: str, filters: list[dict] | No
     curve = Ordered(base_at.withColumn("__all", F.lit(0)), ["__all"], ["v"]).running_sum({"cum_b": F.col("b")}).df
     running = Ordered(others, [key], ["v"]).running_sum({"cum_c": F.col("c")}).df
     total_b = sizes.filter(F.col(key) == baseline).select(F.col("n").alias("nb"))
-    beside = lookup(running.join(curve.drop("__all"), "v"), sizes, [key]).crossJoin(F.broadcast(total_b))  # one row
+    both = beside(lookup(running.join(curve.drop("__all"), "v"), sizes, [key]), total_b)
     n, nb = F.col("n"), F.col("nb")
     at = F.abs(F.col("cum_c") / n - F.col("cum_b") / nb)
     # between two values of the recording only the baseline moves: compare just before each value too
     before = F.abs((F.col("cum_c") - F.col("c")) / n - (F.col("cum_b") - F.col("b")) / nb)
-    return beside.groupBy(key).agg(F.max(F.greatest(at, before)).alias("ks"))
+    return both.groupBy(key).agg(F.max(F.greatest(at, before)).alias("ks"))

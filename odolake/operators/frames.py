@@ -17,11 +17,31 @@ def require_columns(df: DataFrame, *names: str | None) -> None:
             require(name in df.columns, f"no such column: {name}")
 
 
+def beside(rows: DataFrame, single: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row, as constants of the plan (nulls when it is empty).
+
+    The aggregate runs once, and the expressions that use it stay in one generated stage with the scan.
+    """
+    values = single.first()
+    return rows.select("*", *[F.lit(values[f.name] if values else None).cast(f.dataType).alias(f.name)
+                              for f in single.schema.fields])
+
+
+def repeat_for(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """Every row once per row of a table that is small by construction: an axis, a bin grid, the cohorts."""
+    fields = small.schema.fields
+    entries = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in small.collect()]
+    if not entries:
+        return rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).filter(F.lit(False))
+    out = rows.select("*", F.explode(F.array(*entries)).alias("__entry"))
+    return out.select("*", *[F.col(f"__entry.{f.name}").alias(f.name) for f in fields]).drop("__entry")
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Seq[str], how: str = "inner",
             null_keys: Seq[str] = ()) -> DataFrame:
     """Equi-join on `keys`, where the columns named in `null_keys` also match null with null."""
     if not keys:
-        return left.crossJoin(F.broadcast(right))  # keyless right sides are one-row aggregates
+        return beside(left, right)  # keyless right sides are one-row aggregates
     if not null_keys:
         return left.join(right, list(keys), how)
     renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
@@ -41,7 +61,7 @@ def lookup(left: DataFrame, table: DataFrame, keys: Seq[str], how: str = "inner"
     and broadcast only within the bound. Otherwise it is an ordinary equi-join, whose hot partitions adaptive execution splits.
     """
     if not keys:
-        return left.crossJoin(F.broadcast(table))  # a one-row aggregate
+        return beside(left, table)  # a one-row aggregate
     table = table if written else materialize(table)
     if table.count() <= conf_int(table.sparkSession, BROADCAST_CONF, BROADCAST_DEFAULT):
         table = F.broadcast(table)

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, ratio
 from ..limits import COHORT_CORRELATION_COLUMNS, require
+from ..session import materialize
 from .charts import pooled
 from .cohorts import only_members
 from .filters import apply_filters
+from .frames import beside
 from .profile import correlation_targets, matrix_rows
 from .sampling import group_sample
 from .schema import require_numeric
@@ -48,7 +50,8 @@ def _combined(tag: str = "") -> list[Column]:
 def _origins(per: DataFrame, tags: Seq[str]) -> DataFrame:
     """One common origin per pair (the mean over all recordings) for the shifted means."""
     at = [F.avg(f"m{axis}{tag}").alias(f"o{axis}{tag}") for tag in tags for axis in "xy"]
-    return per.crossJoin(F.broadcast(per.agg(*at)))  # one row
+    per = materialize(per)  # one row per recording
+    return beside(per, per.agg(*at))
 
 
 def cohort_regression(df: DataFrame, members: DataFrame, x: str, y: str, filters: list[dict] | None = None, *,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import NEARBY_RELATIVE, SPAN_FLOOR
 from ..functions.scalars import haversine_km, normal_tags, planar_distance
 from ..limits import SIMILAR_RUNS
+from .frames import beside
 
 
 def looks_like_degrees(a_min: Column, a_max: Column, a_mean: Column, b_min: Column, b_max: Column,
@@ -98,8 +99,7 @@ def similar_runs(runs: DataFrame, extents: DataFrame, catalog: DataFrame, refere
     is_ref = F.col("signal_id") == reference_id
     own = placed.filter(is_ref).agg(*[F.first(c).alias(f"r_{c}") for c in fields])  # one row, nulls when unpaired
     ref_tags = tags.filter(is_ref).agg(F.first("tags").alias("r_tags"))
-    beside = placed.filter(~is_ref).crossJoin(F.broadcast(own)).crossJoin(F.broadcast(ref_tags))
-    measured = extent_distance(beside)
+    measured = extent_distance(beside(beside(placed.filter(~is_ref), own), ref_tags))
     comparable = F.col("distance").isNotNull()
     overlap = F.coalesce(comparable & boxes_overlap(), F.lit(False))
     scored = measured.withColumn("overlaps", overlap).withColumn(

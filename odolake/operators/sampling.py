@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..limits import COHORT_SAMPLE_ROWS, PREVIEW_DEFAULT, PREVIEW_MAX, clamp_points, require
 from .filters import apply_filters
-from .frames import require_columns
+from .frames import beside, require_columns
 from .ordered import Ordered
 
 DATASET = ("dataset_id",)
@@ -91,7 +91,7 @@ def fold_colors(df: DataFrame, color: str, keys: Seq[str] = (), keep: int = 8, *
         shape = counts.groupBy(*keys).agg(
             F.bool_and((F.col("__label") == "(null)") | number.isNotNull()).alias("__numeric"),
             F.count(F.lit(1)).alias("__labels"))
-        counts = counts.join(shape, list(keys)) if keys else counts.crossJoin(F.broadcast(shape))
+        counts = counts.join(shape, list(keys)) if keys else beside(counts, shape)
         order = [F.when(F.col("__numeric"), number).asc_nulls_last(), *by_size]
         kept = top_rows(counts, keys, order, keep + 1, "__rank").filter(
             (F.col("__rank") <= keep) | (F.col("__labels") <= keep + 1))

@@ -10,7 +10,7 @@ from ..limits import EVENTS_PER_DATASET, require
 from ..session import materialize
 from .cohorts import describe_values, only_members
 from .filters import apply_filters
-from .frames import require_columns
+from .frames import repeat_for, require_columns
 from .ordered import Ordered
 from .sampling import top_rows
 from .schema import dtype_of, require_numeric, require_orderable
@@ -122,7 +122,7 @@ def transition_rates(df: DataFrame, members: DataFrame, state: str, order_by: st
     cells = counts.join(sized, key).groupBy("cohort", "transition").agg(
         F.sum("count").alias("count"), F.sum(rate).alias("rates"))
     order = counts.groupBy("transition").agg(F.sum("count").alias("total"))
-    grid = order.crossJoin(F.broadcast(cohort)).join(cells, ["cohort", "transition"], "left")  # one row per result cell
+    grid = repeat_for(order, cohort).join(cells, ["cohort", "transition"], "left")  # one row per result cell
     count = F.coalesce("count", F.lit(0))
     return grid.select(
         "cohort", "transition", "total", count.alias("count"), "source_rows",

@@ -20,7 +20,7 @@ from ..limits import SPECTRUM_GRID, SPECTRUM_MIN_ROWS, SPECTRUM_SEGMENT, require
 from ..session import materialize
 from .cohorts import only_members
 from .filters import apply_filters
-from .frames import lookup
+from .frames import beside, lookup
 from .ordered import Ordered
 from .quantiles import quantiles
 from .schema import dtype_of, require_numeric, require_orderable
@@ -90,9 +90,9 @@ def cohort_spectrum(df: DataFrame, members: DataFrame, signal: str, order_by: st
                     key: str = "dataset_id", tie: str = "row_pos") -> DataFrame:
     """(cohort, bin, freq, psd, band_power, band_ratio): mean density of the recordings on a 256-point grid up to
     the smallest Nyquist frequency, and the energy inside the band."""
-    densities = welch(only_members(df, members, key), signal, order_by, filters, key=key, tie=tie)
+    densities = materialize(welch(only_members(df, members, key), signal, order_by, filters, key=key, tie=tie))
     limit = densities.agg((F.min("rate") / 2).alias("limit"))
-    grids = densities.crossJoin(F.broadcast(limit)).select(  # one row
+    grids = beside(densities, limit).select(
         key, "limit", on_grid("density", "rate", "limit").alias("g"))
     points = grids.select(key, "limit", F.posexplode("g").alias("bin", "p"))
     mean = points.join(members.select("cohort", key), key).groupBy("cohort", "bin").agg(

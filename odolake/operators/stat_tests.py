@@ -18,6 +18,7 @@ from ..fixed_values import BOOTSTRAP_ROUNDS, BOOTSTRAP_SEED
 from ..functions.distributions import rank_sum_two_sided, student_two_sided
 from ..functions.scalars import ratio
 from ..session import materialize
+from .frames import repeat_for
 from .ordered import Ordered
 
 BLOCK_VALUES = 50_000
@@ -31,7 +32,7 @@ def sides(values: DataFrame, key: str = "dataset_id") -> DataFrame:
         "signal", F.col("cohort").alias("comparison"), F.lit(True).alias("is_right"), key, "value")
     others = values.filter(F.col("position") > 0).select(F.col("cohort").alias("comparison")).distinct()
     left = present.filter(F.col("position") == 0).select("signal", F.lit(False).alias("is_right"), key, "value")
-    left = left.crossJoin(F.broadcast(others)).select("signal", "comparison", "is_right", key, "value")  # few cohorts
+    left = repeat_for(left, others).select("signal", "comparison", "is_right", key, "value")
     return left.unionByName(right)
 
 

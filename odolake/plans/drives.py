@@ -234,6 +234,16 @@ def _course_rows(spark, sf):
     return ev.select(F.col("dataset_id").alias("run"), "row_pos", "ts", F.col("k").alias("speed"), x.alias("x"), y.alias("y"))
 
 
+@query("absolute_clock", """
+SELECT dataset_id AS run, row_pos, round(epoch_us(date_trunc('second', ts)) / 1e6 + k, 3) AS seconds FROM ev""")
+def absolute_clock(spark, sf):
+    """Seconds on the shared clock: the start time in the file name plus an elapsed column."""
+    ev = tables.events(spark, sf)
+    name = F.concat(F.lit("log_"), F.date_format("ts", "yyyy-MM-dd_HH-mm-ss"), F.lit(".csv"))
+    rows = ev.select(F.col("dataset_id").alias("run"), "row_pos", F.col("k").alias("elapsed_time"), name.alias("file"))
+    return rounded(rows.select("run", "row_pos", tracks.absolute_seconds(rows, "file").alias("seconds")), 3)
+
+
 @query("elapsed_timeline", """
 SELECT dataset_id AS run, row_pos, round(t - first_value(t) OVER (PARTITION BY dataset_id ORDER BY row_pos), 4) AS seconds
 FROM (SELECT *, epoch_us(ts) / 1e6 AS t FROM ev)""")
