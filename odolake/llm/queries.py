@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..session import shared_dir
+from . import line_dedup
+from .language import identify_languages
 from .near_dedup import near_classes
 from .tables import read
+from .url_filter import DEFAULT_VERDICT, RULES, judge_urls
+from .warc import page_digests, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,3 +34,76 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 @query("op1_near_dedup")
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(read(spark, sf_dir, "documents"))
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+@query("op3_warc_segments", f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, strlen(payload) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('{_BASE32}', 1 + CAST(
+      (CAST('0x' || substr(hex, CAST(1 + (i // 4) * 5 AS INTEGER), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), '')
+      AS payload_digest,
+    max(page_id) OVER (PARTITION BY payload) AS last_id
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last_id THEN NULL ELSE last_id END AS refers_to
+FROM d""")
+def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(read(spark, sf_dir, "pages"), folder)
+    return page_digests(spark, folder)
+
+
+@query("op2_language")
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read(spark, sf_dir, "documents"))
+
+
+@query("op7_line_dedup", f"""
+WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
+totals AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
+lines AS (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM pages),
+common AS (
+  SELECT l.source, l.line FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
+  WHERE trim(l.line) <> '' GROUP BY l.source, l.line, t.total
+  HAVING count(*) >= {line_dedup.MIN_PAGES} AND count(*) > CAST({line_dedup.RATIO} AS DOUBLE) * t.total),
+numbered AS (
+  SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line
+  FROM documents),
+marked AS (
+  SELECT n.doc_id, n.i, n.line, c.line IS NOT NULL AS bad
+  FROM numbered n LEFT JOIN common c ON n.source IS NOT DISTINCT FROM c.source AND n.line = c.line),
+rebuilt AS (
+  SELECT doc_id, CAST(count(*) FILTER (WHERE bad) AS INTEGER) AS dropped_lines,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT bad), '') AS text
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(r.dropped_lines, 0) AS dropped_lines, length(r.text) AS n_chars, md5(r.text) AS text_md5
+FROM documents d LEFT JOIN rebuilt r USING (doc_id)""")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = line_dedup.drop_boilerplate(docs, dropped="dropped_lines")
+    return out.select("doc_id", "dropped_lines", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def _rule_sql() -> str:
+    ranked = sorted(RULES, key=lambda r: -len(r.name))
+    fits = [f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in ranked]
+    names = " ".join(f"WHEN {fit} THEN '{r.name}'" for fit, r in zip(fits, ranked, strict=True))
+    verdicts = " ".join(f"WHEN '{r.name}' THEN '{r.verdict}'" for r in ranked)
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u),
+r AS (SELECT *, CASE {names} END AS rule FROM s)
+SELECT page_id, host, path, rule, coalesce(CASE rule {verdicts} END, '{DEFAULT_VERDICT}') AS verdict FROM r"""
+
+
+@query("op8_url_filter", _rule_sql())
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"))
