@@ -12,6 +12,7 @@ from ..session import shared_dir
 from . import line_dedup
 from .language import identify_languages
 from .near_dedup import near_classes
+from .quality import score_quality
 from .tables import read
 from .url_filter import DEFAULT_VERDICT, RULES, judge_urls
 from .warc import page_digests, write_archives
@@ -107,3 +108,8 @@ SELECT page_id, host, path, rule, coalesce(CASE rule {verdicts} END, '{DEFAULT_V
 @query("op8_url_filter", _rule_sql())
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
