@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from . import line_dedup
+from .imatch import fingerprints
 from .language import identify_languages
 from .near_dedup import near_classes
 from .quality import score_quality
@@ -113,3 +114,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality")
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op9_imatch")
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
