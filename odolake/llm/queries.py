@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from . import line_dedup
+from .decontaminate import contaminations
 from .imatch import fingerprints
 from .language import identify_languages
 from .near_dedup import near_classes
@@ -119,3 +120,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_imatch")
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
