@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .sums import add_up
 from .tables import column, fold, small_batches
 
 HELD_OUT = (3, 1)  # folds, fold that is never learned from
@@ -112,11 +113,7 @@ def _summed(rows: DataFrame, part) -> np.ndarray:
         if total is not None:
             yield pd.DataFrame({"i": np.arange(len(total)), "sums": list(total)})
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [group["i"].iloc[0]], "sums": [np.sum(np.stack(group["sums"].to_numpy()), axis=0)]})
-
-    schema = "i int, sums array<double>"
-    found = rows.mapInPandas(partials, schema).groupBy("i").applyInPandas(add, schema).orderBy("i").collect()
+    found = add_up(rows.mapInPandas(partials, "i int, sums array<double>")).orderBy("i").collect()
     return np.array([r["sums"] for r in found])
 
 

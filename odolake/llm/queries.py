@@ -13,6 +13,7 @@ from . import line_dedup
 from .decontaminate import contaminations
 from .imatch import fingerprints
 from .language import identify_languages
+from .masked_lm import score_texts
 from .near_dedup import near_classes
 from .quality import score_quality
 from .tables import read
@@ -125,3 +126,8 @@ def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontaminate")
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op5_masked_lm")
+def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ MB that end between words, so memory does not follow the length of a text beyond
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 
@@ -79,18 +79,28 @@ def chunked(texts: Sequence[str | None], size: int = CHUNK_BYTES) -> Iterator[tu
         yield first, held
 
 
-def word_hashes(texts: Sequence[str | None], size: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray]]:
-    """(index of the text, hashes of its words in order) for every text."""
+def word_chunks(texts: Sequence[str | None], each: Callable | None = None, size: int = CHUNK_BYTES) -> Iterator[tuple]:
+    """(first index, bounds, hashes, values) by chunks of texts: the words of text first + k are bounds[k] to bounds[k + 1].
+
+    `each` gives a value for every word of a slice from its bytes, starts and ends; without it the values are None.
+    """
     for first, held in chunked(texts, size):
         data = np.frombuffer(b"\n".join(held) + b"\n", dtype=np.uint8)
-        parts, places = [], []
+        hashes, values, places = [], [], []
         for begin, end in _slices(data, 2 * size):
             starts, ends = word_spans(data[begin:end])
-            parts.append(hash_spans(data[begin:end], starts, ends))
+            hashes.append(hash_spans(data[begin:end], starts, ends))
             places.append(starts + begin)
-        hashes, places = np.concatenate(parts), np.concatenate(places)
-        bounds = np.searchsorted(places, np.cumsum([0, *(len(x) + 1 for x in held)]))
-        for i in range(len(held)):
+            if each:
+                values.append(each(data[begin:end], starts, ends))
+        bounds = np.searchsorted(np.concatenate(places), np.cumsum([0, *(len(x) + 1 for x in held)]))
+        yield first, bounds, np.concatenate(hashes), np.concatenate(values) if each else None
+
+
+def word_hashes(texts: Sequence[str | None], size: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray]]:
+    """(index of the text, hashes of its words in order) for every text."""
+    for first, bounds, hashes, _ in word_chunks(texts, size=size):
+        for i in range(bounds.size - 1):
             yield first + i, hashes[bounds[i]:bounds[i + 1]]
 
 
