@@ -14,6 +14,7 @@ from .decontaminate import contaminations
 from .imatch import fingerprints
 from .language import identify_languages
 from .masked_lm import score_texts
+from .mixing import TARGETS, label_domains, mixing_rates
 from .near_dedup import near_classes
 from .quality import score_quality
 from .tables import read
@@ -131,3 +132,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_masked_lm")
 def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read(spark, sf_dir, "documents"))
+
+
+@query("op4_mixing")
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(read(spark, sf_dir, "documents"), label_domains(read(spark, sf_dir, "labels")), TARGETS)
