@@ -236,7 +236,7 @@ def language_of(model: ByteGRU | None, text: Column) -> Column:
             names = model.languages if model else [UNKNOWN]
             best, score = found.argmax(axis=1), found.max(axis=1)
             yield pd.DataFrame({"lang_pred": [names[k] if s > 0 else UNKNOWN for k, s in zip(best, score, strict=True)],
-                                "score": np.clip(score, 0.0, 1.0)})
+                                "score": np.clip(np.round(score, 6), 0.0, 1.0)})
 
     return predict(text)
 

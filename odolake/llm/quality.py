@@ -169,7 +169,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(model.score(_matrix(batch)) if model else np.full(len(batch), 0.5))
+            yield pd.Series(np.round(model.score(_matrix(batch)), 9) if model else np.full(len(batch), 0.5))
 
     scored = rows.select("doc_id", (fold("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), score("stats").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -14,7 +14,8 @@ def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for i, values in zip(batch["i"], batch["sums"], strict=True):
             totals[i] = totals[i] + values if i in totals else np.array(values, dtype=float)
-    yield pd.DataFrame({"i": np.array(list(totals), dtype=np.int32), "sums": list(totals.values())})
+    if totals:
+        yield pd.DataFrame({"i": np.array(list(totals), dtype=np.int32), "sums": list(totals.values())})
 
 
 def add_up(parts: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def test_mixing_reaches_its_targets(spark, docs):
     targets = {"good": 3.0, "bad": 1.0}
     rows = mixing_rates(docs, labels, targets).toPandas()
     assert len(rows) == docs.count() and (rows["rate"] >= 0).all()
-    assert rows["p_good"] + rows["p_bad"] == pytest.approx(1.0)
+    assert (rows["p_good"] + rows["p_bad"]).to_numpy() == pytest.approx(1.0)
     total = rows["tokens"].sum()
     assert (rows["rate"] * rows["tokens"] * rows["p_good"]).sum() == pytest.approx(0.75 * total, rel=1e-4)
     assert (rows["rate"] * rows["tokens"] * rows["p_bad"]).sum() == pytest.approx(0.25 * total, rel=1e-4)
