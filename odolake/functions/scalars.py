@@ -45,6 +45,11 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
+def plain_number(label: Column) -> Column:
+    """The number that a label writes in digits, else null: `9D` and `2F` are labels, though casts read them as numbers."""
+    return F.when(label.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), label.try_cast("double"))
+
+
 def clean_tags(tags: Column) -> Column:
     trimmed = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.trim(t))
     return F.array_distinct(F.filter(trimmed, lambda t: t != ""))

@@ -22,10 +22,9 @@ BOX_COLOR_CARDINALITY = 400
 CORRELATION_COLUMNS = 30
 COHORT_CORRELATION_COLUMNS = 20
 MULTI_SIGNALS = 20
-DIFF_SIGNALS = 100
 PCA_SIGNALS = 12
 COHORT_SAMPLE_ROWS = 3_000
-CLUSTER_FIT_ROWS = 100_000
+CLUSTER_ITERATIONS = 300  # a fit that needs more has not converged
 EVENTS_PER_DATASET = 5_000
 SPECTRUM_GRID = 256
 SPECTRUM_SEGMENT = 1_024

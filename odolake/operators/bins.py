@@ -12,7 +12,7 @@ from .filters import apply_filters
 from .frames import beside, lookup
 from .sampling import top_rows
 from .schema import dtype_of, require_numeric
-from ..functions.scalars import category, ratio
+from ..functions.scalars import category, plain_number, ratio
 
 
 def value_range(df: DataFrame, columns: Seq[str], bins: Seq[int], keys: Seq[str] = ()) -> DataFrame:
@@ -74,7 +74,7 @@ def top_labels(totals: DataFrame, limit: int, label: str = "label", total: str =
     top = top_rows(totals, keys, by_count, limit, "__rank")
     if numeric_order is None:
         return top.withColumn("axis", (F.col("__rank") - 1).cast("int")).drop("__rank")
-    number = F.expr(f"try_cast(`{label}` AS DOUBLE)")
+    number = plain_number(F.col(label))
     group = Window.partitionBy(*keys)  # at most `limit` rows per key
     top = top.withColumn("__number", number).withColumn(
         "__numeric", F.bool_and(F.coalesce(F.col("__number").isNotNull(), F.lit(False))).over(group))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..fixed_values import DEGENERATE_MEAN
 from ..functions.scalars import category, finite, ratio
-from ..limits import BOX_CARDINALITY, BOX_GROUPS, CATEGORY_LABELS, DIFF_SIGNALS, clamp_bins, require
+from ..limits import BOX_CARDINALITY, BOX_GROUPS, CATEGORY_LABELS, clamp_bins, require
 from ..session import materialize
 from .bins import bin_grid, bin_of, label_counts, percent_within, top_labels, value_range
 from .filters import apply_filters
@@ -149,14 +149,14 @@ def compare_diff(df: DataFrame, baseline: str, filters: list[dict] | None = None
 
     Rows (signal, dataset, avg, base_avg, delta_pct, ks, max_ks, rank); rank 1 is the signal that differs most.
     """
-    signals = [c for c in (columns or numeric_columns(df)) if c != key][:DIFF_SIGNALS]
+    signals = [c for c in (columns or numeric_columns(df)) if c != key]
     require(bool(signals), "no common numeric columns")
     rows = apply_filters(df, filters).select(key, *signals)
     stats = materialize(diff_stats(rows, signals, [key]))  # one row per recording and signal
     base = stats.filter(F.col(key) == baseline).select(
         "signal", F.col("avg").alias("base_avg"), F.col("q").alias("base_q"))
     others = stats.filter(F.col(key) != baseline)
-    pairs = others.join(F.broadcast(base), "signal", "left")  # at most 100 signals
+    pairs = others.join(F.broadcast(base), "signal", "left")  # one row per signal
     change = F.when(F.abs("base_avg") > DEGENERATE_MEAN,
                     F.round((F.col("avg") - F.col("base_avg")) * 100 / F.abs("base_avg"), 2))
     scored = pairs.select("signal", key, finite(F.col("avg")).alias("avg"), finite(F.col("base_avg")).alias("base_avg"),

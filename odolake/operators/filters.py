@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import RequestError
+from ..functions.scalars import category
 from .schema import dtype_of, kind_of, resolve_column
 
 COMPARE = {
@@ -21,6 +24,16 @@ COMPARE = {
 }
 
 
+def _compare_number(column: Column, op: str, value: float, dtype: T.DataType) -> Column:
+    """The comparison; of whole numbers with a whole bound, which the scan can apply to its statistics."""
+    if not isinstance(dtype, T.IntegralType) or not abs(value) < 2**53:
+        return COMPARE[op](column, F.lit(value))
+    if value != int(value) and op in ("eq", "ne"):
+        return column.isNotNull() if op == "ne" else F.lit(False)
+    bound = math.ceil(value) if op in ("ge", "lt") else math.floor(value)
+    return COMPARE[op](column, F.lit(bound).cast("bigint"))
+
+
 def _condition(df: DataFrame, item: dict) -> Column:
     name, op, value = item.get("column"), item.get("op"), item.get("value")
     kind = kind_of(dtype_of(df, name))
@@ -28,13 +41,14 @@ def _condition(df: DataFrame, item: dict) -> Column:
     if op in COMPARE:
         if kind == "numeric":
             try:
-                return COMPARE[op](column, F.lit(float(value)))
+                number = float(value)
             except (TypeError, ValueError):
                 raise RequestError(f"not a number for {name}: {value!r}") from None
+            return _compare_number(column, op, number, dtype_of(df, name))
         return COMPARE[op](column.cast("string"), F.lit(str(value)))
     if op == "contains":
         # % and _ in the value act as wildcards
-        return column.cast("string").like("%" + str(value).replace("\\", "\\\\") + "%")
+        return category(column, dtype_of(df, name)).like("%" + str(value).replace("\\", "\\\\") + "%")
     if op == "notnull":
         return column.isNotNull()
     if op == "isnull":

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import CLUSTER_COLUMN_NAME, CLUSTER_RESTARTS, CLUSTER_SEED
-from ..limits import CLUSTER_FIT_ROWS, PCA_SIGNALS, conf_int, require
+from ..limits import CLUSTER_ITERATIONS, PCA_SIGNALS, require
 from .charts import pooled
 from .filters import apply_filters
 from .sampling import group_sample
@@ -49,31 +49,23 @@ def _assemble(df: DataFrame, n: int) -> DataFrame:
     return VectorAssembler(inputCols=[f"z_{i}" for i in range(n)], outputCol="features").transform(df)
 
 
-def fit_clusters(complete: DataFrame, features: Seq[str], k: int, order: Seq[str],
-                 fit_rows: int = CLUSTER_FIT_ROWS) -> tuple[KMeansModel, list[dict]]:
-    """Best of four seeded starts on about `fit_rows` complete rows, scaled over all of them.
-
-    All rows are used up to `fit_rows`; beyond it every n-th by a hash of the row key, a narrow filter that
-    neither sorts nor shuffles the table.
-    """
-    scale, rows = standard_scale(complete, features)
-    stride = max(1, -(-rows // fit_rows))
-    sample = complete if stride == 1 else complete.filter(F.pmod(F.xxhash64(*order), F.lit(stride)) == 0)
-    ready = _assemble(scaled(sample.select(*features), features, scale), len(features)).select("features")
-    parts = max(1, min(conf_int(complete.sparkSession, "spark.sql.shuffle.partitions", 200), fit_rows // 25_000))
-    ready = ready.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)  # bounded, read by every iteration
+def fit_clusters(complete: DataFrame, features: Seq[str], k: int) -> tuple[KMeansModel, list[dict]]:
+    """Best of four seeded starts on all complete rows, each run until its centres stand still."""
+    scale, _ = standard_scale(complete, features)
+    ready = _assemble(scaled(complete.select(*features), features, scale), len(features)).select("features")
+    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)  # read by every iteration
     try:
         ready.count()
         with ThreadPoolExecutor(CLUSTER_RESTARTS) as pool:  # the starts are independent jobs
-            fits = list(pool.map(lambda i: KMeans(k=k, seed=CLUSTER_SEED + i, maxIter=20).fit(ready),
+            fits = list(pool.map(lambda i: KMeans(k=k, seed=CLUSTER_SEED + i, maxIter=CLUSTER_ITERATIONS).fit(ready),
                                  range(CLUSTER_RESTARTS)))
-        return min(fits, key=lambda m: m.summary.trainingCost), scale
+        settled = [m for m in fits if m.summary.numIter < CLUSTER_ITERATIONS] or fits
+        return min(settled, key=lambda m: m.summary.trainingCost), scale
     finally:
         ready.unpersist()
 
 
-def cluster_rows(df: DataFrame, features: Seq[str], k: int = 4, column_name: str = "cluster", *,
-                 order: Seq[str] = ("dataset_id", "row_pos"), fit_rows: int = CLUSTER_FIT_ROWS) -> DataFrame:
+def cluster_rows(df: DataFrame, features: Seq[str], k: int = 4, column_name: str = "cluster") -> DataFrame:
     """The input with a BIGINT label column (replaced when it exists, last): 0 is the largest cluster.
 
     Rows with a missing feature get null. Labelling is a narrow map over the rows: no join by row key.
@@ -85,7 +77,7 @@ def cluster_rows(df: DataFrame, features: Seq[str], k: int = 4, column_name: str
     require(re.fullmatch(CLUSTER_COLUMN_NAME, column_name) is not None, "the column name has characters not allowed")
     complete = _complete(df, features)
     require(len(complete.limit(int(k)).take(int(k))) >= int(k), f"fewer than {k} complete rows")
-    model, scale = fit_clusters(complete, features, int(k), order, fit_rows)
+    model, scale = fit_clusters(complete, features, int(k))
     z = _assemble(scaled(complete, features, scale), len(features))
     raw = model.setPredictionCol("__raw").transform(z)
     sizes = {r["__raw"]: r["count"] for r in raw.groupBy("__raw").count().collect()}  # at most 20 rows
@@ -108,7 +100,7 @@ def cluster_profile(df: DataFrame, features: Seq[str], column_name: str = "clust
 
 def cohort_pca(df: DataFrame, members: DataFrame, columns: Seq[str], filters: list[dict] | None = None, *,
                key: str = "dataset_id", tie: str = "row_pos") -> tuple[DataFrame, DataFrame]:
-    """Two components fitted once on the cohorts' samples (about 3000 rows each).
+    """Two components fitted once on all complete rows of the cohorts; about 3000 rows of each are projected for display.
 
     Gives (projections: cohort, dataset, row, pc1, pc2) and (loadings: component, explained, column, loading).
     The sign is fixed: the loading of largest size is positive.
@@ -118,11 +110,11 @@ def cohort_pca(df: DataFrame, members: DataFrame, columns: Seq[str], filters: li
     require_numeric(df, *columns)
     named = members.select(key, F.col("cohort").alias("label"))
     rows = apply_filters(pooled(df, named, [*columns, tie, *[f["column"] for f in filters or []]], key), filters)
-    sample = group_sample(_complete(rows, columns), ["label"], [key, tie]).persist(StorageLevel.MEMORY_AND_DISK)
-    require(len(sample.take(3)) >= 3, "too few complete rows for principal components")
-    scale, _ = standard_scale(sample, columns)
-    ready = _assemble(scaled(sample, columns, scale), len(columns))
-    model = PCA(k=2, inputCol="features", outputCol="pc").fit(ready)
+    complete = _complete(rows, columns)
+    scale, count = standard_scale(complete, columns)
+    require(count >= 3, "too few complete rows for principal components")
+    model = PCA(k=2, inputCol="features", outputCol="pc").fit(_assemble(scaled(complete, columns, scale), len(columns)))
+    ready = _assemble(scaled(group_sample(complete, ["label"], [key, tie]), columns, scale), len(columns))
     axes = model.pc.toArray()  # columns x 2, a model parameter
     signs = [1.0 if axes[abs(axes[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
     pc = vector_to_array("pc")

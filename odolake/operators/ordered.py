@@ -130,8 +130,9 @@ class Ordered:
         df = self._source()
         before = self._chunks().rowsBetween(Window.unboundedPreceding, -1)
         df = self._carry(df, {f"__s_{n}": F.sum(c) for n, c in sums.items()},
-                         {f"__b_{n}": F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)) for n in sums})
-        df = df.select("*", *[(F.col(f"__b_{n}") + F.sum(c).over(w)).alias(n) for n, c in sums.items()])
+                         {f"__b_{n}": F.sum(f"__s_{n}").over(before) for n in sums})
+        df = df.select("*", *[F.coalesce(F.col(f"__b_{n}") + F.sum(c).over(w), f"__b_{n}", F.sum(c).over(w)).alias(n)
+                              for n, c in sums.items()])
         return self._next(df.drop(*[f"__b_{n}" for n in sums]))
 
     def last_known(self, values: Mapping[str, Column], inclusive: bool = True) -> Ordered:

@@ -109,7 +109,8 @@ def pair_correlation(a: str, b: str) -> Column:
 
 def correlation_targets(df: DataFrame, columns: Seq[str] | None, limit: int) -> list[str]:
     numeric = numeric_columns(df)
-    targets = [c for c in (columns or numeric) if c in numeric][:limit]
+    targets = [c for c in (columns or numeric) if c in numeric]
+    require(len(targets) <= limit, f"choose at most {limit} of the {len(targets)} numeric columns")
     require(len(targets) >= 2, "correlation needs at least two numeric columns")
     return targets
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence as Seq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import plain_number
 from ..limits import COHORT_SAMPLE_ROWS, PREVIEW_DEFAULT, PREVIEW_MAX, clamp_points, require
 from .filters import apply_filters
 from .frames import beside, require_columns
@@ -87,7 +88,7 @@ def fold_colors(df: DataFrame, color: str, keys: Seq[str] = (), keep: int = 8, *
     if by_count:
         kept = top_rows(counts, keys, by_size, keep, "__rank")
     else:
-        number = F.expr("try_cast(__label AS DOUBLE)")
+        number = plain_number(F.col("__label"))
         shape = counts.groupBy(*keys).agg(
             F.bool_and((F.col("__label") == "(null)") | number.isNotNull()).alias("__numeric"),
             F.count(F.lit(1)).alias("__labels"))

@@ -70,7 +70,7 @@ def event_summary(df: DataFrame, members: DataFrame, state: str, value: str, ord
                   filters: list[dict] | None = None, *, key: str = "dataset_id", tie: str = "row_pos") -> DataFrame:
     """Per cohort: number of events, events per 1000 source rows and statistics of their durations."""
     rows = only_members(df, members, key)
-    found = events(rows, state, value, order_by, time_column, secondary, filters, key=key, tie=tie)
+    found = events(rows, state, value, order_by, time_column, secondary, filters, key=key, tie=tie, per_dataset=None)
     pairs = members.select("cohort", key)
     durations = materialize(found.join(pairs, key).select("cohort", "duration", "secondary"))  # one row per event
     stats = describe_values(durations, ["cohort"], "duration", p90=True)

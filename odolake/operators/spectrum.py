@@ -42,20 +42,20 @@ def segment_power(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def on_grid(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def on_grid(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """A recording's density interpolated on the common grid 0..limit."""
-    for densities, rates, limits in batches:
+    for densities, rates, sizes, limits in batches:
         out = []
-        for density, rate, limit in zip(densities, rates, limits):
+        for density, rate, size, limit in zip(densities, rates, sizes, limits):
             at = np.linspace(0.0, limit, SPECTRUM_GRID)
-            own = np.linspace(0.0, 1.0, len(density)) * (rate / 2) if len(density) > 1 else np.zeros(1)
+            own = np.arange(len(density)) * (rate / size)  # an odd segment ends below half the rate
             out.append(np.interp(at, own, np.asarray(density, dtype=float), left=0.0, right=0.0))
         yield pd.Series(out)
 
 
 def welch(df: DataFrame, signal: str, order_by: str, filters: list[dict] | None = None, *, key: str = "dataset_id",
           tie: str = "row_pos") -> DataFrame:
-    """(key, rate, density ARRAY<DOUBLE>) for recordings with at least 32 rows and a positive median time step."""
+    """(key, rate, size, density ARRAY<DOUBLE>), size being the rows of a segment, for recordings with at least 32 rows and a positive median time step."""
     require(signal != order_by, "signal and time must be different columns")
     require_numeric(df, signal)
     require_orderable(df, order_by)
@@ -75,13 +75,13 @@ def welch(df: DataFrame, signal: str, order_by: str, filters: list[dict] | None
     first_of = F.greatest(F.floor((i - size) / hop) + 1, F.lit(0))
     last_of = F.least(F.floor(i / hop), last)
     member = F.when(first_of <= last_of, F.sequence(first_of, last_of))
-    cut = numbered.select(key, "rn", "v", F.explode(member).alias("segment"))
-    segments = cut.groupBy(key, "segment").agg(  # at most 1024 rows
+    cut = numbered.select(key, "rn", "v", size.alias("size"), F.explode(member).alias("segment"))
+    segments = cut.groupBy(key, "size", "segment").agg(  # at most 1024 rows
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "v"))), lambda s: s["v"]).alias("values"))
-    powers = lookup(segments, rates, [key]).select(key, "rate", segment_power("values", "rate").alias("p"))
-    bins = powers.select(key, "rate", F.posexplode("p").alias("bin", "power"))
-    means = bins.groupBy(key, "rate", "bin").agg(F.avg("power").alias("power"))
-    return means.groupBy(key, "rate").agg(  # at most 513 frequencies
+    powers = lookup(segments, rates, [key]).select(key, "rate", "size", segment_power("values", "rate").alias("p"))
+    bins = powers.select(key, "rate", "size", F.posexplode("p").alias("bin", "power"))
+    means = bins.groupBy(key, "rate", "size", "bin").agg(F.avg("power").alias("power"))
+    return means.groupBy(key, "rate", "size").agg(  # at most 513 frequencies
         F.transform(F.array_sort(F.collect_list(F.struct("bin", "power"))), lambda s: s["power"]).alias("density"))
 
 
@@ -93,7 +93,7 @@ def cohort_spectrum(df: DataFrame, members: DataFrame, signal: str, order_by: st
     densities = materialize(welch(only_members(df, members, key), signal, order_by, filters, key=key, tie=tie))
     limit = densities.agg((F.min("rate") / 2).alias("limit"))
     grids = beside(densities, limit).select(
-        key, "limit", on_grid("density", "rate", "limit").alias("g"))
+        key, "limit", on_grid("density", "rate", "size", "limit").alias("g"))
     points = grids.select(key, "limit", F.posexplode("g").alias("bin", "p"))
     mean = points.join(members.select("cohort", key), key).groupBy("cohort", "bin").agg(
         F.avg("p").alias("p"), F.first("limit").alias("limit"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixed_values import DEFAULT_BAND
+from .functions.scalars import epoch_seconds
 from .limits import require
 from .operators import (
     bins,
@@ -266,19 +267,25 @@ class Workspace:
         return tracks.map_track(*side, signals, same_log=gps_id == dataset_id, signal_name=own["original_filename"],
                                 gps_name=other["original_filename"], **options)
 
-    def course(self, dataset_id: str, signals: Seq[str] = (), **options) -> DataFrame:
-        """The track with elapsed seconds, filled gaps and progress along the course."""
+    def _course(self, dataset_id: str, signals: Seq[str] = (), **options) -> tuple[DataFrame, bool]:
+        """The course, and whether its positions are geographic."""
         speed = schema.speed_column(schema.name_kinds(self.store.dataset(dataset_id)))
         wanted = list(dict.fromkeys([*signals, *([speed] if speed else [])]))
         rows, roles = self.map_track(dataset_id, wanted, **options)
         timed = course.timeline(rows, roles["x_axis"] or "row_pos", ["pair"])
-        return course.course_axis(timed, "track_x", "track_y", speed=speed, geographic=roles["mode"] == "geographic", keys=["pair"])
+        geographic = roles["mode"] == "geographic"
+        return course.course_axis(timed, "track_x", "track_y", speed=speed, geographic=geographic, keys=["pair"]), geographic
+
+    def course(self, dataset_id: str, signals: Seq[str] = (), **options) -> DataFrame:
+        """The track with elapsed seconds, filled gaps and progress along the course."""
+        return self._course(dataset_id, signals, **options)[0]
 
     def match_courses(self, reference_id: str, target_id: str, **options) -> DataFrame:
         """Progress of the target run on the course of the reference run."""
         label = F.lit(f"{reference_id}/{target_id}")
-        a, b = (self.course(i, **options).withColumn("pair", label) for i in (reference_id, target_id))
-        return course.match_course(a, b)
+        (a, geographic), (b, other) = (self._course(i, **options) for i in (reference_id, target_id))
+        require(geographic == other, "one run has geographic positions, the other planar ones")
+        return course.match_course(a.withColumn("pair", label), b.withColumn("pair", label), geographic=geographic)
 
     def overlay(self, id_a: str, id_b: str | None, x: str, ys: Seq[str], filters=None, *, offset: float = 0.0,
                 by_signal: bool = False, max_points: int | None = None) -> DataFrame:
@@ -292,6 +299,7 @@ class Workspace:
         shared = [s for s in signals if s in both]
         require(bool(shared), "the runs share none of the signals")
         chosen = overlay.offset_signal(shared)
-        side = [self._load([i], x, chosen).select(F.lit(f"{id_a}/{id_b}").alias("pair"), "row_pos", F.col(x).cast("double").alias("t"),
-                                                  F.col(chosen).cast("double").alias("y")) for i in (id_a, id_b)]
+        loaded = [self._load([i], x, chosen) for i in (id_a, id_b)]
+        side = [rows.select(F.lit(f"{id_a}/{id_b}").alias("pair"), "row_pos", epoch_seconds(F.col(x), rows.schema[x].dataType).alias("t"),
+                            F.col(chosen).cast("double").alias("y")) for rows in loaded]
         return overlay.best_offset(*side)
