@@ -248,6 +248,39 @@ def cohort_component_loadings(spark, sf):
     return models.cohort_pca(tables.events(spark, sf), _members(spark, sf), ["value", "k", "lat", "lon"])[1]
 
 
+@query("component_loadings_of_two", """
+SELECT i AS component, col AS "column", round((1 + CASE i WHEN 1 THEN abs(r) ELSE -abs(r) END) / 2, 6) AS explained,
+  round(sqrt(CAST(0.5 AS DOUBLE)), 6) AS loading
+FROM (SELECT corr(value, k) AS r FROM ev JOIN mem USING (dataset_id) WHERE value IS NOT NULL AND k IS NOT NULL),
+  (VALUES (1), (2)) c(i), (VALUES ('value'), ('k')) s(col)""")
+def component_loadings_of_two(spark, sf):
+    """Shares and sizes of the two components of two signals, over all rows of the cohorts: these have a closed form."""
+    loadings = models.cohort_pca(tables.events(spark, sf), _members(spark, sf), ["value", "k"])[1]
+    return rounded(loadings.select("component", "column", "explained", F.abs("loading").alias("loading")))
+
+
+@query("recording_spectra", """
+r AS (
+  SELECT dataset_id, value, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY dataset_id) AS n,
+    avg(value) OVER (PARTITION BY dataset_id) AS m, row_pos - lag(row_pos) OVER w AS dt
+  FROM ev WHERE value IS NOT NULL WINDOW w AS (PARTITION BY dataset_id ORDER BY row_pos)),
+rate AS (SELECT dataset_id, 1.0::DOUBLE / quantile_cont(dt::DOUBLE, 0.5) AS rate FROM r GROUP BY dataset_id),
+x AS (SELECT dataset_id, i, n, value - m AS v, 0.5 - 0.5 * cos(2 * pi() * i / n) AS h FROM r WHERE n BETWEEN 32 AND 1024),
+f AS (
+  SELECT dataset_id, n, bin, sum(v * h * cos(2 * pi() * bin * i / n)) AS c, sum(v * h * sin(2 * pi() * bin * i / n)) AS s, sum(h * h) AS hh
+  FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS bin FROM x) GROUP BY dataset_id, n, bin)
+SELECT dataset_id, CAST(bin AS INTEGER) AS bin, round(bin * rate / n, 6) AS freq,
+  round((c * c + s * s) / (rate * hh) * CASE WHEN bin = 0 OR 2 * bin = n THEN 1 ELSE 2 END, 2) AS density
+FROM f JOIN rate USING (dataset_id)""")
+def recording_spectra(spark, sf):
+    """Power density of every recording of 32 to 1,024 rows, odd lengths too, with its own frequencies."""
+    rows = tables.events(spark, sf).withColumn("t", F.col("row_pos").cast("double"))
+    found = spectrum.welch(rows, "value", "t").filter(F.col("size") < 1_024)
+    bins = found.select("dataset_id", "rate", "size", F.posexplode("density").alias("bin", "density"))
+    return bins.select("dataset_id", "bin", F.round(F.col("bin") * F.col("rate") / F.col("size"), 6).alias("freq"),
+                       F.round("density", 2).alias("density"))
+
+
 @query("cohort_spectrum")
 def cohort_spectrum(spark, sf):
     """Power spectra of the orders' totals along the order keys, two priority groups against the rest."""
@@ -262,8 +295,7 @@ def cohort_spectrum(spark, sf):
 def cluster_labels(spark, sf):
     """K-means labels of every line item."""
     rows = tables.table(spark, sf, "lineitem")
-    return models.cluster_rows(rows, ["l_quantity", "l_extendedprice", "l_discount"], 4,
-                               order=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return models.cluster_rows(rows, ["l_quantity", "l_extendedprice", "l_discount"], 4)
 
 
 @query("cluster_profile", """
