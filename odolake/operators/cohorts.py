@@ -162,4 +162,7 @@ def cohort_summary(df: DataFrame, members: DataFrame, columns: Seq[str], metric:
                    filters: list[dict] | None = None, *, key: str = "dataset_id") -> DataFrame:
     """Sample statistics of the recordings' values per (signal, cohort)."""
     values = representative_values(df, members, columns, metric, filters, key=key)
-    return describe_values(values, ["signal", "cohort"])
+    stats = describe_values(values, ["signal", "cohort"])
+    signals = F.explode(F.array(*[F.lit(c) for c in dict.fromkeys(columns)])).alias("signal")
+    every = members.select("cohort").distinct().select(signals, "cohort")  # cohorts that the filters empty stay
+    return every.join(stats, ["signal", "cohort"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -28,12 +28,17 @@ PERCENTS = [i / 100 for i in range(101)]
 DIFF_PERCENTS = PERCENTS[1:100]
 
 
+def _with_emptied(df: DataFrame, found: DataFrame, keys: Seq[str], filters: list[dict] | None) -> DataFrame:
+    """`found` with a row of nulls for every recording of `df` that the filters empty."""
+    return df.select(*keys).distinct().join(found, list(keys), "left") if filters else found
+
+
 def compare_histogram(df: DataFrame, column: str, bins: int = 40, filters: list[dict] | None = None, *,
                       as_category: bool = False, keys: Seq[str] = DATASET) -> DataFrame:
     """Counts and percents of every recording over shared bin edges, or over the shared top-40 labels."""
     rows = apply_filters(df, filters).select(*keys, column)
     if as_category or kind_of(dtype_of(df, column)) != "numeric":
-        return _compare_labels(rows, column, keys)
+        return _compare_labels(df, rows, column, keys)
     n = clamp_bins(bins)
     present = rows.filter(F.col(column).isNotNull())
     ranges = value_range(present, [column], [n])
@@ -45,9 +50,9 @@ def compare_histogram(df: DataFrame, column: str, bins: int = 40, filters: list[
     return percent_within(filled, keys, "count", "percent", 3)
 
 
-def _compare_labels(rows: DataFrame, column: str, keys: Seq[str]) -> DataFrame:
+def _compare_labels(df: DataFrame, rows: DataFrame, column: str, keys: Seq[str]) -> DataFrame:
     counts = materialize(label_counts(rows, column, keys))  # read for sizes, labels and cells
-    sizes = counts.groupBy(*keys).agg(F.sum("count").alias("__n"))
+    sizes = df.select(*keys).distinct().join(counts.groupBy(*keys).agg(F.sum("count").alias("__n")), list(keys), "left")
     pooled = counts.groupBy("label").agg(F.sum("count").alias("total"))
     labels = top_labels(pooled, CATEGORY_LABELS, numeric_order="count").drop("total")
     grid = repeat_for(sizes, labels)  # at most 40 labels
@@ -85,7 +90,8 @@ def compare_summary(df: DataFrame, column: str, filters: list[dict] | None = Non
     """count, avg, std, min, max and quartiles of a signal for every recording."""
     require_numeric(df, column)
     rows = apply_filters(df, filters).select(*keys, column)
-    return spread_quartiles(grouped_stats(rows, keys, column))
+    stats = _with_emptied(df, spread_quartiles(grouped_stats(rows, keys, column)), keys, filters)
+    return stats.withColumn("count", F.coalesce("count", F.lit(0)))
 
 
 def compare_curve(df: DataFrame, x: str, y: str, bins: int = 40, filters: list[dict] | None = None, *,
@@ -112,7 +118,8 @@ def compare_cdf(df: DataFrame, column: str, filters: list[dict] | None = None, *
     """Percentiles 0..100 of every recording, long form (keys, percent, value)."""
     require_numeric(df, column)
     q = quantiles(apply_filters(df, filters).select(*keys, column), keys, column, PERCENTS, "q")
-    return q.select(*keys, F.posexplode("q").alias("percent", "value"))
+    q = _with_emptied(df, q, keys, filters)
+    return q.select(*keys, F.posexplode(F.coalesce("q", F.array_repeat(F.lit(None).cast("double"), len(PERCENTS)))).alias("percent", "value"))
 
 
 def diff_stats(df: DataFrame, columns: Seq[str], keys: Seq[str]) -> DataFrame:
@@ -152,7 +159,11 @@ def compare_diff(df: DataFrame, baseline: str, filters: list[dict] | None = None
     signals = [c for c in (columns or numeric_columns(df)) if c != key]
     require(bool(signals), "no common numeric columns")
     rows = apply_filters(df, filters).select(key, *signals)
-    stats = materialize(diff_stats(rows, signals, [key]))  # one row per recording and signal
+    stats = diff_stats(rows, signals, [key])
+    if filters:
+        every = df.select(key).distinct().select(key, F.explode(F.array(*[F.lit(s) for s in signals])).alias("signal"))
+        stats = every.join(stats, [key, "signal"], "left")
+    stats = materialize(stats)  # one row per recording and signal
     base = stats.filter(F.col(key) == baseline).select(
         "signal", F.col("avg").alias("base_avg"), F.col("q").alias("base_q"))
     others = stats.filter(F.col(key) != baseline)

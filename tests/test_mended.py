@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from odolake.errors import RequestError
-from odolake.operators import bins, filters, models, profile, sampling, sequences, spectrum
+from odolake.operators import bins, cohorts, compare, filters, models, profile, sampling, sequences, spectrum
 from odolake.operators.ordered import Ordered
 
 
@@ -99,3 +99,21 @@ def test_columns_are_never_cut_in_silence(spark):
     with pytest.raises(RequestError):
         profile.correlation(df)
     assert profile.correlation(df, [f"c{i}" for i in range(3)]).count() == 9
+
+
+def test_filters_never_lose_a_recording_or_cohort(spark):
+    df = spark.createDataFrame([("a", i, float(i), "x") for i in range(6)] + [("b", i, float(10 + i), "y") for i in range(6)],
+                               "dataset_id string, row_pos bigint, v double, m string")
+    members = spark.createDataFrame([("A", 0, "a"), ("B", 1, "b")], "cohort string, position int, dataset_id string")
+    high = [{"column": "v", "op": "ge", "value": 10}]
+    summary = {r["dataset_id"]: (r["count"], r["avg"]) for r in compare.compare_summary(df, "v", high).collect()}
+    assert summary == {"a": (0, None), "b": (6, 12.5)}
+    labels = compare.compare_histogram(df, "m", filters=high).collect()
+    assert {(r["dataset_id"], r["label"], r["count"]) for r in labels} == {("a", "y", 0), ("b", "y", 6)}
+    cdf = compare.compare_cdf(df, "v", high).collect()
+    assert len(cdf) == 202 and all(r["value"] is None for r in cdf if r["dataset_id"] == "a")
+    for baseline in "ab":
+        rows = compare.compare_diff(df, baseline, high, columns=["v"]).collect()
+        assert [(r["signal"], r["ks"]) for r in rows] == [("v", None)]
+    cohort = {r["cohort"]: (r["n"], r["mean"]) for r in cohorts.cohort_summary(df, members, ["v"], filters=high).collect()}
+    assert cohort == {"A": (0, None), "B": (1, 12.5)}
