@@ -28,7 +28,8 @@ _WORD_GAP = r"\s+|(?=[^\p{L}\p{N}\s])"  # words in their own case, and every mar
 
 def _words(rows: DataFrame) -> DataFrame:
     """A row per word of (doc_id, text), with a row of no word for a text without any; `first` is 1 once for each row."""
-    split = rows.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode_outer(F.split("text", _WORD_GAP)).alias("at", "word"))
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("h"), F.split("text", _WORD_GAP).alias("words"))  # once a text, not once a word
+    split = keyed.select("doc_id", "h", F.posexplode_outer("words").alias("at", "word"))
     return split.select(
         "doc_id", "h", F.when(F.coalesce("at", F.lit(0)) == 0, 1).otherwise(0).alias("first"),
         F.when(F.coalesce("word", F.lit("")) == "", 0).otherwise(1).alias("n"),
