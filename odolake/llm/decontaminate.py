@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds lead from texts to test items, Smith-Waterman alignment scores the passage.
+"""Benchmark decontamination: n-gram seeds lead from texts to test items, Smith-Waterman alignment scores the passage.
 
-A first scan counts in how many texts each n-gram of the items stands. Seeds are the n-grams that are rare in the corpus,
-and the rarest ones of every item whatever their count, so a passage that leaked into very many texts still has seeds. A second
-scan aligns, word by word, the item with the stretch of text around its seeds. Items are held in blocks of bounded size;
-the texts never leave their rows.
+All word pairs of an item are its seeds, whatever their number in the corpus. Between two matches that are no shared pair lies
+a miss or a gap, so a score of at least the threshold needs a number of different shared pairs that follows from the item's length:
+stretches of text with fewer are passed over, and no copy above the threshold is among them. The others are aligned with the item
+word by word. Items are held in blocks of bounded size; the texts never leave their rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -18,11 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import column, free_name, small_batches
-from .text import as_long, shingle_hashes, word_hashes
+from .text import shingle_hashes, word_hashes
 
-SEED_WORDS = 4
-RARE_SHARE = 1e-3  # of the texts
-RAREST = 8  # seeds that every item keeps
 THRESHOLD = 0.6
 MATCH, MISS, GAP = 2, -1, 1
 BLOCK_CHARS = 4_000_000  # of items that are worked on together
@@ -43,14 +41,24 @@ class Seeds(NamedTuple):
     places: list[list[tuple[int, int]]]
 
 
-def _grams(items: list[Item]) -> dict[int, dict[int, list[tuple[int, int]]]]:
-    """By length and hash, where the n-grams of the items stand; an item shorter than a seed is its own n-gram."""
-    out: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+def _seed_need(words: int, threshold: float) -> tuple[int, int]:
+    """(seed length, how many different seeds of the item a passage has at least) for scores of `threshold` or more.
+
+    A path of m matches with b breaks between them scores at most MATCH * m - b and keeps m - 1 - b pairs; m is at most `words`.
+    Where that leaves no sure pair (items of a few words, low thresholds), single words are the seeds.
+    """
+    wanted = MATCH * threshold * words
+    pairs = math.ceil(wanted - (MATCH - 1) * words - 1 - 1e-9)
+    return (2, pairs) if pairs > 0 else (1, max(1, math.ceil(wanted / MATCH - 1e-9)))
+
+
+def _seeds(items: list[Item], threshold: float) -> list[Seeds]:
+    grams: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
     for i, item in enumerate(items):
-        size = min(SEED_WORDS, item.words.size)
+        size = _seed_need(item.words.size, threshold)[0]
         for place, h in enumerate(shingle_hashes(item.words, size).tolist()):
-            out[size][h].append((i, place))
-    return out
+            grams[size][h].append((i, place))
+    return [Seeds(size, np.array(sorted(found), dtype=np.uint64), [found[h] for h in sorted(found)]) for size, found in grams.items()]
 
 
 def _hits(words: np.ndarray, size: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,26 +96,44 @@ def local_scores(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.
 class Finder:
     def __init__(self, items: list[Item], seeds: list[Seeds], threshold: float) -> None:
         self.items, self.seeds, self.threshold = items, seeds, threshold
+        self.need = np.array([_seed_need(item.words.size, threshold)[1] for item in items])
+        self.owners = [np.array([i for found in s.places for i, _ in found]) for s in seeds]
+        self.bounds = [np.cumsum([0, *map(len, s.places)]) for s in seeds]
+
+    def _wanted(self, which: int, numbers: np.ndarray) -> set[int]:
+        """Items with enough different seeds among those of a text."""
+        used = np.unique(numbers)
+        begin, count = self.bounds[which][used], np.diff(self.bounds[which])[used]
+        at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+        seen, n = np.unique(self.owners[which][at], return_counts=True)
+        return set(seen[n >= self.need[seen]].tolist())
 
     def windows(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, begin, end) of the stretches of a text around the seeds of an item, overlapping ones joined."""
         spans = defaultdict(list)
-        for seeds in self.seeds:
-            for place, number in zip(*map(np.ndarray.tolist, _hits(words, seeds.size, seeds.hashes)), strict=True):
+        for which, seeds in enumerate(self.seeds):
+            places, numbers = _hits(words, seeds.size, seeds.hashes)
+            wanted = self._wanted(which, numbers) if numbers.size else set()
+            if not wanted:
+                continue
+            for place, number in zip(places.tolist(), numbers.tolist(), strict=True):
                 for i, offset in seeds.places[number]:
-                    length = self.items[i].words.size
-                    slack = 4 + length // 2
-                    spans[i].append((max(0, place - offset - slack), min(words.size, place - offset + length + slack)))
+                    if i in wanted:
+                        length = self.items[i].words.size
+                        slack = 4 + math.ceil(max(0.5, MATCH * (1 - self.threshold)) * length)  # more gaps cost more than is left
+                        spans[i].append((max(0, place - offset - slack), min(words.size, place - offset + length + slack), offset))
         for i, found in spans.items():
             found.sort()
-            begin, end = found[0]
-            for a, b in found[1:]:
-                if a > end:
-                    yield i, begin, end
-                    begin, end = a, b
-                else:
+            begin, end, offset = found[0]
+            offsets = {offset}
+            for a, b, offset in [*found[1:], (words.size + 1, 0, 0)]:
+                if a <= end:
                     end = max(end, b)
-            yield i, begin, end
+                    offsets.add(offset)
+                    continue
+                if len(offsets) >= self.need[i] and np.isin(self.items[i].words, words[begin:end]).mean() >= self.threshold - 1e-9:
+                    yield i, begin, end
+                begin, end, offsets = a, b, {offset}
 
     def find(self, texts: list[str | None]) -> list[list[dict]]:
         """For each text the items it contains, by the best passage of each."""
@@ -148,39 +174,6 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
             yield held
 
 
-def _rare_seeds(rows: DataFrame, items: list[Item], share: float, total: int) -> list[Seeds]:
-    grams = _grams(items)
-    known = {size: np.array(sorted(found), dtype=np.uint64) for size, found in grams.items()}
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sums = {size: np.zeros(hashes.size, dtype=np.int64) for size, hashes in known.items()}
-            for _, words in word_hashes(batch["text"].tolist()):
-                for size, hashes in known.items():
-                    np.add.at(sums[size], np.unique(_hits(words, size, hashes)[1]), 1)
-            for size, counts in sums.items():
-                used = np.flatnonzero(counts)
-                yield pd.DataFrame({"size": np.full(used.size, size), "gram": as_long(known[size][used]), "n": counts[used]})
-
-    counted = rows.mapInPandas(count, "size int, gram bigint, n bigint").groupBy("size", "gram").agg(F.sum("n").alias("n")).collect()
-    texts_with = {(r["size"], r["gram"] & (2**64 - 1)): r["n"] for r in counted}  # at most the n-grams of one block
-    by_item = defaultdict(list)
-    for size, found in grams.items():
-        for h, places in found.items():
-            n = texts_with.get((size, h), 0)
-            for i in {i for i, _ in places}:
-                by_item[i].append((n, size, h))
-    chosen = set()
-    for found in by_item.values():
-        found.sort()
-        chosen.update((size, h) for k, (n, size, h) in enumerate(found) if n and (k < RAREST or n <= share * total))
-    out = []
-    for size, found in grams.items():
-        hashes = sorted(h for s, h in chosen if s == size)
-        out.append(Seeds(size, np.array(hashes, dtype=np.uint64), [found[h] for h in hashes]))
-    return out
-
-
 def _find_udf(shared, threshold: float):
     """`shared` has the items and seeds of one block."""
 
@@ -194,18 +187,15 @@ def _find_udf(shared, threshold: float):
     return find
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD,
-                    rare_share: float = RARE_SHARE) -> Column:
+def contained_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> Column:
     """array(struct(item_id, score, end_word)) of the items that a text of `docs` contains.
 
     The score is the alignment's share of the score of a whole copy: 1 for the item word for word.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(column(docs, text).alias("text")).filter(F.col("text").isNotNull())
-    total, parts = None, []
+    parts = []
     for items in _blocks(benchmark):
-        total = rows.count() if total is None else total
-        seeds = _rare_seeds(rows, items, rare_share, total)
+        seeds = _seeds(items, threshold)
         plain = ([tuple(x) for x in items], [tuple(x) for x in seeds])  # tasks have no package to read its classes from
         shared = docs.sparkSession.sparkContext.broadcast(plain)
         parts.append(_find_udf(shared, threshold)(column(docs, text)))

@@ -142,6 +142,19 @@ def test_a_passage_in_every_text_is_still_found(spark):
     assert contaminations(docs, bench).count() == 60
 
 
+def test_edited_copies_of_a_passage_that_leaked_widely_are_found(spark):
+    """The edited copies lack the rarest n-grams of the item; the last one shares no three words in a row with it."""
+    words = [f"w{i}" for i in range(30)]
+    two = [f"new{i}" if i in (8, 18) else w for i, w in enumerate(words)]
+    often = [x for i, w in enumerate(words) for x in ([w, f"in{i}"] if i % 2 else [w])]
+    texts = [f"text {i} " + " ".join(words) for i in range(1_000)] + [" ".join(two), " ".join(often), "w1 w2 and w7 w8"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame([(5, " ".join(words))], "item_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in contaminations(docs, bench).collect()}
+    assert set(got) == set(range(1_002))
+    assert got[1_000] == pytest.approx((2 * 28 - 2) / 60) and got[1_001] == pytest.approx((2 * 30 - 14) / 60)
+
+
 def test_fingerprints_of_edited_texts(spark):
     draw = random.Random(2)
     texts = [" ".join(prose(draw, draw.randint(0, 80))) for _ in range(60)] + [None, "", "é" * 9, "x"]
