@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from odolake.llm import masked_lm
@@ -140,6 +141,21 @@ def test_pseudo_likelihood_of_odd_rows_and_training(odd):
     assert losses[-1] < 0.3 < losses[0]
 
 
+def test_every_word_of_a_partition_trains_the_network():
+    draw = np.random.RandomState(2)
+    texts = [" ".join(draw.choice(["a", "b", "c", "dd"], draw.randint(1, 40))) for _ in range(50)] + ["", "12 word"]
+    hashes = np.concatenate([w for _, w in word_hashes(texts)])
+    words, counts = np.unique(hashes, return_counts=True)
+    vocabulary = masked_lm.Vocabulary(words, counts, hashes.size, np.zeros((256, 256)))
+    start = masked_lm.first_parameters(words.size)
+    (found,) = masked_lm._refine((vocabulary, start))(iter([pd.DataFrame({"text": texts[:20]}), pd.DataFrame({"text": texts[20:]})]))
+    assert found["sums"].iloc[-1].tolist() == [hashes.size]
+    for text in ("a b c dd", "dd a"):  # whatever the text, it moves the parameters
+        (found,) = masked_lm._refine((vocabulary, start))(iter([pd.DataFrame({"text": [text]})]))
+        flat = np.concatenate([start[k].ravel() for k in sorted(start)])
+        assert np.abs(np.concatenate(found["sums"].tolist()[:-1]) / len(text.split()) - flat).max() > 1e-4
+
+
 def test_mixing_reaches_its_targets(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet").selectExpr("doc_id", "if(quality = 1, 'good', 'bad') AS domain")
     targets = {"good": 3.0, "bad": 1.0}
