@@ -21,7 +21,10 @@ from ..fixed_values import (
 )
 from ..functions.scalars import epoch_seconds, finite
 from ..limits import POINTS_MAX, require
+from ..session import materialize
+from .frames import join_on
 from .ordered import Ordered, largest_group
+from .sampling import every_stride
 from .schema import dtype_of, kind_of
 
 
@@ -154,3 +157,28 @@ def match_course(reference: DataFrame, target: DataFrame, *, geographic: bool =
     b = target.select(*columns).groupBy("pair")
     schema = f"pair {dtype_of(target, 'pair').simpleString()}, row_pos long, progress double"
     return a.cogroup(b).applyInPandas(_match_pair, schema)
+
+
+def match_runs(reference: DataFrame, target: DataFrame, *, geographic: bool = True, limit: int = POINTS_MAX) -> DataFrame:
+    """`match_course` of whole runs of any length: a row of the result for every row of the target.
+
+    Runs above `limit` rows are thinned by stride before they are matched. The rows between two matched ones get their place
+    in proportion between the two matches, those after the last one its match; without a reference a row keeps its own progress.
+    """
+    columns = ["pair", "row_pos", "filled_x", "filled_y", "progress"]
+    reference, target = materialize(reference.select(*columns)), materialize(target.select(*columns))
+    if max(largest_group(side, ["pair"]) for side in (reference, target)) <= limit:
+        return match_course(reference, target, geographic=geographic)
+    thin = [every_stride(side, ["pair"], ["row_pos"], limit).select(*columns) for side in (reference, target)]
+    matched = materialize(match_course(*thin, geographic=geographic).withColumnRenamed("progress", "__match"))
+    led = materialize(reference.select("pair").distinct().withColumn("__led", F.lit(True)))
+    rows = join_on(target.select("pair", "row_pos", "progress"), matched, ["pair", "row_pos"], "left", null_keys=["pair"])
+    rows = join_on(rows, led, ["pair"], "left", null_keys=["pair"])
+    o = Ordered(rows, ["pair"], ["row_pos"]).row_number("__i")
+    o = o.with_columns({"__at": F.when(F.col("__match").isNotNull(), F.struct("__i", "__match"))})
+    o = o.last_known({"__a": F.col("__at")}).next_known({"__b": F.col("__at")})
+    part = (F.col("__i") - F.col("__a.__i")) / (F.col("__b.__i") - F.col("__a.__i"))
+    between = F.col("__a.__match") + (F.col("__b.__match") - F.col("__a.__match")) * part
+    place = F.when(F.col("__b").isNull() | F.col("__match").isNotNull(), F.col("__a.__match")).otherwise(between)
+    return o.df.select("pair", F.col("row_pos").cast("long").alias("row_pos"),
+                       F.when(F.col("__led").isNotNull(), place).otherwise(F.col("progress")).alias("progress"))

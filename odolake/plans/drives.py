@@ -298,7 +298,7 @@ def matched_course(spark, sf):
     columns = ["row_pos", "filled_x", "filled_y", "progress"]
     a = rows.filter(number % 2 == 0).select(pair.alias("pair"), *columns)
     b = rows.filter(number % 2 == 1).select(pair.alias("pair"), *columns)
-    return course.match_course(a, b)
+    return course.match_runs(a, b)
 
 
 @query("signal_offsets")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from odolake import RequestError
 from odolake.operators import asof, course, models, overlay, pairing, routes, spectrum, tracks
+from odolake.plans import drives
 
 
 def pair_frame(spark, times, name="t"):
@@ -222,6 +223,32 @@ def test_course_matching_is_monotone(spark):
     assert got == sorted(got) and np.allclose(got, [i / 100 for i in range(0, 101, 2)])
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_long_runs_are_matched_row_by_row(spark, split, request):
+    if split:
+        request.getfixturevalue("tiny_bounds")
+
+    def run(pair, points):
+        return spark.createDataFrame([(pair, i, float(x), 0.0, i / (len(points) - 1)) for i, x in enumerate(points)],
+                                     "pair string, row_pos bigint, filled_x double, filled_y double, progress double")
+
+    way = [100 - abs(i - 100) for i in range(201)]
+    fine = [100 - abs(i / 5 - 100) for i in range(1001)]
+    target = run("p", fine).unionByName(run("alone", way)).unionByName(run("q", way[:21]))
+    out = course.match_runs(run("p", way).unionByName(run("q", way[:21])), target, geographic=False, limit=101).orderBy("pair", "row_pos").collect()
+    got = {p: [r["progress"] for r in out if r["pair"] == p] for p in ("p", "q", "alone")}
+    assert np.allclose(got["p"], np.arange(1001) / 1000, atol=0.011) and got["p"] == sorted(got["p"])
+    assert np.allclose(got["q"], np.arange(21) / 20) and np.allclose(got["alone"], np.arange(201) / 200)
+
+
+def test_the_query_matches_runs_above_the_bound(spark, monkeypatch):
+    drive = spark.range(51_000).selectExpr("explode(array('u2', 'u3')) AS run", "id AS row_pos", "id").selectExpr(
+        "run", "row_pos", "timestamp_seconds(id) AS ts", "1.0D AS speed", "139 + id / 1e5D AS x", "35.0D AS y")
+    monkeypatch.setattr(drives, "_course_rows", lambda *_: drive)
+    out = drives.matched_course(spark, "").orderBy("row_pos").toPandas()
+    assert len(out) == 51_000 and np.allclose(out["progress"], np.arange(51_000) / 50_999, atol=1e-4)
+
+
 def brute_offset(t, ya, shift):
     """Every lag of the two resampled runs, summed with plain loops."""
     dt = (t[-1] - t[0]) / 600
