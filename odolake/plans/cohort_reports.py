@@ -273,9 +273,12 @@ SELECT dataset_id, CAST(bin AS INTEGER) AS bin, round(bin * rate / n, 6) AS freq
   round((c * c + s * s) / (rate * hh) * CASE WHEN bin = 0 OR 2 * bin = n THEN 1 ELSE 2 END, 2) AS density
 FROM f JOIN rate USING (dataset_id)""")
 def recording_spectra(spark, sf):
-    """Power density of every recording of 32 to 1,024 rows, odd lengths too, with its own frequencies."""
+    """Power density of every recording of 32 rows and more, odd lengths too, with its own frequencies.
+
+    Recordings above 1,024 rows average overlapping segments. The SQL has one segment and knows those of at most 1,024 rows.
+    """
     rows = tables.events(spark, sf).withColumn("t", F.col("row_pos").cast("double"))
-    found = spectrum.welch(rows, "value", "t").filter(F.col("size") < 1_024)
+    found = spectrum.welch(rows, "value", "t")
     bins = found.select("dataset_id", "rate", "size", F.posexplode("density").alias("bin", "density"))
     return bins.select("dataset_id", "bin", F.round(F.col("bin") * F.col("rate") / F.col("size"), 6).alias("freq"),
                        F.round("density", 2).alias("density"))

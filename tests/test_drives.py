@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from odolake import RequestError
 from odolake.operators import asof, course, models, overlay, pairing, routes, spectrum, tracks
-from odolake.plans import drives
+from odolake.plans import cohort_reports, drives
 
 
 def pair_frame(spark, times, name="t"):
@@ -317,6 +317,28 @@ def test_welch_equals_a_plain_average_of_segments(spark):
     assert math.isclose(got["rate"], 100.0, rel_tol=1e-9) and np.allclose(got["density"], np.mean(parts, axis=0))
 
 
+def test_the_spectra_query_keeps_long_recordings(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    logs = {f"u{n}": rng.normal(size=n) for n in (31, 45, 1_023, 1_024, 2_600)}
+    df = spark.createDataFrame([(k, i, float(x)) for k, v in logs.items() for i, x in enumerate(v)], "dataset_id string, row_pos bigint, value double")
+    monkeypatch.setattr(cohort_reports.tables, "events", lambda *_: df)
+    out = cohort_reports.recording_spectra(spark, "").toPandas()
+    assert set(out["dataset_id"]) == {"u45", "u1023", "u1024", "u2600"}
+    for key, mine in out.groupby("dataset_id"):
+        v, mine = logs[key], mine.sort_values("bin")
+        n = min(len(v), 1_024)
+        taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+        waves = np.exp(-2j * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n)
+        parts = []
+        for at in range(0, len(v) - n + 1, n - n // 2):
+            s = v[at:at + n]
+            p = np.abs(waves @ ((s - s.mean()) * taper)) ** 2 / (taper ** 2).sum()
+            p[1:(n + 1) // 2] *= 2
+            parts.append(p)
+        assert mine["bin"].tolist() == list(range(n // 2 + 1)) and np.allclose(mine["freq"], np.arange(n // 2 + 1) / n, atol=1e-6)
+        assert np.allclose(mine["density"], np.mean(parts, axis=0), atol=0.0051)
+
+
 def test_clusters(log):
     df = log("a", "speed double, rpm double", [(1.0, 100.0), (1.1, 101.0), (0.9, 99.0), (1.0, 100.5), (9.0, 900.0), (9.1, 905.0), (None, 1.0)])
     out = models.cluster_rows(df, ["speed", "rpm"], 2)
