@@ -36,3 +36,9 @@ def column(df: DataFrame, name: str) -> Column:
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo `parts`; a null key is in fold 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % parts, F.lit(0))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table or folder, where it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
