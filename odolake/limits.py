@@ -43,6 +43,9 @@ DISTINCT_DEFAULT = 1_000_000
 TASK_DISTINCT_CONF = "spark.odolake.maxTaskDistinct"
 TASK_DISTINCT_DEFAULT = 8_000_000
 TASK_GROUPS = 128  # groups an object aggregation keeps before it sorts instead
+# Up to this many values in all, quantiles are read from a sort; beyond it they are selected by pivots. Both give the same values.
+SORTED_CONF = "spark.odolake.maxSortedValues"
+SORTED_DEFAULT = 10_000_000
 # A lookup table is broadcast only up to this many rows.
 BROADCAST_CONF = "spark.odolake.maxBroadcastRows"
 BROADCAST_DEFAULT = 200_000

@@ -229,5 +229,6 @@ def group_points(df, members, kind, x, y, filters=None, max_points=None, *, tie=
 def group_stats(df, members, column, filters=None) -> DataFrame:
     require_numeric(df, column)
     rows = apply_filters(pooled(df, members, [column, *_filter_columns(filters)]), filters)
-    out = grouped_stats(rows, ["label"], column, [0.5])
-    return out.select("label", "count", "avg", "std", "min", "max", F.get("q", F.lit(0)).alias("median"))
+    stats = grouped_stats(rows, ["label"], column, [0.5])
+    every = members.select("label").distinct().join(stats, "label", "left")  # groups that the filters empty stay
+    return every.select("label", F.coalesce("count", F.lit(0)).alias("count"), "avg", "std", "min", "max", F.get("q", F.lit(0)).alias("median"))

@@ -114,18 +114,30 @@ def cohort_histogram(df: DataFrame, members: DataFrame, column: str, bins: int =
 
 def cohort_histogram2d(df: DataFrame, members: DataFrame, x: str, y: str, bins_x: int = 40, bins_y: int = 40,
                        filters: list[dict] | None = None, *, key: str = "dataset_id") -> DataFrame:
-    """Sparse 2-D densities of each cohort over shared edges."""
+    """Sparse 2-D densities of each cohort over shared edges; a cohort that the filters empty has one row without a cell."""
     rows = only_members(df, members, key)
     cells = density(rows, x, y, bins_x, bins_y, filters, keys=[key], clamp_low=True, upper=BINS_2D_MAX)
     shares = percent_within(cells, [key], "count", "percent", 6)  # at most 100 x 100 cells per recording
-    return _pooled_percent(_roll_up(shares, members, ["bin_x", "bin_y", "lower_x", "lower_y"], key))
+    cells = _pooled_percent(_roll_up(shares, members, ["bin_x", "bin_y", "lower_x", "lower_y"], key))
+    return with_every_cohort(cells, members, ["count", "total_points", "pooled_percent", "mean_percent"]) if filters else cells
+
+
+def signal_names(columns: Seq[str]) -> list[str]:
+    """Requested signals without padding, blanks and repeats."""
+    return list(dict.fromkeys(c.strip() for c in columns if c.strip()))
+
+
+def with_every_cohort(found: DataFrame, members: DataFrame, zeros: Seq[str] = (), name: str = "cohort") -> DataFrame:
+    """`found` with a row for each cohort that the filters emptied: zeros in the counts, nulls elsewhere."""
+    out = members.select(name).distinct().join(found, name, "left")
+    return out.select(*[F.coalesce(c, F.lit(0)).cast(found.schema[c].dataType).alias(c) if c in zeros else F.col(c) for c in found.columns])
 
 
 def representative_values(df: DataFrame, members: DataFrame, columns: Seq[str], metric: str = "avg",
                           filters: list[dict] | None = None, *, key: str = "dataset_id") -> DataFrame:
     """One value per (signal, cohort, recording): the sample of all cohort statistics. One job for all signals."""
     require(metric in COHORT_METRICS, f"metric is one of {', '.join(COHORT_METRICS)}")
-    columns = list(dict.fromkeys(c.strip() for c in columns if c.strip()))
+    columns = signal_names(columns)
     require(bool(columns), "choose at least one signal")
     require(len(columns) <= MULTI_SIGNALS, f"at most {MULTI_SIGNALS} signals")
     require_numeric(df, *columns)
@@ -163,6 +175,6 @@ def cohort_summary(df: DataFrame, members: DataFrame, columns: Seq[str], metric:
     """Sample statistics of the recordings' values per (signal, cohort)."""
     values = representative_values(df, members, columns, metric, filters, key=key)
     stats = describe_values(values, ["signal", "cohort"])
-    signals = F.explode(F.array(*[F.lit(c) for c in dict.fromkeys(columns)])).alias("signal")
+    signals = F.explode(F.array(*[F.lit(c) for c in signal_names(columns)])).alias("signal")
     every = members.select("cohort").distinct().select(signals, "cohort")  # cohorts that the filters empty stay
     return every.join(stats, ["signal", "cohort"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

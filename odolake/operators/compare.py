@@ -17,10 +17,10 @@ from ..limits import BOX_CARDINALITY, BOX_GROUPS, CATEGORY_LABELS, clamp_bins, r
 from ..session import materialize
 from .bins import bin_grid, bin_of, label_counts, percent_within, top_labels, value_range
 from .filters import apply_filters
-from .frames import beside, lookup, repeat_for, unpivot_rows
+from .frames import beside, lookup, repeat_for
 from .ordered import Ordered
 from .profile import box_stats, grouped_stats, spread_quartiles
-from .quantiles import quantiles
+from .quantiles import all_quantiles, quantiles
 from .schema import dtype_of, kind_of, numeric_columns, require_numeric
 
 DATASET = ("dataset_id",)
@@ -123,12 +123,11 @@ def compare_cdf(df: DataFrame, column: str, filters: list[dict] | None = None, *
 
 
 def diff_stats(df: DataFrame, columns: Seq[str], keys: Seq[str]) -> DataFrame:
-    """(keys, signal, avg, q[99]): means of all signals in one wide aggregation, curves of all in one ranking."""
+    """(keys, signal, avg, q[99]): means of all signals in one wide aggregation, curves of all from two more scans."""
     wide = df.groupBy(*keys).agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(columns)])
     cells = F.array(*[F.struct(F.lit(c).alias("signal"), F.col(f"m_{i}").alias("avg")) for i, c in enumerate(columns)])
     means = wide.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
-    by = [*keys, "signal"]
-    return means.join(quantiles(unpivot_rows(df, keys, columns), by, "value", DIFF_PERCENTS, "q"), by, "left")
+    return means.join(all_quantiles(df, keys, columns, DIFF_PERCENTS, "q"), [*keys, "signal"], "left")
 
 
 @F.pandas_udf(T.DoubleType())

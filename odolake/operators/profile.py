@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import category, finite, ratio
 from ..limits import CORRELATION_COLUMNS, require
+from ..session import materialize
 from .filters import apply_filters
 from .frames import join_on
-from .quantiles import fits_in_memory, fitting_columns, quantile_column, quantiles
+from .quantiles import all_quantiles, fits_in_memory, fitting_columns, quantile_column, quantiles
 from .schema import kind_of, numeric_columns, require_numeric, signal_fields
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -30,7 +31,7 @@ def grouped_stats(df: DataFrame, keys: Seq[str], column: str, probs: Seq[float]
     if in_memory:
         return df.groupBy(*keys).agg(*base, quantile_column(column, probs).alias("q"))
     stats = df.groupBy(*keys).agg(*base)
-    q = quantiles(df, keys, column, probs, "q", in_memory=False, null_keys=null_keys)
+    q = quantiles(df, keys, column, probs, "q", in_memory=False)
     return join_on(stats, q, keys, "left", null_keys=null_keys)
 
 
@@ -91,11 +92,11 @@ def column_profile(df: DataFrame, *, keys: Seq[str] = (), exact: bool = False) -
             F.col("__rows").alias("count"),
             F.round(ratio((F.col("__rows") - F.col(f"count_{i}")) * 100, F.col("__rows")), 2).alias("null_percentage")))
     out = df.groupBy(*keys).agg(*wide) if keys else df.agg(*wide)
-    if exact:
-        for i, field in enumerate(fields):
-            if field.name in numeric and field.name not in fitting:
-                q = quantiles(df, keys, field.name, QUARTILES, f"q_{i}", in_memory=False)
-                out = out.join(q, list(keys), "left") if keys else out.join(q, how="left")
+    large = [f.name for f in fields if f.name in numeric and f.name not in fitting] if exact else []
+    if large:
+        q = all_quantiles(df, keys, large, QUARTILES, "q")
+        each = [F.max(F.when(F.col("signal") == f.name, F.col("q"))).alias(f"q_{i}") for i, f in enumerate(fields) if f.name in large]
+        out = join_on(out, materialize(q.groupBy(*keys).agg(*each)), keys, "left", null_keys=keys)
     return out.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
 
 

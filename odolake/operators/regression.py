@@ -16,7 +16,7 @@ from ..functions.scalars import finite, ratio
 from ..limits import COHORT_CORRELATION_COLUMNS, require
 from ..session import materialize
 from .charts import pooled
-from .cohorts import only_members
+from .cohorts import only_members, with_every_cohort
 from .filters import apply_filters
 from .frames import beside
 from .profile import correlation_targets, matrix_rows
@@ -58,7 +58,7 @@ def cohort_regression(df: DataFrame, members: DataFrame, x: str, y: str, filters
                       key: str = "dataset_id") -> DataFrame:
     """slope, intercept, r2, n and the two ends of the fitted line per cohort, exact over all rows.
 
-    A constant x has no slope: null.
+    A constant x has no slope: null. A cohort that the filters empty has n 0 and nulls.
     """
     require(x != y, "x and y must be different columns")
     require_numeric(df, x, y)
@@ -73,9 +73,10 @@ def cohort_regression(df: DataFrame, members: DataFrame, x: str, y: str, filters
     r2 = F.when(F.col("syy") <= 0, F.when(~flat, F.lit(1.0))).otherwise(
         ratio(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy")))
     line = [(F.col("slope") * F.col(end) + F.col("intercept")).alias(f"fit_{end}") for end in ("min_x", "max_x")]
-    return fitted.select("cohort", *[F.round(finite(c), 6).alias(a) for c, a in (
+    found = fitted.select("cohort", *[F.round(finite(c), 6).alias(a) for c, a in (
         (F.col("slope"), "slope"), (F.col("intercept"), "intercept"), (F.when(~flat, r2), "r2"))],
         F.col("n").cast("long").alias("n"), "min_x", "max_x", *line)
+    return with_every_cohort(found, members, ["n"]) if filters else found
 
 
 def regression_points(df: DataFrame, members: DataFrame, x: str, y: str, filters: list[dict] | None = None, *,
@@ -90,7 +91,7 @@ def regression_points(df: DataFrame, members: DataFrame, x: str, y: str, filters
 
 def cohort_correlation(df: DataFrame, members: DataFrame, columns: Seq[str] | None = None,
                        filters: list[dict] | None = None, *, key: str = "dataset_id") -> DataFrame:
-    """Correlation matrix (cohort, a, b, r) of the common numeric signals of each cohort."""
+    """Correlation matrix (cohort, a, b, r) of the common numeric signals of each cohort; null off the diagonal of an emptied one."""
     targets = correlation_targets(df, columns, COHORT_CORRELATION_COLUMNS)
     pairs = list(combinations(range(len(targets)), 2))
     tags = [f"_{i}_{j}" for i, j in pairs]
@@ -105,4 +106,5 @@ def cohort_correlation(df: DataFrame, members: DataFrame, columns: Seq[str] | No
         value = ratio(F.col(f"sxy{tag}"), F.sqrt(F.greatest(F.col(f"sxx{tag}") * F.col(f"syy{tag}"), F.lit(0.0))))
         return F.when(F.isnan(value), None).otherwise(value)
 
-    return matrix_rows(all_, targets, ["cohort"], r, 6)
+    every = with_every_cohort(all_, members) if filters else all_
+    return matrix_rows(every, targets, ["cohort"], r, 6)

@@ -18,7 +18,7 @@ from ..fixed_values import DEFAULT_BAND
 from ..functions.scalars import epoch_seconds, ratio
 from ..limits import SPECTRUM_GRID, SPECTRUM_MIN_ROWS, SPECTRUM_SEGMENT, require
 from ..session import materialize
-from .cohorts import only_members
+from .cohorts import only_members, with_every_cohort
 from .filters import apply_filters
 from .frames import beside, lookup
 from .ordered import Ordered
@@ -89,7 +89,8 @@ def cohort_spectrum(df: DataFrame, members: DataFrame, signal: str, order_by: st
                     filters: list[dict] | None = None, band: tuple[float, float] = DEFAULT_BAND, *,
                     key: str = "dataset_id", tie: str = "row_pos") -> DataFrame:
     """(cohort, bin, freq, psd, band_power, band_ratio): mean density of the recordings on a 256-point grid up to
-    the smallest Nyquist frequency, and the energy inside the band."""
+    the smallest Nyquist frequency, and the energy inside the band. A cohort without a usable recording has one row of nulls.
+    """
     densities = materialize(welch(only_members(df, members, key), signal, order_by, filters, key=key, tie=tie))
     limit = densities.agg((F.min("rate") / 2).alias("limit"))
     grids = beside(densities, limit).select(
@@ -106,6 +107,7 @@ def cohort_spectrum(df: DataFrame, members: DataFrame, signal: str, order_by: st
     curve = curve.withColumn("__area", area).withColumn("__band", F.when(in_band, area).otherwise(0.0))
     whole = Window.partitionBy("cohort")
     power, total = F.sum("__band").over(whole), F.sum("__area").over(whole)
-    return curve.select("cohort", "bin", F.round("freq", 4).alias("freq"), F.round("p", 8).alias("psd"),
+    found = curve.select("cohort", "bin", F.round("freq", 4).alias("freq"), F.round("p", 8).alias("psd"),
                         F.round(power, 8).alias("band_power"),
                         F.when(total > 0, F.round(ratio(power, total), 5)).alias("band_ratio"))
+    return with_every_cohort(found, members)

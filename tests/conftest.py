@@ -64,7 +64,8 @@ def ab_members(spark):
 @pytest.fixture
 def tiny_bounds(spark):
     """Force the ways for large groups: range chunks, ranked quantiles, joins without broadcast."""
-    keys = {"spark.odolake.maxGroupRows": "3", "spark.odolake.maxGroupDistinct": "2", "spark.odolake.maxBroadcastRows": "0"}
+    keys = {"spark.odolake.maxGroupRows": "3", "spark.odolake.maxGroupDistinct": "2", "spark.odolake.maxBroadcastRows": "0",
+            "spark.odolake.maxSortedValues": "0"}
     for k, v in keys.items():
         spark.conf.set(k, v)
     yield
