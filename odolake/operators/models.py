@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence as Seq
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
+import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -17,11 +15,15 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import CLUSTER_COLUMN_NAME, CLUSTER_RESTARTS, CLUSTER_SEED
 from ..limits import CLUSTER_ITERATIONS, PCA_SIGNALS, require
+from ..session import materialize
 from .charts import pooled
 from .filters import apply_filters
 from .sampling import group_sample
 from .schema import require_numeric
 
+START_POINTS = 100_000  # points that the starts of K-means are fitted on, at most about; the final centres come from all rows
+STILL = 1e-4  # centres that move less, in deviations, stand still
+
 
 def _is_complete(columns: Seq[str]) -> Column:
     return reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns])
@@ -49,20 +51,74 @@ def _assemble(df: DataFrame, n: int) -> DataFrame:
     return VectorAssembler(inputCols=[f"z_{i}" for i in range(n)], outputCol="features").transform(df)
 
 
-def fit_clusters(complete: DataFrame, features: Seq[str], k: int) -> tuple[KMeansModel, list[dict]]:
-    """Best of four seeded starts on all complete rows, each run until its centres stand still."""
+def _start_points(z: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """About START_POINTS different points (all, where there are fewer) with how many rows have them.
+
+    Points are drawn by a hash of their values, so rows that repeat one point come as one weight.
+    """
+    different = z.agg(F.approx_count_distinct(F.xxhash64(*names), 0.02)).first()[0]
+    drawn = z
+    if different > START_POINTS:
+        share = int(START_POINTS / different * (1 << 30))
+        drawn = z.filter(F.pmod(F.xxhash64(F.lit(CLUSTER_SEED), *names), F.lit(1 << 30)) < share)
+    found = drawn.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).toPandas()  # bounded by the draw
+    return found[names].to_numpy(float), found["n"].to_numpy(float)
+
+
+def _lloyd(points: np.ndarray, weights: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, float]:
+    """Centres and cost of weighted points, iterated until the centres stand still."""
+    for _ in range(CLUSTER_ITERATIONS):
+        gaps = (centres ** 2).sum(axis=1) - 2 * points @ centres.T
+        nearest = gaps.argmin(axis=1)
+        size = np.bincount(nearest, weights, len(centres))
+        sums = np.stack([np.bincount(nearest, weights * x, len(centres)) for x in points.T], axis=1)
+        moved = np.where(size[:, None] > 0, sums / np.maximum(size, 1e-300)[:, None], centres)
+        shift, centres = np.sqrt(((moved - centres) ** 2).sum(axis=1)).max(), moved
+        if shift <= STILL:
+            break
+    return centres, float(((gaps.min(axis=1) + (points ** 2).sum(axis=1)) * weights).sum())
+
+
+def _spread_centres(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k different points, each drawn in proportion to its squared distance from those before."""
+    chosen = [points[rng.choice(len(points), p=weights / weights.sum())]]
+    far = np.full(len(points), np.inf)
+    for _ in range(k - 1):
+        far = np.minimum(far, ((points - chosen[-1]) ** 2).sum(axis=1))
+        pull = far * weights if (far > 0).any() else weights
+        chosen.append(points[rng.choice(len(points), p=pull / pull.sum())])
+    return np.array(chosen)
+
+
+def nearest_centre(names: Seq[str], centres: Seq[Seq[float]]) -> Column:
+    """Index of the nearest centre, the first of equal ones, in generated code."""
+    gaps = [reduce(add, [(F.col(n) - F.lit(float(x))) * (F.col(n) - F.lit(float(x))) for n, x in zip(names, c)]) for c in centres]
+    return F.array_position(F.array(*gaps), F.array_min(F.array(*gaps))) - 1
+
+
+def fit_clusters(complete: DataFrame, features: Seq[str], k: int) -> tuple[list[list[float]], list[dict]]:
+    """Centres of all complete rows, in scaled units, and the scale.
+
+    The best of four seeded starts on a bounded draw of points gives first centres; they are then moved over all rows until they
+    stand still, one scan of the written features and k rows of sums each time.
+    """
     scale, _ = standard_scale(complete, features)
-    ready = _assemble(scaled(complete.select(*features), features, scale), len(features)).select("features")
-    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)  # read by every iteration
-    try:
-        ready.count()
-        with ThreadPoolExecutor(CLUSTER_RESTARTS) as pool:  # the starts are independent jobs
-            fits = list(pool.map(lambda i: KMeans(k=k, seed=CLUSTER_SEED + i, maxIter=CLUSTER_ITERATIONS).fit(ready),
-                                 range(CLUSTER_RESTARTS)))
-        settled = [m for m in fits if m.summary.numIter < CLUSTER_ITERATIONS] or fits
-        return min(settled, key=lambda m: m.summary.trainingCost), scale
-    finally:
-        ready.unpersist()
+    names = [f"z_{i}" for i in range(len(features))]
+    z = materialize(scaled(complete.select(*features), features, scale).select(*names))
+    points, weights = _start_points(z, names)
+    starts = [_lloyd(points, weights, _spread_centres(points, weights, k, np.random.default_rng(CLUSTER_SEED + i)))
+              for i in range(CLUSTER_RESTARTS)]
+    centres = min(starts, key=lambda s: s[1])[0].tolist()
+    for _ in range(CLUSTER_ITERATIONS):
+        means = z.groupBy(nearest_centre(names, centres).alias("c")).agg(*[F.avg(n).alias(n) for n in names])
+        moved = list(centres)
+        for r in means.collect():  # at most k rows
+            moved[r["c"]] = [r[n] for n in names]
+        shift = max(sum((x - y) ** 2 for x, y in zip(a, b)) for a, b in zip(centres, moved)) ** 0.5
+        centres = moved
+        if shift <= STILL:
+            break
+    return centres, scale
 
 
 def cluster_rows(df: DataFrame, features: Seq[str], k: int = 4, column_name: str = "cluster") -> DataFrame:
@@ -77,9 +133,8 @@ def cluster_rows(df: DataFrame, features: Seq[str], k: int = 4, column_name: str
     require(re.fullmatch(CLUSTER_COLUMN_NAME, column_name) is not None, "the column name has characters not allowed")
     complete = _complete(df, features)
     require(len(complete.limit(int(k)).take(int(k))) >= int(k), f"fewer than {k} complete rows")
-    model, scale = fit_clusters(complete, features, int(k))
-    z = _assemble(scaled(complete, features, scale), len(features))
-    raw = model.setPredictionCol("__raw").transform(z)
+    centres, scale = fit_clusters(complete, features, int(k))
+    raw = scaled(complete, features, scale).withColumn("__raw", nearest_centre([f"z_{i}" for i in range(len(features))], centres))
     sizes = {r["__raw"]: r["count"] for r in raw.groupBy("__raw").count().collect()}  # at most 20 rows
     rank = {c: i for i, c in enumerate(sorted(range(int(k)), key=lambda c: (-sizes.get(c, 0), c)))}
     relabel = F.element_at(F.create_map(*[F.lit(v) for pair in rank.items() for v in pair]), F.col("__raw"))
@@ -89,11 +144,14 @@ def cluster_rows(df: DataFrame, features: Seq[str], k: int = 4, column_name: str
     return labelled.unionByName(missing.select(*base, F.lit(None).cast("long").alias(column_name)))
 
 
-def cluster_profile(df: DataFrame, features: Seq[str], column_name: str = "cluster") -> DataFrame:
-    """count, percent and the mean of each feature per cluster, in original units."""
+def cluster_profile(df: DataFrame, features: Seq[str], column_name: str = "cluster", k: int | None = None) -> DataFrame:
+    """count, percent and the mean of each feature per cluster, in original units; with `k`, clusters without rows too."""
     rows = df.filter(F.col(column_name).isNotNull())
     out = rows.groupBy(column_name).agg(
         F.count(F.lit(1)).alias("count"), *[F.round(F.avg(F.col(f).cast("double")), 4).alias(f) for f in features])
+    if k:
+        every = df.sparkSession.range(int(k)).select(F.col("id").cast(df.schema[column_name].dataType).alias(column_name))
+        out = every.join(F.broadcast(out), column_name, "left").withColumn("count", F.coalesce("count", F.lit(0)))  # k rows
     total = F.sum("count").over(Window.partitionBy(F.lit(0)))  # one row per cluster
     return out.withColumn("percent", F.round(F.col("count") * 100 / total, 2))
 

@@ -114,7 +114,7 @@ class Workspace:
         """Labels the recording's rows, stores them as a column and gives the cluster profile."""
         labelled = models.cluster_rows(self.store.dataset(dataset_id), features, k, column_name)
         self.store.write_back(labelled, dataset_id)
-        return models.cluster_profile(self.store.dataset(dataset_id), features, column_name.strip() or "cluster")
+        return models.cluster_profile(self.store.dataset(dataset_id), features, column_name.strip() or "cluster", k)
 
     # -- several recordings ----------------------------------------------
 
