@@ -12,6 +12,7 @@ import json
 import time
 import uuid
 from collections.abc import Sequence as Seq
+from itertools import chain
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import RequestError
+from ..fixed_values import SUPPORTED_EXTENSIONS
 from ..functions.scalars import clean_tags
 from ..limits import require
 from ..operators.catalog import distinct_tags, edit_tags, filter_by_tags, newest_first, set_tags
 from ..operators.frames import lookup
 from ..operators.schema import coordinate_columns, has_other_signals, kind_of
+from .bulk import Batch, check_positions, read_csv_files, read_parquet_files
 from .readers import extension, read_recording, stitch, union_by_name
 
 TEXTS = T.ArrayType(T.StringType())
@@ -33,7 +36,6 @@ CATALOG_SCHEMA = T.StructType([T.StructField(name, dtype) for name, dtype in (
     ("created_at", T.TimestampType()), ("coord_kind", T.StringType()), ("coord_cols", TEXTS),
     ("extra_signals", T.BooleanType()), ("fingerprint", T.StringType()), ("schema_json", T.StringType()),
     ("version", T.LongType()), ("changed", T.LongType()), ("deleted", T.BooleanType()))])
-PRUNE_IN_PLAN = 1000
 LABELSET_SCHEMA = "id string, name string, dataset_id string, columns array<string>, created_at timestamp"
 ALIAS_SCHEMA = "id string, canonical_name string, column_name string"
 
@@ -86,16 +88,102 @@ class RecordingStore:
     # -- ingest ----------------------------------------------------------
 
     def ingest(self, path: str, name: str | None = None, tags: Seq[str] = (), *, original_filename: str | None = None,
-               ) -> str:
-        """Store one CSV or Parquet file as a recording; gives its id."""
-        extension(path)
+               sep: str | None = None, encoding: str = "UTF-8") -> str:
+        """Store one CSV or Parquet file as a recording; gives its id. The CSV dialect is found unless `sep` names it."""
+        kind = extension(path)
         file_name = original_filename or PurePosixPath(path).name
         fs, target = self._path(path)
         require(fs.exists(target), f"cannot read {path}")
+        if kind == ".csv":
+            names = {self._plain(path): (name or PurePosixPath(file_name).stem, file_name)}
+            return self._ingest_files([path], tags, names, sep, encoding)[self._plain(path)]
         size = fs.getContentSummary(target).getLength()
         return self.add(read_recording(self.spark, path), name or PurePosixPath(file_name).stem, tags,
                         original_filename=file_name, file_size=size)
 
+    def ingest_many(self, paths: str | Seq[str], tags: Seq[str] = (), *, sep: str | None = None, encoding: str = "UTF-8") -> dict[str, str]:
+        """Store files, or all CSV and Parquet files below a folder, as a recording each: {path: id}.
+
+        All files are read in a few jobs, each recording's rows are written to its own folder without a shuffle, and one catalog
+        file makes all of them known at once. After an error none of them is stored.
+        """
+        listed = self._files_below(paths) if isinstance(paths, str) else list(paths)
+        require(bool(listed), "no CSV or Parquet files")
+        return self._ingest_files(listed, tags, {}, sep, encoding)
+
+    def _plain(self, path: str) -> str:
+        """The path with its scheme, as Spark reports it for a row."""
+        fs, target = self._path(path)
+        return fs.makeQualified(target).toString()
+
+    def _files_below(self, folder: str) -> list[str]:
+        fs, target = self._path(folder)
+        require(fs.exists(target), f"cannot read {folder}")
+        found, files = [], fs.listFiles(target, True)
+        while files.hasNext():
+            name = files.next().getPath().toString()
+            if PurePosixPath(name).suffix.lower() in SUPPORTED_EXTENSIONS:
+                found.append(name)
+        return sorted(found)
+
+    def _ingest_files(self, paths: Seq[str], tags: Seq[str], names: dict, sep: str | None, encoding: str) -> dict[str, str]:
+        kinds: dict[bool, dict[str, int]] = {True: {}, False: {}}
+        for path in paths:
+            fs, target = self._path(path)
+            require(fs.exists(target), f"cannot read {path}")
+            status = fs.getFileStatus(target)
+            kinds[extension(path) == ".csv"][fs.makeQualified(target).toString()] = status.getLen()
+        sizes = kinds[True] | kinds[False]
+        version, ids, changes = time.time_ns(), {p: uuid.uuid4().hex[:12] for p in sizes}, []
+        folders: set[str] = set()
+        try:
+            batches = chain(read_csv_files(self.spark, list(kinds[True]), encoding=encoding, separator=sep) if kinds[True] else (),
+                            read_parquet_files(self.spark, list(kinds[False])) if kinds[False] else ())
+            for batch in batches:
+                changes += self._write_batch(batch, ids, sizes, names, [str(t) for t in tags], version, folders)
+            missing = set(ids) - {c[0] for c in changes}
+            require(not missing, f"{len(missing)} files have no rows and no header, such as {min(missing, default='')}")
+        except BaseException:
+            for folder in folders:
+                self._remove(folder)
+            raise
+        change = self.spark.createDataFrame([c[1] for c in changes], CATALOG_SCHEMA)
+        self._append(change.withColumn("tags", clean_tags(F.col("tags"))).withColumn("created_at", F.current_timestamp()))
+        return ids
+
+    def _write_batch(self, batch: Batch, ids: dict, sizes: dict, names: dict, tags: list[str], version: int,
+                     folders: set[str]) -> list[tuple]:
+        """Rows of a batch under their recordings' folders; gives (path, catalog row) of each."""
+        body = batch.rows.drop("__file")
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in body.schema.fields])
+        fingerprint = hashlib.sha256(schema.json().encode()).hexdigest()[:16]
+        paths = {key: self._key_path(key, ids) for key in batch.counts}
+        owners = self.spark.createDataFrame([(key, ids[path]) for key, path in paths.items()], "__file string, dataset_id string")
+        rows = lookup(batch.rows, owners, ["__file"]).drop("__file").withColumn("version", F.lit(version))
+        folder = f"{self.root}/readings/{fingerprint}"
+        folders.update(f"{folder}/dataset_id={ids[p]}" for p in paths.values())
+        rows.write.mode("append").partitionBy("dataset_id", "version").parquet(folder)
+        written = [f"{folder}/dataset_id={ids[p]}/version={version}" for k, p in paths.items() if batch.counts[k]]
+        if written:
+            positions = self.spark.read.schema("row_pos bigint, dataset_id string").option("basePath", folder).parquet(*written)
+            check_positions(positions, {ids[p]: batch.counts[k] for k, p in paths.items()}, "dataset_id")
+        signals = [(f.name, kind_of(f.dataType)) for f in schema.fields if f.name != "row_pos"]
+        kind, coords = coordinate_columns(signals)
+        out = []
+        for key, path in paths.items():
+            file_name = PurePosixPath(path).name
+            name, original = names.get(path, (PurePosixPath(file_name).stem, file_name))
+            out.append((path, (ids[path], name, original, batch.counts[key], len(signals), sizes[path], tags, None, kind, coords,
+                               has_other_signals(signals), fingerprint, schema.json(), version, 0, False)))
+        return out
+
+    def _key_path(self, key: str, ids: dict) -> str:
+        """The listed path of a file as a row names it, with one slash or three after the scheme."""
+        for form in (key, key.replace(":///", ":/", 1), key.replace(":/", ":///", 1)):
+            if form in ids:
+                return form
+        raise RequestError(f"a row comes from an unlisted file: {key}")
+
     def add(self, df: DataFrame, name: str, tags: Seq[str] = (), *, original_filename: str | None = None,
             file_size: int = 0, dataset_id: str | None = None) -> str:
         """Store a frame with row_pos as a recording."""
@@ -145,27 +233,26 @@ class RecordingStore:
     def load(self, dataset_ids: Seq[str] | DataFrame | None = None, columns: Seq[str] | None = None) -> DataFrame:
         """Rows of the recordings (all of them by default) as one frame with dataset_id and row_pos.
 
-        One scan per distinct schema, pruned to the recordings' folders; only the asked columns are read.
+        One scan per distinct schema. The catalog names the folder of each recording's newest rows, so other recordings are
+        neither listed nor opened; only the asked columns are read.
         """
         current = self.catalog()
-        listed = isinstance(dataset_ids, (list, tuple))
-        if listed:
+        if isinstance(dataset_ids, (list, tuple)):
             current = current.filter(F.col("dataset_id").isin(list(dataset_ids)))
         elif dataset_ids is not None:
             current = current.join(dataset_ids.select("dataset_id").distinct(), "dataset_id", "left_semi")
-        shapes = current.groupBy("fingerprint", "schema_json").agg(F.count(F.lit(1)).alias("n")).collect()
+        shapes: dict[tuple[str, str], list[str]] = {}
+        for r in current.filter("row_count > 0").select("fingerprint", "schema_json", "dataset_id", "version").toLocalIterator():
+            folder = f"{self.root}/readings/{r['fingerprint']}/dataset_id={r['dataset_id']}/version={r['version']}"
+            shapes.setdefault((r["fingerprint"], r["schema_json"]), []).append(folder)
+        for r in current.filter("row_count = 0").select("fingerprint", "schema_json").distinct().toLocalIterator():
+            shapes.setdefault((r["fingerprint"], r["schema_json"]), [])
         require(bool(shapes), "no datasets found")
         frames = []
-        for shape in shapes:
-            schema = T.StructType.fromJson(json.loads(shape["schema_json"]))
-            schema = schema.add("dataset_id", T.StringType()).add("version", T.LongType())
-            rows = self.spark.read.schema(schema).parquet(f"{self.root}/readings/{shape['fingerprint']}")
-            own = current.filter(F.col("fingerprint") == shape["fingerprint"]).select("dataset_id", "version")
-            if shape["n"] <= PRUNE_IN_PLAN:
-                keep = own.collect()  # at most 1000 ids become partition filters
-                rows = rows.filter(F.col("dataset_id").isin([r[0] for r in keep]) & F.col("version").isin([r[1] for r in keep]))
-            else:
-                rows = lookup(rows, own, ["dataset_id", "version"])
+        for (fingerprint, schema_json), folders in sorted(shapes.items()):
+            schema = T.StructType.fromJson(json.loads(schema_json)).add("dataset_id", T.StringType()).add("version", T.LongType())
+            rows = (self.spark.read.schema(schema).option("basePath", f"{self.root}/readings/{fingerprint}").parquet(*sorted(folders))
+                    if folders else self.spark.createDataFrame([], schema))
             names = [f.name for f in schema.fields if f.name not in ("dataset_id", "version", "row_pos")]
             wanted = [c for c in names if columns is None or c in columns]
             frames.append(rows.select("dataset_id", "row_pos", *[F.col(f"`{c}`") for c in wanted]))
