@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from collections.abc import Sequence as Seq
 
 import numpy as np
@@ -20,11 +21,10 @@ from ..fixed_values import (
     ORIGIN_EPSILON,
 )
 from ..functions.scalars import epoch_seconds, finite
-from ..limits import POINTS_MAX, require
+from ..limits import require
 from ..session import materialize
 from .frames import join_on
-from .ordered import Ordered, largest_group
-from .sampling import every_stride
+from .ordered import Ordered
 from .schema import dtype_of, kind_of
 
 
@@ -122,63 +122,114 @@ def course_axis(df: DataFrame, x: str, y: str, seconds: str = "seconds", speed:
     return out.select(*[c for c in df.columns if c not in added], *added)
 
 
-def _match_pair(reference: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
-    out = target[["pair", "row_pos"]].copy()
-    if reference.empty or target.empty:
-        out["progress"] = target["progress"]
+class _Held:
+    """Rows of one run that are still needed, as one growing array without those at its front that are done with."""
+
+    def __init__(self) -> None:
+        self.data, self.first, self.end, self.dropped = np.empty((1_024, 3)), 0, 0, 0
+
+    def add(self, rows: np.ndarray) -> None:
+        held = self.end - self.first
+        if self.end + len(rows) > len(self.data):
+            room = np.empty((max(len(self.data), 2 * (held + len(rows))), 3))
+            room[:held] = self.data[self.first:self.end]
+            self.data, self.first, self.end = room, 0, held
+        self.data[self.end:self.end + len(rows)] = rows
+        self.end += len(rows)
+
+    def drop_to(self, place: int) -> None:
+        """Forget the rows before the place, counted from the start of the run."""
+        self.first += place - self.dropped
+        self.dropped = place
+
+    def rows(self, start: int, stop: int) -> np.ndarray:
+        return self.data[self.first + start - self.dropped:self.first + stop - self.dropped]
+
+    @property
+    def seen(self) -> int:
+        return self.dropped + self.end - self.first
+
+
+class _Matching:
+    """One pair in the making: target rows wait until the part of the course that their match can lie in has been read."""
+
+    def __init__(self, start: int, course: int, run: int, geographic: bool):
+        self.course, self.waiting = _Held(), _Held()
+        self.at, self.length, self.geographic, self.done = start, course, geographic, 0
+        self.ahead = max(COURSE_SEARCH_MIN, math.ceil(max(1.0, course / max(1, run)) * COURSE_SEARCH_FACTOR))
+
+    def advance(self) -> list[float]:
+        out = []
+        while self.done < self.waiting.seen:
+            first = self.done == 0  # its place was sought on the whole course
+            stop = self.at + 1 if first else min(self.length, self.at + self.ahead + 1)
+            if self.course.seen < stop:
+                break
+            x, y, _ = self.waiting.rows(self.done, self.done + 1)[0]
+            if not first:
+                near = self.course.rows(self.at, stop)
+                gap = ((near[:, 0] - x) * (math.cos(math.radians(y)) if self.geographic else 1.0)) ** 2 + (near[:, 1] - y) ** 2
+                gap[np.isnan(gap)] = np.inf
+                self.at += int(gap.argmin())
+            out.append(float(self.course.rows(self.at, self.at + 1)[0, 2]))
+            self.done += 1
+        self.course.drop_to(min(self.at, self.course.seen))
+        self.waiting.drop_to(self.done)
         return out
-    reference, target = reference.sort_values("row_pos"), target.sort_values("row_pos")
-    out = target[["pair", "row_pos"]].copy()
-    rx, ry = reference["filled_x"].to_numpy(), reference["filled_y"].to_numpy()
-    tx, ty = target["filled_x"].to_numpy(), target["filled_y"].to_numpy()
-    lon = np.cos(np.radians(ty)) if bool(reference["geographic"].iloc[0]) else np.ones(len(ty))
-    ahead = max(COURSE_SEARCH_MIN, math.ceil(max(1.0, len(rx) / len(tx)) * COURSE_SEARCH_FACTOR))
-    at, places = 0, np.empty(len(tx), dtype=int)
-    for i in range(len(tx)):
-        stop = len(rx) if i == 0 else min(len(rx), at + ahead + 1)
-        gap = ((rx[at:stop] - tx[i]) * lon[i]) ** 2 + (ry[at:stop] - ty[i]) ** 2
-        gap[np.isnan(gap)] = np.inf
-        at += int(gap.argmin())
-        places[i] = at
-    out["progress"] = reference["progress"].to_numpy()[places]
-    return out
 
 
-def match_course(reference: DataFrame, target: DataFrame, *, geographic: bool = True) -> DataFrame:
-    """(pair, row_pos, progress): the target's place on the reference course, never moving backwards.
+def _match_rows(geographic: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, pair, matching, rows_left = None, None, None, []
+        for batch in batches:
+            keys = batch["key"].to_numpy(object)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for begin, end in zip(cuts, cuts[1:]):
+                part = batch.iloc[begin:end]
+                if keys[begin] != current:
+                    current, head, rows_left = keys[begin], part.iloc[0], []
+                    matching = _Matching(int(head["start"]), int(head["course"]), int(head["run"]), geographic)
+                on_course = part["side"].to_numpy() == 0
+                points = part[["x", "y", "progress"]].to_numpy(dtype=float, na_value=np.nan)
+                matching.course.add(points[on_course])
+                matching.waiting.add(points[~on_course])
+                rows_left.append(part.loc[~on_course, ["pair", "row_pos"]])
+                places = matching.advance()
+                if places:
+                    waiting = pd.concat(rows_left)
+                    yield waiting.iloc[:len(places)].assign(progress=places)
+                    rows_left = [waiting.iloc[len(places):]]
+    return run
 
-    Inputs: sampled runs (pair, row_pos, filled_x, filled_y, progress) of at most 50,000 points each. A match
-    depends on the one before it, so a pair is one task; pairs run in parallel.
-    """
-    for side in (reference, target):
-        require(largest_group(side, ["pair"]) <= POINTS_MAX, f"sample the runs to at most {POINTS_MAX} points first")
-    columns = ["pair", "row_pos", "filled_x", "filled_y", "progress"]
-    a = reference.select(*columns, F.lit(geographic).alias("geographic")).groupBy("pair")
-    b = target.select(*columns).groupBy("pair")
-    schema = f"pair {dtype_of(target, 'pair').simpleString()}, row_pos long, progress double"
-    return a.cogroup(b).applyInPandas(_match_pair, schema)
 
+def match_course(reference: DataFrame, target: DataFrame, *, geographic: bool = True) -> DataFrame:
+    """(pair, row_pos, progress): the target's place on the reference course, never moving backwards.
 
-def match_runs(reference: DataFrame, target: DataFrame, *, geographic: bool = True, limit: int = POINTS_MAX) -> DataFrame:
-    """`match_course` of whole runs of any length: a row of the result for every row of the target.
+    Inputs: runs (pair, row_pos, filled_x, filled_y, progress) of any length. Without a reference a row keeps its own progress.
 
-    Runs above `limit` rows are thinned by stride before they are matched. The rows between two matched ones get their place
-    in proportion between the two matches, those after the last one its match; without a reference a row keeps its own progress.
+    A match depends on the one before it, so a pair is one task. It reads both runs side by side, in order of their share of the rows,
+    and holds what lies between the place of the match and the end of its search, or the rows of the run that is behind. The place of
+    the first target row, which is sought on the whole course, comes from an aggregation beforehand.
     """
-    columns = ["pair", "row_pos", "filled_x", "filled_y", "progress"]
-    reference, target = materialize(reference.select(*columns)), materialize(target.select(*columns))
-    if max(largest_group(side, ["pair"]) for side in (reference, target)) <= limit:
-        return match_course(reference, target, geographic=geographic)
-    thin = [every_stride(side, ["pair"], ["row_pos"], limit).select(*columns) for side in (reference, target)]
-    matched = materialize(match_course(*thin, geographic=geographic).withColumnRenamed("progress", "__match"))
-    led = materialize(reference.select("pair").distinct().withColumn("__led", F.lit(True)))
-    rows = join_on(target.select("pair", "row_pos", "progress"), matched, ["pair", "row_pos"], "left", null_keys=["pair"])
-    rows = join_on(rows, led, ["pair"], "left", null_keys=["pair"])
-    o = Ordered(rows, ["pair"], ["row_pos"]).row_number("__i")
-    o = o.with_columns({"__at": F.when(F.col("__match").isNotNull(), F.struct("__i", "__match"))})
-    o = o.last_known({"__a": F.col("__at")}).next_known({"__b": F.col("__at")})
-    part = (F.col("__i") - F.col("__a.__i")) / (F.col("__b.__i") - F.col("__a.__i"))
-    between = F.col("__a.__match") + (F.col("__b.__match") - F.col("__a.__match")) * part
-    place = F.when(F.col("__b").isNull() | F.col("__match").isNotNull(), F.col("__a.__match")).otherwise(between)
-    return o.df.select("pair", F.col("row_pos").cast("long").alias("row_pos"),
-                       F.when(F.col("__led").isNotNull(), place).otherwise(F.col("progress")).alias("progress"))
+    columns = ["pair", "row_pos", F.col("filled_x").cast("double").alias("x"), F.col("filled_y").cast("double").alias("y"),
+               F.col("progress").cast("double").alias("progress")]
+    course, run = (materialize(Ordered(side.select(*columns), ["pair"], ["row_pos"]).row_number("i", "n").df) for side in (reference, target))
+    first = run.filter("i = 1").select("pair", F.col("n").alias("run"), F.col("x").alias("__x"), F.col("y").alias("__y"))
+    scale = F.cos(F.radians("__y")) if geographic else F.lit(1.0)
+    gap = F.pow((F.col("x") - F.col("__x")) * scale, F.lit(2)) + F.pow(F.col("y") - F.col("__y"), F.lit(2))
+    gap = F.when(gap.isNull() | F.isnan(gap), F.lit(float("inf"))).otherwise(gap)
+    starts = join_on(course, first, ["pair"], "inner", null_keys=["pair"]).groupBy("pair").agg(
+        F.min(F.struct(gap.alias("gap"), (F.col("i") - 1).alias("i")))["i"].alias("start"), F.first("n").alias("course"), F.first("run").alias("run"))
+    starts = materialize(starts)  # one row per pair
+    share = (F.col("i") / F.col("n")).alias("share")
+    sides = course.select("pair", F.lit(0).alias("side"), share, "i", "row_pos", "x", "y", "progress").unionByName(
+        run.select("pair", F.lit(1).alias("side"), share, "i", "row_pos", "x", "y", "progress"))
+    key = F.to_json(F.struct("pair")).alias("key")
+    both = join_on(sides, starts, ["pair"], "inner", null_keys=["pair"]).select("*", key)
+    dealt = both.repartition("key").sortWithinPartitions("key", "share", "side", "i").select(
+        "key", "pair", "side", "row_pos", "x", "y", "progress", "start", "course", "run")
+    schema = f"pair {dtype_of(target, 'pair').simpleString()}, row_pos long, progress double"
+    matched = dealt.mapInPandas(_match_rows(geographic), schema)
+    led = starts.select("pair", F.lit(True).alias("__led"))
+    alone = join_on(run, led, ["pair"], "left", null_keys=["pair"]).filter(F.col("__led").isNull())
+    return matched.unionByName(alone.select("pair", F.col("row_pos").cast("long").alias("row_pos"), "progress"))

@@ -6,6 +6,7 @@ at position 0 is the baseline (left side); every other cohort is compared with i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from collections.abc import Sequence as Seq
 
 import numpy as np
@@ -21,7 +22,8 @@ from ..session import materialize
 from .frames import repeat_for
 from .ordered import Ordered
 
-BLOCK_VALUES = 50_000
+BLOCK_VALUES = 1_000_000
+DRAWS_AT_ONCE = 4_000_000
 BY = ["signal", "comparison"]
 
 
@@ -100,31 +102,33 @@ def rank_sum_p(u: pd.Series, n_right: pd.Series, n_left: pd.Series, tie_term: pd
     return pd.Series([p(*row) for row in zip(u, n_right, n_left, tie_term)], dtype="float64")
 
 
+def _draws(rng: np.random.Generator, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rounds, drawn ranks) of all rounds of a side of n values, in pieces; the stream does not depend on the pieces."""
+    step, total = max(n, DRAWS_AT_ONCE // n * n) if n <= DRAWS_AT_ONCE else DRAWS_AT_ONCE, BOOTSTRAP_ROUNDS * n
+    for begin in range(0, total, step):
+        end = min(begin + step, total)
+        yield np.arange(begin, end) // n, rng.integers(0, n, size=end - begin)
+
+
 def _resample(block: pd.DataFrame) -> pd.DataFrame:
-    """Sums of this block's part of every bootstrap round.
+    """This block's part of the mean of every bootstrap round.
 
-    Each round draws as many values as its side has. With several blocks, every block's task computes the same
-    split of the draws over the blocks from the seed, then draws its own part; together they are one exact
-    resample. With one block the draws follow the plain seeded order: the left side first, then the right.
+    Every block follows the one seeded stream of draws, the left side's rounds first, then the right side's, and adds up those that
+    fall on its own ranks. So a draw depends on the round and the rank alone, never on the blocks.
     """
     first = block.iloc[0]
     rng = np.random.default_rng(BOOTSTRAP_SEED)
-    values = block.sort_values("place")["value"].to_numpy(dtype=float)
-    n, blocks, number = int(first["n_side"]), int(first["blocks"]), int(first["block"])
-    if blocks == 1:
-        if first["is_right"]:  # pass over the left side's draws
-            left = int(first["n_left"])
-            for start in range(0, BOOTSTRAP_ROUNDS, 100):
-                rng.integers(0, left, size=(min(100, BOOTSTRAP_ROUNDS - start), left))
-        sums = np.concatenate([
-            rng.choice(values, size=(min(100, BOOTSTRAP_ROUNDS - start), n), replace=True).sum(axis=1)
-            for start in range(0, BOOTSTRAP_ROUNDS, 100)])
-    else:
-        side = int(first["is_right"])
-        sizes = np.array(first["block_sizes"], dtype=float)
-        split = np.random.default_rng([BOOTSTRAP_SEED, side]).multinomial(n, sizes / sizes.sum(), BOOTSTRAP_ROUNDS)
-        own = np.random.default_rng([BOOTSTRAP_SEED, side, number])
-        sums = np.array([own.choice(values, size=k, replace=True).sum() for k in split[:, number]])
+    block = block.sort_values("rank")
+    values, low, n = block["value"].to_numpy(dtype=float), int(block["rank"].iloc[0]), int(first["n_side"])
+    if first["is_right"]:
+        for _ in _draws(rng, int(first["n_left"])):
+            pass
+    sums = np.zeros(BOOTSTRAP_ROUNDS)
+    for rounds, ranks in _draws(rng, n):
+        own = (ranks >= low) & (ranks < low + values.size)
+        if not own.all():
+            rounds, ranks = rounds[own], ranks[own]
+        sums += np.bincount(rounds, values[ranks - low], BOOTSTRAP_ROUNDS)
     return pd.DataFrame({
         "signal": first["signal"], "comparison": first["comparison"], "is_right": bool(first["is_right"]),
         "round": np.arange(BOOTSTRAP_ROUNDS), "part": sums / n})
@@ -133,23 +137,16 @@ def _resample(block: pd.DataFrame) -> pd.DataFrame:
 def bootstrap_interval(pairs: DataFrame, key: str = "dataset_id") -> DataFrame:
     """95 % percentile interval of the difference of means; recordings are resampled on each side.
 
-    A side is cut into blocks of bounded size, each resampled by its own task.
+    A side's values are ranked by recording and cut into blocks of BLOCK_VALUES ranks, each added up by its own task. The
+    interval is the same for every block size.
     """
     side = [*BY, "is_right"]
-    sizes = pairs.groupBy(*side).agg(F.count(F.lit(1)).alias("n_side")).withColumn(
-        "blocks", F.ceil(F.col("n_side") / BLOCK_VALUES).cast("int"))
-    placed = pairs.join(sizes, side).withColumn(
-        "block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
-    per_block = placed.groupBy(*side, "block").agg(F.count(F.lit(1)).alias("c"))
-    layout = per_block.groupBy(*side).agg(F.map_from_entries(F.collect_list(F.struct("block", "c"))).alias("filled"))
-    left = sizes.filter(~F.col("is_right")).select(*BY, F.col("n_side").alias("n_left"))
-    both = sizes.groupBy(*BY).agg(F.min("n_side").alias("least"), F.count(F.lit(1)).alias("s"))
-    both = both.filter((F.col("least") >= 2) & (F.col("s") == 2)).select(*BY)
-    block_sizes = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
-                              lambda b: F.coalesce(F.col("filled")[b], F.lit(0)))
-    ready = placed.join(layout, side).join(left, BY).join(both, BY, "left_semi").select(
-        *side, F.col(key).cast("string").alias("place"), F.col("value").cast("double").alias("value"), "n_side",
-        "n_left", "blocks", "block", block_sizes.alias("block_sizes"))
+    placed = pairs.select(*side, F.col(key).cast("string").alias("place"), F.col("value").cast("double").alias("value"))
+    ranked = Ordered(placed, side, ["place", "value"]).row_number("rank", "n_side").df
+    sizes = pairs.groupBy(*BY).agg(F.count(F.when(~F.col("is_right"), 1)).alias("n_left"), F.count(F.when(F.col("is_right"), 1)).alias("n_right"))
+    both = sizes.filter((F.col("n_left") >= 2) & (F.col("n_right") >= 2)).select(*BY, "n_left")
+    rank = F.col("rank") - 1
+    ready = ranked.join(both, BY).select(*side, "value", "n_side", "n_left", rank.alias("rank"), F.floor(rank / BLOCK_VALUES).alias("block"))
     parts = ready.groupBy(*side, "block").applyInPandas(
         _resample, "signal string, comparison string, is_right boolean, round int, part double")
     signed = F.when(F.col("is_right"), F.col("part")).otherwise(-F.col("part"))

@@ -211,14 +211,19 @@ def test_metrics_and_multi_signal(samples, weighted):
 def test_bootstrap_blocks_give_the_same_interval(spark, monkeypatch):
     rng = np.random.default_rng(1)
     data = [("s", c, p, f"{c}{i}", float(v)) for c, p, mean in (("L", 0, 0.0), ("R", 1, 1.0))
-            for i, v in enumerate(rng.normal(mean, 1, 300))]
+            for i, v in enumerate(rng.normal(mean, 1, 80))]
     values = spark.createDataFrame(data, "signal string, cohort string, position int, dataset_id string, value double")
     pairs = stat_tests.sides(values)
     whole = stat_tests.bootstrap_interval(pairs).first()
-    monkeypatch.setattr(stat_tests, "BLOCK_VALUES", 40)
-    blocks = stat_tests.bootstrap_interval(pairs).first()
-    for end in ("ci95_low", "ci95_high"):
-        assert abs(whole[end] - blocks[end]) < 0.02
+    left, right = ([v[-1] for v in sorted((x for x in data if x[1] == c), key=lambda x: x[3])] for c in "LR")
+    draws = np.random.default_rng(stat_tests.BOOTSTRAP_SEED)
+    a, b = (draws.choice(v, size=(stat_tests.BOOTSTRAP_ROUNDS, len(v)), replace=True).mean(axis=1) for v in (left, right))
+    plain = np.quantile(b - a, [0.025, 0.975])
+    for blocks, at_once in ((10**6, 10**6), (40, 10**6), (299, 1_000), (7, 90)):
+        monkeypatch.setattr(stat_tests, "BLOCK_VALUES", blocks)
+        monkeypatch.setattr(stat_tests, "DRAWS_AT_ONCE", at_once)
+        found = stat_tests.bootstrap_interval(pairs).first() if blocks < 10**6 else whole
+        assert np.allclose([found["ci95_low"], found["ci95_high"]], plain, atol=1e-12)
 
 
 def test_distribution_tails():

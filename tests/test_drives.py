@@ -223,22 +223,48 @@ def test_course_matching_is_monotone(spark):
     assert got == sorted(got) and np.allclose(got, [i / 100 for i in range(0, 101, 2)])
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_long_runs_are_matched_row_by_row(spark, split, request):
-    if split:
+def _plain_match(course_rows, run_rows, geographic):
+    """Every row sought in turn, from the place before it."""
+    ahead = max(40, math.ceil(max(1.0, len(course_rows) / len(run_rows)) * 30))
+    at, out = 0, []
+    for i, (x, y, _) in enumerate(run_rows):
+        stop = len(course_rows) if i == 0 else min(len(course_rows), at + ahead + 1)
+        scale = math.cos(math.radians(y)) if geographic else 1.0
+        at = min(range(at, stop), key=lambda j: (((course_rows[j][0] - x) * scale) ** 2 + (course_rows[j][1] - y) ** 2, j))
+        out.append(course_rows[at][2])
+    return out
+
+
+@pytest.mark.parametrize("geographic", [False, True])
+@pytest.mark.parametrize("bounds", [None, "batches", "chunks"])
+def test_runs_of_any_length_are_matched_row_by_row(spark, bounds, geographic, request):
+    if bounds == "chunks":
         request.getfixturevalue("tiny_bounds")
+    rng = np.random.default_rng(8)
 
-    def run(pair, points):
-        return spark.createDataFrame([(pair, i, float(x), 0.0, i / (len(points) - 1)) for i, x in enumerate(points)],
-                                     "pair string, row_pos bigint, filled_x double, filled_y double, progress double")
+    def run(n, slow=1.0):
+        at = np.sort(rng.random(n)) ** slow
+        return [(float(139 + math.sin(6 * a) + rng.normal(0, 1e-3)), float(35 + a), float(a)) for a in at]
 
     way = [100 - abs(i - 100) for i in range(201)]
-    fine = [100 - abs(i / 5 - 100) for i in range(1001)]
-    target = run("p", fine).unionByName(run("alone", way)).unionByName(run("q", way[:21]))
-    out = course.match_runs(run("p", way).unionByName(run("q", way[:21])), target, geographic=False, limit=101).orderBy("pair", "row_pos").collect()
-    got = {p: [r["progress"] for r in out if r["pair"] == p] for p in ("p", "q", "alone")}
-    assert np.allclose(got["p"], np.arange(1001) / 1000, atol=0.011) and got["p"] == sorted(got["p"])
-    assert np.allclose(got["q"], np.arange(21) / 20) and np.allclose(got["alone"], np.arange(201) / 200)
+    pairs = {"even": (run(900), run(700)), "late": (run(60, 0.2), run(1_500)), "early": (run(2_000, 5.0), run(50)), "one": (run(1), run(3)),
+             "turn": ([(float(x), 0.0, i / 200) for i, x in enumerate(way)], [(100 - abs(i / 5 - 100), 0.0, 0.5) for i in range(1_001)]),
+             None: (run(30), run(30)), "alone": ([], run(5)), "unmet": (run(5), [])}
+
+    def frame(side):
+        data = [(p, 10 * i, *v) for p, both in pairs.items() for i, v in enumerate(both[side])]
+        return spark.createDataFrame(data, "pair string, row_pos int, filled_x double, filled_y double, progress double").repartition(3)
+
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        if bounds == "batches":
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        found = course.match_course(frame(0), frame(1), geographic=geographic).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for p, (course_rows, run_rows) in pairs.items():
+        got = [r["progress"] for r in sorted((r for r in found if r["pair"] == p), key=lambda r: r["row_pos"])]
+        assert got == (_plain_match(course_rows, run_rows, geographic) if course_rows and run_rows else [v[2] for v in run_rows])
 
 
 def test_the_query_matches_runs_above_the_bound(spark, monkeypatch):
