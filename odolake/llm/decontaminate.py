@@ -22,6 +22,7 @@ from .tables import column, free_name, small_batches
 from .text import shingle_hashes, word_hashes
 
 THRESHOLD = 0.6
+MIN_WORDS = 2  # an item of one word stands in too many texts to tell anything
 MATCH, MISS, GAP = 2, -1, 1
 BLOCK_CHARS = 4_000_000  # of items that are worked on together
 _CELLS = 1_000_000
@@ -109,31 +110,47 @@ class Finder:
         return set(seen[n >= self.need[seen]].tolist())
 
     def windows(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, begin, end) of the stretches of a text around the seeds of an item, overlapping ones joined."""
-        spans = defaultdict(list)
+        """(item, begin, end) of the stretches of a text around the seeds of an item, overlapping ones joined.
+
+        A seed that stands at several places of an item opens one window for all of them, so the work follows the seeds that a text
+        holds, however often text and item repeat themselves.
+        """
         for which, seeds in enumerate(self.seeds):
             places, numbers = _hits(words, seeds.size, seeds.hashes)
             wanted = self._wanted(which, numbers) if numbers.size else set()
             if not wanted:
                 continue
-            for place, number in zip(places.tolist(), numbers.tolist(), strict=True):
+            order = np.argsort(numbers, kind="stable")
+            used, firsts = np.unique(numbers[order], return_index=True)
+            met: dict[int, list[tuple[int, int, int, np.ndarray]]] = defaultdict(list)
+            for number, at in zip(used.tolist(), np.split(places[order], firsts[1:]), strict=True):
+                offsets: dict[int, list[int]] = defaultdict(list)
                 for i, offset in seeds.places[number]:
                     if i in wanted:
-                        length = self.items[i].words.size
-                        slack = 4 + math.ceil(max(0.5, MATCH * (1 - self.threshold)) * length)  # more gaps cost more than is left
-                        spans[i].append((max(0, place - offset - slack), min(words.size, place - offset + length + slack), offset))
-        for i, found in spans.items():
-            found.sort()
-            begin, end, offset = found[0]
-            offsets = {offset}
-            for a, b, offset in [*found[1:], (words.size + 1, 0, 0)]:
-                if a <= end:
-                    end = max(end, b)
-                    offsets.add(offset)
-                    continue
-                if len(offsets) >= self.need[i] and np.isin(self.items[i].words, words[begin:end]).mean() >= self.threshold - 1e-9:
-                    yield i, begin, end
-                begin, end, offsets = a, b, {offset}
+                        offsets[i].append(offset)
+                for i, found in offsets.items():
+                    met[i].append((min(found), max(found), len(found), at))
+            for i, found in met.items():
+                yield from self._stretches(i, words, found)
+
+    def _stretches(self, i: int, words: np.ndarray, found: list[tuple[int, int, int, np.ndarray]]) -> Iterator[tuple[int, int, int]]:
+        item = self.items[i].words
+        slack = 4 + math.ceil(max(0.5, MATCH * (1 - self.threshold)) * item.size)  # more gaps cost more than is left
+        begins = np.concatenate([at - high - slack for _, high, _, at in found])
+        ends = np.concatenate([at - low + item.size + slack for low, _, _, at in found])
+        seed = np.repeat(np.arange(len(found)), [at.size for *_, at in found])
+        weight = np.array([n for _, _, n, _ in found])
+        order = np.argsort(begins, kind="stable")
+        begins, ends, seed = np.maximum(begins[order], 0), np.minimum(np.maximum.accumulate(ends[order]), words.size), seed[order]
+        opens = np.flatnonzero(np.r_[True, begins[1:] > ends[:-1]])
+        stretch = np.cumsum(np.isin(np.arange(begins.size), opens)) - 1
+        pairs = np.unique(stretch * len(found) + seed)
+        seeds_in = np.bincount(pairs // len(found), weight[pairs % len(found)], opens.size)
+        closes = np.r_[opens[1:], begins.size] - 1
+        for k in np.flatnonzero(seeds_in >= self.need[i]).tolist():
+            begin, end = int(begins[opens[k]]), int(ends[closes[k]])
+            if np.isin(item, words[begin:end]).mean() >= self.threshold - 1e-9:
+                yield i, begin, end
 
     def find(self, texts: list[str | None]) -> list[list[dict]]:
         """For each text the items it contains, by the best passage of each."""
@@ -159,8 +176,20 @@ class Finder:
         return [[row[i] for i in sorted(row)] for row in found]
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
-    """Items with words, in blocks of about BLOCK_CHARS characters."""
+def short_items(benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(item_id, text) of the items that are left out because they have fewer words, or none."""
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        sizes = {i: words.size for i, words in word_hashes(texts.tolist())}
+        return pd.Series([sizes.get(i, 0) for i in range(len(texts))], dtype="int32")
+
+    items = benchmark.select(column(benchmark, "item_id").cast("bigint").alias("item_id"), column(benchmark, "text").alias("text"))
+    return items.filter(count("text") < min_words)
+
+
+def _blocks(benchmark: DataFrame, min_words: int) -> Iterator[list[Item]]:
+    """Items of at least `min_words` words, in blocks of about BLOCK_CHARS characters."""
     items = benchmark.select(column(benchmark, "item_id").cast("bigint").alias("item_id"), column(benchmark, "text").alias("text")).filter(
         F.col("text").isNotNull())
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -169,7 +198,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == number)
         rows = sorted(block.distinct().collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
         words = dict(word_hashes([r["text"] for r in rows]))
-        held = [Item(r["item_id"], words[i]) for i, r in enumerate(rows) if words[i].size]
+        held = [Item(r["item_id"], words[i]) for i, r in enumerate(rows) if words[i].size >= max(1, min_words)]
         if held:
             yield held
 
@@ -187,14 +216,15 @@ def _find_udf(shared, threshold: float):
     return find
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> Column:
+def contained_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD,
+                    min_words: int = MIN_WORDS) -> Column:
     """array(struct(item_id, score, end_word)) of the items that a text of `docs` contains.
 
     The score is the alignment's share of the score of a whole copy: 1 for the item word for word.
     """
     small_batches(docs.sparkSession)
     parts = []
-    for items in _blocks(benchmark):
+    for items in _blocks(benchmark, min_words):
         seeds = _seeds(items, threshold)
         plain = ([tuple(x) for x in items], [tuple(x) for x in seeds])  # tasks have no package to read its classes from
         shared = docs.sparkSession.sparkContext.broadcast(plain)
@@ -205,7 +235,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", t
 def contaminations(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, item_id, score, end_word) for every row and every item that its text contains.
 
-    Words are compared without case and punctuation. Null and empty texts and items contain nothing and are nowhere; items that
+    Items of fewer than `min_words` words are left out; `short_items` names them. Words are compared without case and punctuation. Null and empty texts and items contain nothing and are nowhere; items that
     repeat count once; repeated rows give repeated results; null ids are kept. Of passages with equal scores the first found stands.
     Other columns are not read, and an empty table on either side gives an empty result.
     """
