@@ -13,7 +13,7 @@ CLUSTER_COLUMN_NAME = r"[\w぀-ヿ㐀-鿿][\w぀-ヿ㐀-鿿 ()-]{0,63}"
 FILE_EXTENSION = r"(?i)\.(csv|parquet|pq)$"
 GPS_FILE_SUFFIX = r"(?i)[_\-\s]*(gps|pos(ition)?|loc(ation)?|latlon|track|位置)$"
 GPS_TAG_SUFFIX = r"(?i)[_\-\s]*(gps|位置|pos(ition)?|loc(ation)?)$"
-START_LONG = r"((?:19|20)\d{2})[-_./]?(\d{2})[-_./]?(\d{2})[ _tT./-]*(\d{2})[-_.:]?(\d{2})[-_.:]?(\d{2})"
+START_LONG = r"(19|20)(\d{2})[-_./]?(\d{2})[-_./]?(\d{2})[ _tT./-]*(\d{2})[-_.:]?(\d{2})[-_.:]?(\d{2})"
 START_SHORT = r"(?<!\d)(\d{2})(\d{2})(\d{2})[-_ ]?(\d{2})(\d{2})(\d{2})(?!\d)"
 
 # Numeric constants.

@@ -150,7 +150,7 @@ def test_task_functions_need_no_package_on_executors(spark):
 
     from odolake.operators import compare, course, overlay, spectrum, stat_tests
 
-    functions = [course._match_pair, overlay._fit_batches, stat_tests._resample, stat_tests.welch_p.func,
+    functions = [course._match_rows(True), overlay._fit_batches, stat_tests._resample, stat_tests.welch_p.func,
                  stat_tests.rank_sum_p.func, compare.ks_of_quantiles.func, spectrum.segment_power.func, spectrum.on_grid.func]
     load = "import sys, pickle; pickle.loads(sys.stdin.buffer.read()); assert not any(m.startswith('odolake') for m in sys.modules)"
     subprocess.run([sys.executable, "-I", "-c", load], input=cloudpickle.dumps(functions), cwd="/", check=True)
