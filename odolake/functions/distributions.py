@@ -1,10 +1,9 @@
-"""Tail probabilities in numpy, evaluated on one row per comparison."""
+"""Tail probabilities, evaluated on one row per comparison."""
 
 from __future__ import annotations
 
 import math
-
-import numpy as np
+from functools import lru_cache
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -46,30 +45,45 @@ def student_two_sided(t: float, df: float) -> float:
     return regular_beta(df / 2, 0.5, df / (df + t * t))
 
 
-def rank_sum_counts(n: int, m: int) -> np.ndarray:
-    """Probability of each value 0..n*m of the rank-sum statistic U without ties.
+@lru_cache(maxsize=None)
+def _bounded_parts(n: int) -> tuple[int, list[int]]:
+    """(L, P) with 1 / ((1 - q) (1 - q) (1 - q^2) .. (1 - q^n)) = P(q) / (1 - q^L)^(n + 1); L is a multiple of 1..n."""
+    cycle = math.lcm(*range(1, n + 1))
+    p = [1]
+    for i in (1, *range(1, n + 1)):  # times (1 - q^L) / (1 - q^i) = 1 + q^i + .. + q^(L - i)
+        grown = p + [0] * (cycle - i)
+        for at in range(i, len(grown)):
+            grown[at] += grown[at - i]
+        for at in range(len(grown) - 1, cycle - 1, -1):
+            grown[at] -= grown[at - cycle]
+        p = grown
+    return cycle, p
+
+
+def rank_sum_tail(n: int, m: int, most: int) -> float:
+    """P(U <= most) of the rank-sum statistic of n and m values without ties, for n values of a few and m of any number.
 
-    Coefficients of the Gaussian binomial, built by alternating one multiplication by (1 - q^(m+i)) and one
-    division by (1 - q^i).
+    The arrangements with U = u are the coefficient of q^u in the product of (1 - q^(m+i)) / (1 - q^i). Multiplying the numerators
+    out leaves 2^n terms, each with a closed form in whole numbers, so nothing as long as n * m is held and nothing is rounded.
     """
-    small, large = min(n, m), max(n, m)
-    p = np.zeros(small * large + 1)
-    p[0] = 1.0
-    for i in range(1, small + 1):
-        step = large + i
-        p[step:] = p[step:] - p[:-step] if step < len(p) else p[step:]
-        pad = (-len(p)) % i
-        p = np.concatenate([p, np.zeros(pad)]).reshape(-1, i).cumsum(axis=0).ravel()[:len(p)]
-        p[i * large + 1:] = 0.0
-    return p / p.sum()
+    n, m = min(n, m), max(n, m)
+    cycle, p = _bounded_parts(n)
+
+    def up_to(x: int) -> int:
+        return sum(p[j] * math.comb((x - j) // cycle + n, n) for j in range(x % cycle, min(x + 1, len(p)), cycle))
+
+    shifts = {0: 1}
+    for i in range(1, n + 1):
+        for shift, sign in list(shifts.items()):
+            shifts[shift + m + i] = shifts.get(shift + m + i, 0) - sign
+    return sum(sign * up_to(most - shift) for shift, sign in shifts.items() if shift <= most) / math.comb(n + m, n)
 
 
 def rank_sum_two_sided(u_right: float, n_right: int, n_left: int, tie_term: float) -> float:
     """Mann-Whitney p: exact for a small untied sample, else normal with tie and continuity correction."""
     u = max(u_right, n_right * n_left - u_right)
     if tie_term == 0 and min(n_right, n_left) <= 8:
-        tail = rank_sum_counts(n_right, n_left)[int(u):].sum()
-        return float(min(1.0, 2 * tail))
+        return min(1.0, 2 * rank_sum_tail(n_right, n_left, n_right * n_left - int(u)))
     n = n_right + n_left
     variance = n_right * n_left / 12 * ((n + 1) - tie_term / (n * (n - 1)))
     if variance <= 0:

@@ -30,14 +30,18 @@ def epoch_seconds(column: Column, dtype: T.DataType) -> Column:
 
 
 def category(column: Column, dtype: T.DataType) -> Column:
-    """Text of a category value. Doubles keep plain digits from 1e-5 up to 1e15, as SQL engines print them."""
+    """Text of a category value. Doubles are written as SQL engines print them: plain digits from 1e-4 (below it, 1e-05) to
+    under 1e16, then `1e+16`; `nan`, `inf` and `-inf`."""
     text = column.cast("string")
     if not isinstance(dtype, (T.DoubleType, T.FloatType)):
         return text
     size = F.abs(column.cast("double"))
-    exponent = text.contains("E")
     plain = F.regexp_replace(F.regexp_replace(column.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
-    return F.when(exponent & (size >= 1e-5) & (size < 1e15), plain).otherwise(text)
+    power = F.regexp_extract(text, r"E-?(\d+)$", 1)
+    digits = F.regexp_replace(F.regexp_extract(text, "^(.*)E", 1), r"\.0$", "")
+    tiny_or_huge = F.concat(digits, F.lit("e"), F.when(size < 1, "-").otherwise("+"), F.when(F.length(power) < 2, "0").otherwise(""), power)
+    return (F.when(F.isnan(column), "nan").when(size == float("inf"), F.when(column > 0, "inf").otherwise("-inf"))
+            .when(~text.contains("E"), text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(tiny_or_huge))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -8,8 +8,9 @@ from collections.abc import Sequence as Seq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixed_values import (
     COURSE_EARTH_RADIUS_M,
@@ -20,7 +21,7 @@ from ..fixed_values import (
     MIN_TIME_STEP,
     ORIGIN_EPSILON,
 )
-from ..functions.scalars import epoch_seconds, finite
+from ..functions.scalars import epoch_seconds, finite, plain_number
 from ..limits import require
 from ..session import materialize
 from .frames import join_on
@@ -28,18 +29,36 @@ from .ordered import Ordered
 from .schema import dtype_of, kind_of
 
 
+_TEXT_TIME = r"^\d{4}-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d*)?)?\s*(Z|[+-]\d{1,2}:\d{2})?)?)?$"
+
+
+def _text_times(text: Column) -> tuple[Column, Column]:
+    """Seconds since 1970 that a text writes as a date, and the number that it writes; null where it does not."""
+    text = F.trim(text)
+    dated = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
+    seconds = epoch_seconds(F.when(dated.rlike(_TEXT_TIME), dated).try_cast("timestamp"), T.TimestampType())
+    return seconds, F.when(text.isNull() | (text == ""), F.lit(0.0)).otherwise(plain_number(text))
+
+
 def timeline(df: DataFrame, time: str, keys: Seq[str] = ("run",), *, tie: str = "row_pos") -> DataFrame:
     """Adds `seconds` since the first row of each run.
 
     Temporal columns count seconds; numeric ones are taken as milliseconds when they start above 1e11 or when
-    the upper median of their positive steps exceeds 1000; anything else, or a run with an unreadable time,
-    counts rows.
+    the upper median of their positive steps exceeds 1000. A run whose texts are all dates counts seconds, one whose
+    texts are all numbers is taken as numeric. Anything else, or a run with an unreadable time, counts rows.
     """
-    kind = kind_of(dtype_of(df, time))
-    value = epoch_seconds(F.col(time), dtype_of(df, time)) if kind != "other" else F.lit(None).cast("double")
-    if kind == "numeric":
-        value = F.coalesce(value, F.lit(0.0))
-    rows = df.withColumn("__t", finite(value))
+    dtype = dtype_of(df, time)
+    kind = "text" if isinstance(dtype, T.StringType) else kind_of(dtype)
+    if kind == "text":
+        date, number = _text_times(F.col(time))
+        rows = Ordered(df.withColumn("__date", date).withColumn("__number", finite(number)), keys, [tie]).totals(
+            {"__dated": F.bool_and(F.col("__date").isNotNull())}).df
+        rows = rows.withColumn("__t", F.when(F.col("__dated"), F.col("__date")).otherwise(F.col("__number"))).drop("__date", "__number")
+    else:
+        value = epoch_seconds(F.col(time), dtype) if kind != "other" else F.lit(None).cast("double")
+        if kind == "numeric":
+            value = F.coalesce(value, F.lit(0.0))
+        rows = df.withColumn("__t", finite(value)).withColumn("__dated", F.lit(kind == "temporal"))
     o = Ordered(rows, keys, [tie]).row_number("__i").lag({"__p": "__t"})
     step = F.when(F.col("__t") > F.col("__p"), F.col("__t") - F.col("__p"))
     o = o.with_columns({"__step": step}).totals({
@@ -47,11 +66,11 @@ def timeline(df: DataFrame, time: str, keys: Seq[str] = ("run",), *, tie: str =
         "__steps": F.count("__step"), "__short": F.count_if(F.col("__step") <= 1000)})
     # the element at floor(n / 2) of the sorted steps exceeds 1000 when at most floor(n / 2) steps do not
     wide = (F.col("__steps") > 0) & (F.col("__short") <= F.floor(F.col("__steps") / 2))
-    scale = F.when((F.abs("__first") > 1e11) | wide, 1000.0).otherwise(1.0) if kind == "numeric" else F.lit(1.0)
+    scale = F.when(~F.col("__dated") & ((F.abs("__first") > 1e11) | wide), 1000.0).otherwise(1.0)
     seconds = F.when(F.col("__bad") > 0, (F.col("__i") - 1).cast("double")).otherwise(
         (F.col("__t") - F.col("__first")) / scale)
     return o.df.withColumn("seconds", seconds).drop(
-        "__t", "__i", "__p", "__step", "__first", "__bad", "__steps", "__short")
+        "__t", "__dated", "__i", "__p", "__step", "__first", "__bad", "__steps", "__short")
 
 
 def _meters(lat1, lon1, lat2, lon2):

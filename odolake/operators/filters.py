@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from datetime import datetime, timedelta
 from functools import reduce
 from operator import and_
 
@@ -34,6 +36,53 @@ def _compare_number(column: Column, op: str, value: float, dtype: T.DataType) ->
     return COMPARE[op](column, F.lit(bound).cast("bigint"))
 
 
+_PERIOD = re.compile(r"([0-9]{4})(?:-([0-9]{2})(?:-([0-9]{2})(?: ([0-9]{2})(?::([0-9]{2})(?::([0-9]{2})(?:\.([0-9]{1,6}))?)?)?)?)?)?")
+
+
+def _period(text: str) -> tuple[datetime, datetime] | None:
+    """Start and end of the longest period whose text the given one begins with: a year, month, day, hour, minute, second or fraction."""
+    match = _PERIOD.match(text)
+    parts = [p for p in match.groups() if p is not None] if match else []
+    for size in range(len(parts), 0, -1):
+        numbers = [int(p) for p in parts[:size]]
+        if size == 7:
+            numbers[6] *= 10 ** (6 - len(parts[6]))
+        try:
+            start = datetime(*(numbers + [1, 1][size - 1:]))
+            if size == 1:
+                return start, datetime(numbers[0] + 1, 1, 1)
+            if size == 2:
+                return start, datetime(numbers[0] + numbers[1] // 12, numbers[1] % 12 + 1, 1)
+            length = {3: 86_400, 4: 3_600, 5: 60, 6: 1}.get(size)
+            return start, start + (timedelta(seconds=length) if length else timedelta(microseconds=10 ** (6 - len(parts[6]))))
+        except (ValueError, OverflowError):
+            continue
+    return None
+
+
+def _time_range(df: DataFrame, column: Column, op: str, value: str, dtype: T.DataType) -> Column | None:
+    """A range of times that holds every row whose text compares so, for scans to apply; None where none is known.
+
+    Texts sort as their times do in the years 1 to 9999; rows outside are left to the comparison of texts.
+    """
+    period = _period(value)
+    if period is None or op == "ne":
+        return None
+    if isinstance(dtype, T.TimestampType) and df.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z", "GMT"):
+        return None
+    day = isinstance(dtype, T.DateType)
+
+    def at(moment: datetime) -> Column:
+        text = moment.strftime("%m-%d") if day else moment.strftime("%m-%d %H:%M:%S.%f")
+        return F.lit(f"{moment.year:04d}-{text}").cast(dtype)
+
+    start, end = period
+    inside = column >= at(start) if op in ("eq", "gt", "ge") else column <= at(end)
+    if op == "eq":
+        inside = inside & (column <= at(end))
+    return inside | (column < at(datetime.min)) | (column > at(datetime.max))
+
+
 def _condition(df: DataFrame, item: dict) -> Column:
     name, op, value = item.get("column"), item.get("op"), item.get("value")
     kind = kind_of(dtype_of(df, name))
@@ -45,7 +94,9 @@ def _condition(df: DataFrame, item: dict) -> Column:
             except (TypeError, ValueError):
                 raise RequestError(f"not a number for {name}: {value!r}") from None
             return _compare_number(column, op, number, dtype_of(df, name))
-        return COMPARE[op](column.cast("string"), F.lit(str(value)))
+        texts = COMPARE[op](column.cast("string"), F.lit(str(value)))
+        times = _time_range(df, column, op, str(value), dtype_of(df, name)) if kind == "temporal" else None
+        return texts if times is None else times & texts
     if op == "contains":
         # % and _ in the value act as wildcards
         return category(column, dtype_of(df, name)).like("%" + str(value).replace("\\", "\\\\") + "%")

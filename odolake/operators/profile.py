@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import category, finite, ratio
+from ..functions.scalars import category, epoch_seconds, finite, ratio
 from ..limits import CORRELATION_COLUMNS, require
 from ..session import materialize
 from .filters import apply_filters
@@ -59,43 +59,49 @@ def stats_chip(df: DataFrame, column: str, filters: list[dict] | None = None, *,
 def column_profile(df: DataFrame, *, keys: Seq[str] = (), exact: bool = False) -> DataFrame:
     """One row per column: type, min, max, approx_unique, avg, std, q25, q50, q75, count, null_percentage.
 
-    One wide aggregation over a single scan. Quartiles are sketches, as in the reference's summary, unless
-    `exact` asks for interpolated ones.
+    One wide aggregation over a single scan. Quartiles are sketches unless `exact` asks for interpolated ones. Mean and
+    quartiles of temporal columns are seconds since 1970, without a spread.
     """
     fields = [f for f in signal_fields(df) if f.name not in keys]
     wide: list[Column] = [F.count(F.lit(1)).alias("__rows")]
-    numeric = [f.name for f in fields if kind_of(f.dataType) == "numeric"]
-    fitting = fitting_columns(df, keys, numeric) if exact and numeric else []
+    measured = {f.name: f.name for f in fields if kind_of(f.dataType) == "numeric"}
+    for i, field in enumerate(fields):
+        if kind_of(field.dataType) == "temporal":
+            measured[field.name] = f"__seconds_{i}"
+            df = df.withColumn(f"__seconds_{i}", epoch_seconds(F.col(f"`{field.name}`"), field.dataType))
+    fitting = fitting_columns(df, keys, list(measured.values())) if exact and measured else []
     rows = []
     for i, field in enumerate(fields):
         column = F.col(f"`{field.name}`")
         wide += [category(F.min(column), field.dataType).alias(f"min_{i}"),
                  category(F.max(column), field.dataType).alias(f"max_{i}"),
                  F.approx_count_distinct(column).alias(f"unique_{i}"), F.count(column).alias(f"count_{i}")]
-        is_number = field.name in numeric
-        if is_number:
-            value = column.cast("double")
-            wide += [F.avg(value).alias(f"avg_{i}"), F.stddev_samp(value).alias(f"std_{i}")]
+        is_number, is_time = kind_of(field.dataType) == "numeric", kind_of(field.dataType) == "temporal"
+        if is_number or is_time:
+            source = measured[field.name]
+            value = F.col(f"`{source}`").cast("double")
+            wide += [F.avg(value).alias(f"avg_{i}"), (F.stddev_samp(value) if is_number else F.max(F.lit(None).cast("double"))).alias(f"std_{i}")]
             if not exact:
                 wide.append(F.percentile_approx(value, list(QUARTILES), 10000).alias(f"q_{i}"))
-            elif field.name in fitting:
-                wide.append(quantile_column(field.name, QUARTILES).alias(f"q_{i}"))
-        q = [F.get(f"q_{i}", F.lit(j)) if is_number else F.lit(None).cast("double") for j in range(3)]
+            elif source in fitting:
+                wide.append(quantile_column(source, QUARTILES).alias(f"q_{i}"))
+        q = [F.get(f"q_{i}", F.lit(j)) if is_number or is_time else F.lit(None).cast("double") for j in range(3)]
         rows.append(F.struct(
             F.lit(i).alias("position"), F.lit(field.name).alias("column_name"),
             F.lit(field.dataType.simpleString()).alias("column_type"),
             F.col(f"min_{i}").alias("min"), F.col(f"max_{i}").alias("max"),
             F.col(f"unique_{i}").alias("approx_unique"),
-            (F.col(f"avg_{i}") if is_number else F.lit(None).cast("double")).alias("avg"),
-            (F.col(f"std_{i}") if is_number else F.lit(None).cast("double")).alias("std"),
+            (F.col(f"avg_{i}") if is_number or is_time else F.lit(None).cast("double")).alias("avg"),
+            (F.col(f"std_{i}") if is_number or is_time else F.lit(None).cast("double")).alias("std"),
             q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"),
             F.col("__rows").alias("count"),
             F.round(ratio((F.col("__rows") - F.col(f"count_{i}")) * 100, F.col("__rows")), 2).alias("null_percentage")))
     out = df.groupBy(*keys).agg(*wide) if keys else df.agg(*wide)
-    large = [f.name for f in fields if f.name in numeric and f.name not in fitting] if exact else []
+    large = [c for c in measured.values() if c not in fitting] if exact else []
     if large:
         q = all_quantiles(df, keys, large, QUARTILES, "q")
-        each = [F.max(F.when(F.col("signal") == f.name, F.col("q"))).alias(f"q_{i}") for i, f in enumerate(fields) if f.name in large]
+        each = [F.max(F.when(F.col("signal") == measured[f.name], F.col("q"))).alias(f"q_{i}")
+                for i, f in enumerate(fields) if measured.get(f.name) in large]
         out = join_on(out, materialize(q.groupBy(*keys).agg(*each)), keys, "left", null_keys=keys)
     return out.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
 

@@ -252,6 +252,20 @@ def elapsed_timeline(spark, sf):
     return rounded(course.timeline(rows, "ts").drop("ts"), 4)
 
 
+@query("elapsed_text_times", """
+SELECT dataset_id AS run, row_pos, round(CASE user_id % 4 WHEN 3 THEN i - 1 ELSE t - first_value(t) OVER (PARTITION BY dataset_id ORDER BY row_pos) END, 3) AS seconds
+FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY row_pos) AS i,
+        CASE user_id % 4 WHEN 2 THEN row_pos / 100.0::DOUBLE ELSE floor(epoch_us(ts) / 1e6) END AS t FROM ev)""")
+def elapsed_text_times(spark, sf):
+    """Times written as text: dates with dashes or slashes, numbers, and runs that hold an unreadable one."""
+    ev = tables.events(spark, sf)
+    style = F.substr("dataset_id", F.lit(2)).cast("int") % 4
+    text = (F.when(style == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(style == 1, F.date_format("ts", "yyyy/MM/dd HH:mm:ss"))
+            .when(style == 2, (F.col("row_pos") / 100.0).cast("string")).otherwise(F.concat(F.lit("at "), F.col("ts").cast("string"))))
+    rows = ev.select(F.col("dataset_id").alias("run"), "row_pos", text.alias("time"))
+    return rounded(course.timeline(rows, "time").drop("time"), 3)
+
+
 @query("elapsed_milliseconds", """
 SELECT event_type AS run, row_pos, round((t - first_value(t) OVER (PARTITION BY event_type ORDER BY row_pos)) / 1000.0::DOUBLE, 6) AS seconds
 FROM (SELECT *, epoch_us(ts) / 1000.0::DOUBLE AS t FROM ev)""")

@@ -91,6 +91,16 @@ def filter_numbers_and_times(spark, sf):
         {"column": "ts", "op": "lt", "value": "2024-01-25"}]).select("row_pos", "dataset_id", "value", "k")
 
 
+@query("filter_times_by_prefix", """
+SELECT o_orderkey, o_orderdate FROM orders
+WHERE CAST(o_orderdate AS VARCHAR) >= '1993-11' AND CAST(o_orderdate AS VARCHAR) <= '1995-03-1' AND CAST(o_orderdate AS VARCHAR) <> '1994-02-03 00:00:00'""")
+def filter_times_by_prefix(spark, sf):
+    """Text comparisons of times with a month and the beginning of a day; the scan gets the range that they imply."""
+    return apply_filters(tables.table(spark, sf, "orders"), [
+        {"column": "o_orderdate", "op": "ge", "value": "1993-11"}, {"column": "o_orderdate", "op": "le", "value": "1995-03-1"},
+        {"column": "o_orderdate", "op": "ne", "value": "1994-02-03 00:00:00"}]).select("o_orderkey", "o_orderdate")
+
+
 @query("filter_text", """
 SELECT p_partkey, p_name, p_type FROM part
 WHERE p_name LIKE '%r_d%' AND p_type > 'ECONOMY' AND p_brand IS NOT NULL AND CAST(p_size AS VARCHAR) LIKE '%1%'""")
@@ -185,6 +195,17 @@ def column_profile(spark, sf):
                               "null_percentage"))
 
 
+@query("column_profile_times", """
+SELECT 'l_shipdate' AS column_name, 'timestamp_ntz' AS column_type, round(avg(s), 1) AS "avg", round(quantile_cont(s, 0.25), 3) AS q25,
+  round(quantile_cont(s, 0.5), 3) AS q50, round(quantile_cont(s, 0.75), 3) AS q75, count(*) AS "count", CAST(min(l_shipdate) AS VARCHAR) AS "min",
+  CAST(max(l_shipdate) AS VARCHAR) AS "max" FROM (SELECT l_shipdate, epoch_us(l_shipdate) / 1e6 AS s FROM lineitem)""")
+def column_profile_times(spark, sf):
+    """Mean and exact quartiles of a time column, in seconds since 1970."""
+    out = profile.column_profile(tables.table(spark, sf, "lineitem").select("l_shipdate"), exact=True)
+    return out.select("column_name", "column_type", F.round("avg", 1).alias("avg"), *[F.round(q, 3).alias(q) for q in ("q25", "q50", "q75")],
+                      "count", "min", "max")
+
+
 @query("column_profile_sketched")
 def column_profile_sketched(spark, sf):
     """The default profile: sketched quartiles and distinct counts of every column in one scan."""
@@ -272,6 +293,20 @@ def histogram_categories(spark, sf):
     return bins.category_histogram(tables.events(spark, sf).withColumn("k", F.col("k").cast("string")), "k")
 
 
+@query("histogram_extreme_numbers", """
+SELECT label, n AS "count", CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS INT) AS axis FROM
+ (SELECT CAST(v AS VARCHAR) AS label, count(*) AS n FROM
+   (SELECT CASE CAST(l_quantity AS INT) % 5 WHEN 0 THEN l_quantity * CAST(1e15 AS DOUBLE) WHEN 1 THEN l_quantity / CAST(1048576 AS DOUBLE)
+      WHEN 2 THEN -l_quantity * CAST(1e120 AS DOUBLE) WHEN 3 THEN l_quantity * CAST(1e6 AS DOUBLE) ELSE l_quantity END AS v FROM lineitem)
+  GROUP BY 1 ORDER BY n DESC, label LIMIT 40)""")
+def histogram_extreme_numbers(spark, sf):
+    """Labels of very large and very small doubles."""
+    quantity, style = F.col("l_quantity"), F.col("l_quantity").cast("int") % 5
+    value = (F.when(style == 0, quantity * 1e15).when(style == 1, quantity / 1048576.0).when(style == 2, -quantity * 1e120)
+             .when(style == 3, quantity * 1e6).otherwise(quantity))
+    return bins.category_histogram(tables.table(spark, sf, "lineitem").select(value.alias("v")), "v")
+
+
 @query("density_2d", """
 r AS (SELECT min(value) AS lx, (max(value) - min(value)) / 20 AS wx, min(k) AS ly, (max(k) - min(k)) / 20.0::DOUBLE AS wy FROM ev),
 c AS (SELECT least(CAST(floor((value - lx) / wx) AS INT), 19) AS bin_x, least(CAST(floor((k - ly) / wy) AS INT), 19) AS bin_y,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .fixed_values import DEFAULT_BAND
 from .functions.scalars import epoch_seconds
-from .limits import require
+from .limits import PREVIEW_MAX, require
 from .operators import (
     bins,
     charts,
@@ -71,7 +71,9 @@ class Workspace:
         return schema.describe(self.store.dataset(dataset_id))
 
     def preview(self, dataset_id: str, limit: int = 100) -> DataFrame:
-        return sampling.preview(self.store.dataset(dataset_id), limit).drop("dataset_id", "row_pos")
+        # positions of a stored recording are 0, 1, ..., so the scan can skip all later row groups
+        first = self.store.dataset(dataset_id).filter(F.col("row_pos") < min(int(limit), PREVIEW_MAX))
+        return sampling.preview(first, limit).drop("dataset_id", "row_pos")
 
     def summary(self, dataset_id: str, exact: bool = False) -> DataFrame:
         return profile.column_profile(self.store.dataset(dataset_id), exact=exact)
