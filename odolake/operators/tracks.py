@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence as Seq
-from itertools import combinations
+from itertools import combinations, permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,18 +91,17 @@ def choose_axes(sample: DataFrame, fields: list[tuple[str, str]], lat_col: str |
         kind, coords = coordinate_columns(fields)
         require(kind != "none", "no coordinate columns found; name them")
         named = kind == "latlon"
-    row = coordinate_stats(sample, [], coords).first()  # one row
-    stat = {c: (row[f"min_{i}"], row[f"max_{i}"], row[f"mean_{i}"]) for i, c in enumerate(coords)}
-    number = {c: tuple(F.lit(v).cast("double") for v in s) for c, s in stat.items()}
-
-    def ask(test: Column) -> bool:
-        return bool(sample.sparkSession.range(1).select(test.alias("t")).first()[0])
-
-    def degrees(a: str, b: str) -> bool:
-        return ask(looks_like_degrees(*number[a], *number[b]))
-
-    def far(c: str) -> Column:
-        return F.greatest(F.abs(number[c][0]), F.abs(number[c][1]))
+    stats = coordinate_stats(sample, [], coords)
+    number = {c: tuple(F.col(f"{part}_{i}").cast("double") for part in ("min", "max", "mean")) for i, c in enumerate(coords)}
+    far = {c: F.greatest(F.abs(n[0]), F.abs(n[1])) for c, n in number.items()}
+    tests = {}  # every question about a pair of axes, answered beside the aggregate
+    for p, q in permutations(coords, 2):
+        tests["degrees", p, q] = looks_like_degrees(*number[p], *number[q])
+        tests["swap", p, q] = swap_roles(far[p], far[q])
+        tests["first", p, q] = latitude_first(far[p], number[p][2], far[q], number[q][2])
+    row = stats.select("*", *[t.alias(f"__test_{i}") for i, t in enumerate(tests.values())]).first()  # one row
+    stat = {c: (row[f"min_{i}"], row[f"max_{i}"]) for i, c in enumerate(coords)}
+    answers = {name: bool(row[f"__test_{i}"]) for i, name in enumerate(tests)}
 
     lon = lat = None
     if not named and "x" in axes and "y" in axes and {axes["x"], axes["y"]} <= set(coords):
@@ -110,7 +109,7 @@ def choose_axes(sample: DataFrame, fields: list[tuple[str, str]], lat_col: str |
     elif named:
         a, b = lat, lon = coords[0], coords[1]
     else:
-        found = next(((p, q) for p, q in combinations(coords, 2) if degrees(p, q)), None)
+        found = next(((p, q) for p, q in combinations(coords, 2) if answers["degrees", p, q]), None)
         if found:
             a, b = found
         else:
@@ -119,13 +118,13 @@ def choose_axes(sample: DataFrame, fields: list[tuple[str, str]], lat_col: str |
             a, b = sorted(widest, key=coords.index)
     altitude = next((axes[k] for k in "zyx" if axes.get(k) and axes[k] not in coords), None) or next(
         (c for c in coords if c not in (a, b)), None)
-    if not degrees(a, b):
+    if not answers["degrees", a, b]:
         return {"mode": "planar", "x": a, "y": b, "altitude": altitude}
     if lat and lon:
-        if ask(swap_roles(far(lat), far(lon))):
+        if answers["swap", lat, lon]:
             lat, lon = lon, lat
     else:
-        lat, lon = (a, b) if ask(latitude_first(far(a), number[a][2], far(b), number[b][2])) else (b, a)
+        lat, lon = (a, b) if answers["first", a, b] else (b, a)
     return {"mode": "geographic", "x": lon, "y": lat, "altitude": altitude}
 
 
