@@ -6,17 +6,17 @@ sketches need the same runs in the same order, so their chance follows edit simi
 are linked if an alignment within the diagonal band that the threshold leaves keeps at least `threshold` of their runs:
 kept / (runs of both - kept), over labelled runs, so a text is not like itself written twice.
 
-Equal texts are one class by their digest and take part once. A bucket of equal sketches is never paired out: its
-members are compared with one leader, the text that meets the most others. A bucket that still holds more than one class
-is split by a further sketch, and what meets there is compared with a few other leaders, until every bucket is settled
-or all sketches agree. No bucket, text or partner is left out for its number.
+Equal texts are one class by their digest and take part once. The members of a bucket of equal sketches are compared with
+one leader, the text that meets the most others, which settles most buckets at a cost that follows their size. In a bucket
+that still holds more than one class every pair of different classes is judged: its texts meet in pairs of blocks of bounded
+size, a task each, that give links only. No bucket, text or partner is left out for its number, so the classes are those of all
+candidate pairs.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,9 +32,9 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 SKETCHES = 12
 WIDTH = 2
-LEADERS = 4  # of a bucket in each round after the first
-STEPS = (1, 2, 3)  # sketches that each round splits by; the last number goes on
-_JUDGED = "member string, leader string, leader_label string, similar boolean"
+BLOCK_TEXTS = 512  # of a bucket that meet another block in one task
+BLOCK_CHARS = 8 << 20
+_JUDGED = "member string, leader string, similar boolean"
 _SEEDS = np.random.RandomState(29).randint(1, 2**63 - 1, 256).astype(np.uint64)
 
 
@@ -102,11 +102,67 @@ def _judge_rows(shingle: int, threshold: float):
             members = runs(batch["member_text"].tolist())
             similar = [aligned_similarity(x, leaders[t], threshold) >= threshold
                        for x, t in zip(members, batch["leader_text"], strict=True)]
-            yield batch[["member", "leader", "leader_label"]].assign(similar=similar)
+            yield batch[["member", "leader"]].assign(similar=similar)
     return run
 
 
-def _roots(reps: DataFrame, rows: DataFrame, shingle: int, threshold: float, sketches: int) -> DataFrame:
+def block_links(runs: list[np.ndarray], labels: np.ndarray, sketch: np.ndarray, start: int, left: np.ndarray, right: np.ndarray | None,
+                threshold: float) -> list[tuple[int, int]]:
+    """Links that join the classes of the texts at `left` and at `right`, or of all pairs at `left` without `right`.
+
+    Every pair of different labels is judged in the bucket of the first sketch that it shares; labels that a link joins are one from then on.
+    Common runs are counted for all partners of a text at once, and only pairs that could reach the threshold are aligned.
+    """
+    sizes, labels = np.array([r.size for r in runs]), labels.copy()
+    ids = np.split(np.unique(np.concatenate(runs), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    marked, found = np.zeros(int(sizes.sum()), dtype=np.uint8), []
+    for at, i in enumerate(left.tolist()):
+        asked = left[at + 1:] if right is None else right
+        asked = asked[labels[asked] != labels[i]]
+        asked = asked[np.minimum(sizes[asked], sizes[i]) >= threshold * np.maximum(sizes[asked], sizes[i])]
+        asked = asked[~(sketch[asked, :start] == sketch[i, :start]).any(axis=1)]
+        if not asked.size:
+            continue
+        marked[ids[i]] = 1
+        ends = np.cumsum(sizes[asked])
+        common = np.add.reduceat(marked[np.concatenate([ids[j] for j in asked.tolist()])], ends - sizes[asked], dtype=np.int64)
+        marked[ids[i]] = 0
+        for j in asked[common / (sizes[i] + sizes[asked] - common) >= threshold].tolist():
+            if labels[j] != labels[i] and aligned_similarity(runs[i], runs[j], threshold) >= threshold:
+                found.append((i, j))
+                labels[labels == labels[j]] = labels[i]
+    return found
+
+
+def _block_rows(shingle: int, threshold: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        first, last, start = (int(group[c].iloc[0]) for c in ("first_block", "last_block", "start"))
+        runs = [labelled_runs(words, shingle) for _, words in word_hashes(group["text"].tolist())]
+        own = group["block"].to_numpy()
+        links = block_links(runs, pd.factorize(group["label"])[0], np.stack(group["sketch"].tolist()), start,
+                            np.flatnonzero(own == first), None if first == last else np.flatnonzero(own == last), threshold)
+        keys = group["text_key"].tolist()
+        return pd.DataFrame([(keys[i], keys[j]) for i, j in links], columns=["member", "leader"])
+    return run
+
+
+def _rest_links(rest: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame | None:
+    """(member, leader) links between the classes that (bucket, start, text_key, label) still holds in one bucket; None if there are none."""
+    rest = materialize(rest.join(texts.select("text_key", "chars"), "text_key"))
+    blocks = materialize(rest.groupBy("bucket").agg(
+        F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).filter("a != b").select(
+        "bucket", F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("chars") / BLOCK_CHARS)).cast("int").alias("blocks")))
+    if blocks.isEmpty():
+        return None
+    dealt = (rest.drop("chars").join(blocks, "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(text_key, bucket), blocks) as int)"))
+             .join(reps.select("text_key", "sketch"), "text_key").join(texts.select("text_key", "text"), "text_key")
+             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+             .withColumn("first_block", F.least("block", "other")).withColumn("last_block", F.greatest("block", "other")).drop("blocks", "other"))
+    return materialize(dealt.groupBy("bucket", "first_block", "last_block").applyInPandas(
+        _block_rows(shingle, threshold), "member string, leader string"))
+
+
+def _roots(reps: DataFrame, rows: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """(node, root) of the digests that are linked to another one."""
     entries = materialize(reps.select("text_key", F.posexplode("sketch").alias("start", "value")).select(
         F.xxhash64("start", "value").alias("bucket"), "start", "text_key"))
@@ -114,55 +170,24 @@ def _roots(reps: DataFrame, rows: DataFrame, shingle: int, threshold: float, ske
     met = materialize(entries.join(sizes, "bucket"))
     # the original of many copies agrees with most of them: it meets the most texts, and leads
     rank = materialize(met.groupBy("text_key").agg(F.sum("n").alias("rank")))
-    entries = met.join(rank, "text_key").select("bucket", "start", "text_key", F.col("text_key").alias("label"), "rank")
-    links, texts, judged, depth = [], None, None, 1
-    while depth <= sketches:
-        part = F.pmod(F.xxhash64("text_key", F.lit(depth)), F.lit(LEADERS)) if depth > 1 else F.lit(0)
-        entries = materialize(entries.withColumn("part", part))
-        tops = materialize(entries.groupBy("bucket", "part").agg(
-            F.max(F.struct("rank", "text_key", "label")).alias("top"), F.min("label").alias("a"), F.max("label").alias("b")))
-        mixed = tops.groupBy("bucket").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a != b").select("bucket")
-        leaders = materialize(tops.join(mixed, "bucket").select(
-            "bucket", F.col("top.text_key").alias("leader"), F.col("top.label").alias("leader_label")))
-        if leaders.isEmpty():
-            break
-        # one row a bucket with its leaders: the join gives each entry once, and a text meets a leader once however many buckets they share
-        sets = materialize(leaders.groupBy("bucket").agg(F.collect_list(F.struct("leader", "leader_label")).alias("led")))
-        meets = entries.select("bucket", "text_key", "label").join(sets, "bucket").select(
-            "text_key", F.filter("led", lambda x: x["leader_label"] != F.col("label")).alias("led")).filter(F.size("led") > 0)
-        # a text's leaders from all its buckets, at most LEADERS times SKETCHES, each once
-        pairs = meets.groupBy("text_key").agg(F.array_distinct(F.flatten(F.collect_list("led"))).alias("led")).select(
-            F.col("text_key").alias("member"), F.explode("led").alias("l")).select("member", "l.leader", "l.leader_label")
-        if judged is not None:
-            pairs = pairs.join(judged.select("member", "leader"), ["member", "leader"], "left_anti")
-        if texts is None:
-            wanted = materialize(reps.select("text_key", F.col("rep_id").alias("doc_id")).join(
-                entries.join(leaders.select("bucket").distinct(), "bucket").select("text_key").distinct(), "text_key"))
-            same = (rows["text_key"] == wanted["text_key"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])
-            texts = materialize(rows.join(wanted, same).select(rows["text_key"], rows["text"]).dropDuplicates(["text_key"]))
-        sided = (pairs.join(texts.select(F.col("text_key").alias("member"), F.col("text").alias("member_text")), "member")
-                 .join(texts.select(F.col("text_key").alias("leader"), F.col("text").alias("leader_text")), "leader"))
-        found = materialize(sided.mapInPandas(_judge_rows(shingle, threshold), _JUDGED))
-        judged = found if judged is None else judged.unionByName(found)
-        links.append(found.filter("similar").select("member", "leader"))
-        # members take the label of a leader they match, and what had theirs follows; equal labels are in one class
-        taken = materialize(found.filter("similar").groupBy("member").agg(F.min("leader_label").alias("taken")))
-        # the leaders are done with. Buckets that hold more than one class are split by their next sketches, round about;
-        # texts without a match lead before members of a class, since those only have to meet the others
-        led = leaders.select("bucket", F.col("leader").alias("text_key"))
-        step = STEPS[min(len(links), len(STEPS)) - 1]
-        more = [F.expr(f"get(sketch, (start + {d}) % {sketches})") for d in range(depth, min(depth + step, sketches))]
-        left = (entries.join(leaders.select("bucket").distinct(), "bucket").join(led, ["bucket", "text_key"], "left_anti").join(reps.select("text_key", "sketch"), "text_key")
-                .select("start", "text_key", "label", F.xxhash64("bucket", F.lit(depth), *more).alias("bucket"))
-                .join(taken.withColumnRenamed("member", "text_key"), "text_key", "left")
-                .withColumn("label", F.coalesce("taken", "label")).drop("taken")
-                .join(taken.select(F.col("member").alias("label"), "taken"), "label", "left")
-                .withColumn("label", F.coalesce("taken", "label")))
-        entries = left.select("bucket", "start", "text_key", "label", F.shiftright(F.xxhash64("text_key", "bucket"), 2).alias("draw")).select(
-            "bucket", "start", "text_key", "label", F.expr("if(label = text_key, draw + shiftleft(1L, 62), draw)").alias("rank"))
-        depth += step
-    none = reps.filter(F.lit(False)).select(F.col("text_key").alias("member"), F.col("text_key").alias("leader"))
-    return components(reduce(DataFrame.unionByName, links, none), "member", "leader")
+    met = materialize(met.join(rank, "text_key").select("bucket", "start", "text_key", "rank"))
+    leaders = materialize(met.groupBy("bucket").agg(F.max(F.struct("rank", "text_key")).alias("top")).select("bucket", F.col("top.text_key").alias("leader")))
+    members = materialize(met.join(leaders, "bucket").filter("text_key != leader").select("bucket", "start", F.col("text_key").alias("member"), "leader"))
+    wanted = materialize(reps.select("text_key", F.col("rep_id").alias("doc_id")).join(rank.select("text_key"), "text_key"))
+    same = (rows["text_key"] == wanted["text_key"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])
+    texts = materialize(rows.join(wanted, same).select(rows["text_key"], rows["text"], F.length(rows["text"]).alias("chars")).dropDuplicates(["text_key"]))
+    sided = (members.select("member", "leader").distinct()
+             .join(texts.select(F.col("text_key").alias("member"), F.col("text").alias("member_text")), "member")
+             .join(texts.select(F.col("text_key").alias("leader"), F.col("text").alias("leader_text")), "leader"))
+    links = materialize(sided.mapInPandas(_judge_rows(shingle, threshold), _JUDGED)).filter("similar").select("member", "leader")
+    roots = materialize(components(links, "member", "leader"))
+    # the leaders have met all of their bucket and are done with; what else it holds is one class, or meets in blocks
+    rest = members.join(roots.withColumnRenamed("node", "member"), "member", "left").select(
+        "bucket", "start", F.col("member").alias("text_key"), F.coalesce("root", "member").alias("label"))
+    more = _rest_links(rest, reps, texts, shingle, threshold)
+    if more is None:
+        return roots
+    return components(roots.select(F.col("node").alias("member"), F.col("root").alias("leader")).unionByName(more), "member", "leader")
 
 
 def _classed(docs: DataFrame, shingle: int, threshold: float, sketches: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -173,7 +198,7 @@ def _classed(docs: DataFrame, shingle: int, threshold: float, sketches: int, wid
     keyed = materialize(rows.mapInPandas(_sketch_rows(shingle, sketches, width),
                                          "doc_id bigint, text_key string, sketch array<bigint>"))
     reps = materialize(keyed.groupBy("text_key").agg(F.min("doc_id").alias("rep_id"), F.first("sketch").alias("sketch")))
-    roots = _roots(reps, rows, shingle, threshold, sketches)
+    roots = _roots(reps, rows, shingle, threshold)
     texts = reps.select("text_key", "rep_id").join(roots.withColumnRenamed("node", "text_key"), "text_key", "left")
     return keyed.select("doc_id", "text_key"), materialize(texts.withColumn("root", F.coalesce("root", "text_key")))
 

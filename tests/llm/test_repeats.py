@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import time
 
@@ -10,7 +11,8 @@ import pytest
 
 from odolake.llm.decontaminate import Finder, Item, _seeds, contaminations, keep_clean, short_items
 from odolake.llm.line_dedup import drop_boilerplate
-from odolake.llm.near_dedup import aligned_similarity, keep_one, labelled_runs, near_classes
+from odolake.llm import near_dedup
+from odolake.llm.near_dedup import aligned_similarity, block_links, keep_one, labelled_runs, near_classes, order_sketches
 from odolake.llm.text import word_hashes
 
 DOCS = "doc_id bigint, text string"
@@ -53,6 +55,52 @@ def test_many_copies_of_two_originals_give_two_classes(spark):
     assert set(classes.values()) == {0, 1_000} and all(c == i // 1_000 * 1_000 for i, c in classes.items())
 
 
+@pytest.fixture(scope="module")
+def around_the_threshold():
+    """Copies of few originals that are like some of the other copies only, and the classes by all pairs that share a sketch."""
+    draw = random.Random(7)
+    texts = []
+    for _ in range(3):
+        base = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+        for _ in range(160):
+            copy = list(base)
+            for at in draw.sample(range(120), draw.choice([1, 2, 3, 4])):
+                copy[at] = f"e{draw.randrange(30)}"
+            texts.append(" ".join(copy))
+    words = [words_of(t) for t in texts]
+    runs = [labelled_runs(w, 5) for w in words]
+    sketches = [order_sketches(w, 5, near_dedup.SKETCHES, near_dedup.WIDTH) for w in words]
+    classes = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if classes[i] != classes[j] and (sketches[i] == sketches[j]).any() and aligned_similarity(runs[i], runs[j], 0.8) >= 0.8:
+            low, high = sorted((classes[i], classes[j]))
+            classes = [low if c == high else c for c in classes]
+    return texts, dict(enumerate(classes))
+
+
+@pytest.mark.parametrize("size", [512, 40])
+def test_no_pair_that_shares_a_sketch_is_left_out(spark, monkeypatch, around_the_threshold, size):
+    texts, classes = around_the_threshold
+    assert 100 < len(set(classes.values())) < len(texts) - 100  # neither all alone nor a class an original
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", size)
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
+    assert {r["doc_id"]: r["class_id"] for r in near_classes(docs).collect()} == classes
+    if size < 512:
+        assert sorted(r["doc_id"] for r in keep_one(docs).collect()) == sorted(set(classes.values()))
+
+
+def test_blocks_link_across_and_inside_and_judge_a_pair_once():
+    a, b = np.arange(100, dtype=np.uint64), np.arange(500, 600, dtype=np.uint64)
+    runs = [a, b, a[:95], b[:95], a[:50]]
+    labels, sketch = np.arange(5), np.array([[1, 9]] * 3 + [[2, 9]] * 2)
+    every, none = np.arange(5), np.array([], dtype=int)
+    assert block_links(runs, labels, sketch, 0, every, None, 0.8) == [(0, 2), (1, 3)]
+    assert block_links(runs, labels, sketch, 1, every, None, 0.8) == [(1, 3)]  # the others met in the bucket of the first sketch
+    assert block_links(runs, labels, sketch, 0, every[:2], every[2:], 0.8) == [(0, 2), (1, 3)]
+    assert block_links(runs, np.array([0, 1, 0, 1, 2]), sketch, 0, every, None, 0.8) == []
+    assert block_links(runs, labels, sketch, 0, none, every, 0.8) == block_links(runs, labels, sketch, 0, every, none, 0.8) == []
+
+
 def test_repetitive_texts_take_seconds_and_are_found():
     item = words_of("no " * 200)
     finder = Finder([Item(1, item)], _seeds([Item(1, item)], 0.6), 0.6)
