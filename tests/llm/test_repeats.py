@@ -9,6 +9,7 @@ import time
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from odolake.llm.decontaminate import Finder, Item, _seeds, contaminations, keep_clean, short_items
 from odolake.llm.line_dedup import drop_boilerplate
 from odolake.llm import near_dedup
@@ -89,6 +90,13 @@ def test_no_pair_that_shares_a_sketch_is_left_out(spark, monkeypatch, around_the
         assert sorted(r["doc_id"] for r in keep_one(docs).collect()) == sorted(set(classes.values()))
 
 
+def test_the_pipeline_keeps_one_text_of_each_class(spark, around_the_threshold):
+    texts, classes = around_the_threshold
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS + ", lang string, source string, n_chars bigint")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(classes.values()))
+
+
 def test_blocks_link_across_and_inside_and_judge_a_pair_once():
     a, b = np.arange(100, dtype=np.uint64), np.arange(500, 600, dtype=np.uint64)
     runs = [a, b, a[:95], b[:95], a[:50]]
