@@ -35,7 +35,7 @@ def best_widths(values: np.ndarray) -> tuple[int, ...]:
     """Chunk widths with the least total size: a shortest path over the bit lengths of the values."""
     longest = int(values.max()).bit_length() if values.size else 0
     top = max(STEP, longest + -longest % STEP)
-    longer = [int((values >> np.uint64(b) > 0).sum()) if b else values.size for b in range(0, top, STEP)]  # values that reach level bit b
+    longer = [np.count_nonzero(values >= np.uint64(1 << b)) if b else values.size for b in range(0, top, STEP)]  # values that reach level bit b
     flag = 1 + 32 / BLOCK_BITS
     best: list[tuple[float, tuple[int, ...]]] = [(0.0, ())] * (len(longer) + 1)
     for i in range(len(longer) - 1, -1, -1):
@@ -45,9 +45,12 @@ def best_widths(values: np.ndarray) -> tuple[int, ...]:
 
 
 def _pack(chunks: np.ndarray, width: int) -> bytes:
+    low = np.ascontiguousarray(chunks.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :-(-width // 8)])
     if width % 8 == 0:
-        return np.ascontiguousarray(chunks.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width // 8]).tobytes()
-    parts = np.stack([(chunks >> np.uint64(s)) & np.uint64(15) for s in range(0, width, 4)], axis=1).astype(np.uint8).ravel()
+        return low.tobytes()
+    parts = np.empty((len(low), 2 * low.shape[1]), dtype=np.uint8)
+    parts[:, 0::2], parts[:, 1::2] = low & 15, low >> 4
+    parts = parts[:, :width // 4].ravel()
     parts = np.append(parts, np.zeros(parts.size % 2, dtype=np.uint8))
     return (parts[0::2] | parts[1::2] << 4).tobytes()
 

@@ -13,6 +13,8 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,9 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 _BYTE_LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+_SPACE_LETTER = _BYTE_LETTERS[32]
+_ENDS = ",.;:!?"  # after letters they are one word, which has no apostrophe
+_TOKEN_ID = attrgetter("id")
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ROWS = "part int, number bigint, place bigint, doc_id bigint, first bigint, n_tokens bigint, ids_crc32 bigint, last_id bigint"
 
@@ -66,40 +71,47 @@ class PieceEncoder:
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _pieces(self, pieces: set[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of pieces that follow a space; a word that stands in several is merged once."""
-        plain, found = [], []
+    def _learn(self, pieces: set[str]) -> None:
+        """Keep the ids of pieces that follow a space; a word that stands in several is merged once."""
+        plain, found, known, words = [], [], self.known, self.words
         for p in pieces:
             if len(p) > CACHED_CHARS:
-                yield p, self._whole(f" {p}")
-            else:
-                plain.append(p)
+                known[p] = self._whole(f" {p}")
+                continue
+            core = p.rstrip(_ENDS)
+            plain.append(p)
+            if not (core.isascii() and core.isalpha()):
                 found.append(self.splits(f" {p}"))
-        fresh = set().union(*found).difference(self.words)
-        merge, letters = self.tokenizer.model.tokenize, _BYTE_LETTERS
-        self.words.update((w, array("I", [t.id for t in merge(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))]).tobytes())
-                          for w in fresh)
-        for p, words in zip(plain, found, strict=True):
-            yield p, b"".join(map(self.words.__getitem__, words))
+            else:  # one word of ASCII letters, and what ends it
+                found.append((f" {core}", p[len(core):]) if len(core) < len(p) else (f" {core}",))
+        merge = self.tokenizer.model.tokenize
+        for w in set(chain.from_iterable(found)).difference(words):
+            plain_ascii = w.isascii() and w.isprintable()
+            letters = w.replace(" ", _SPACE_LETTER) if plain_ascii else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_LETTERS)
+            words[w] = array("I", [*map(_TOKEN_ID, merge(letters))]).tobytes()
+        for p, parts in zip(plain, found, strict=True):
+            known[p] = words[parts[0]] if len(parts) == 1 else b"".join(map(words.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text."""
         for begin in range(0, len(texts), TEXTS_AT_ONCE):
             some = texts[begin:begin + TEXTS_AT_ONCE]
             cut = [text.split(" ") if self.cuts and not any(t in text for t in self.added) else None for text in some]
-            loose = {p for p in set().union(*[c for c in cut if c]) if p.strip() != p or not p}
-            for i, parts in enumerate(cut if loose else ()):
-                if parts and not loose.isdisjoint(parts):  # a space beside other white space: cut at the single spaces only
-                    cut[i] = _INNER_SPACE.split(some[i])
             if len(self.known) > CACHED_PIECES:
                 self.known, self.words = {}, {}
-            fresh = set().union(*[c[1:] for c in cut if c]).difference(self.known)
-            self.known.update(self._pieces(fresh))
+            fresh = set().union(*[c for c in cut if c]).difference(self.known)
+            loose = {p for p in fresh if p.strip() != p or not p}  # remembered pieces are not
+            if loose:
+                for i, parts in enumerate(cut):
+                    if parts and not loose.isdisjoint(parts):  # a space beside other white space: cut at the single spaces only
+                        cut[i] = _INNER_SPACE.split(some[i])
+                fresh = set().union(*[c[1:] for c in cut if c]).difference(self.known)
+            self._learn(fresh)
             for text, parts in zip(some, cut, strict=True):
                 data = self._whole(text) if parts is None else b"".join([self._whole(parts[0]), *map(self.known.__getitem__, parts[1:])])
                 yield np.frombuffer(data, np.uint32)
             for p in fresh:
-                if len(p) > CACHED_CHARS:
+                if len(p) > CACHED_CHARS or p.strip() != p or not p:
                     del self.known[p]
 
 

@@ -58,6 +58,19 @@ def test_pieces_give_the_ids_of_whole_texts():
     assert [x.tolist() for x in whole.encode(texts[:50])] == [whole.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[:50]]
 
 
+def test_plain_words_need_no_pattern_and_edge_space_is_not_remembered():
+    plain = "The the, the. the... end?! a;b it's don't x1 _ -- it,s the,the .the The"
+    texts = [plain, "b c\n", "a c\n d", " lead", "tail \t", "é, é. naïve; ü", "", "one\ntwo three,\nfour", "c\n"]
+    encoder = PieceEncoder(BPE)
+    for _ in range(2):  # from nothing, and from what is remembered
+        assert [x.tolist() for x in encoder.encode(texts)] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.known and all(p and p == p.strip() for p in encoder.known)
+    encoder, asked = PieceEncoder(BPE), []
+    encoder.splits = lambda piece, splits=encoder.splits: asked.append(piece) or splits(piece)
+    assert [x.tolist() for x in encoder.encode(["in the, end. it's"])] == [encoder.tokenizer.encode("in the, end. it's").ids]
+    assert asked == [" it's"]
+
+
 def test_token_files_round_trip(spark):
     texts = {1: "one two  three\n four", 2: None, 3: "", 5: "word " * 30_000 + "y" * 5_000, 7: "é" * 50, 8: "<|endoftext|> x", 10: "last"}
     rows = [(i, t, -i) for i, t in texts.items()] + [(None, "no id", 0), (None, "no id", 0), (5, "again", 0), (7, "é" * 50, 1)]
