@@ -13,7 +13,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 from operator import attrgetter
 
 import numpy as np
@@ -73,24 +72,34 @@ class PieceEncoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """Keep the ids of pieces that follow a space; a word that stands in several is merged once."""
-        plain, found, known, words = [], [], self.known, self.words
+        known, words, merge = self.known, self.words, self.tokenizer.model.tokenize
+
+        def merged(word: str) -> bytes:
+            plain = word.isascii() and word.isprintable()
+            letters = word.replace(" ", _SPACE_LETTER) if plain else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_LETTERS)
+            return array("I", [*map(_TOKEN_ID, merge(letters))]).tobytes()
+
         for p in pieces:
             if len(p) > CACHED_CHARS:
                 known[p] = self._whole(f" {p}")
                 continue
             core = p.rstrip(_ENDS)
-            plain.append(p)
-            if not (core.isascii() and core.isalpha()):
-                found.append(self.splits(f" {p}"))
-            else:  # one word of ASCII letters, and what ends it
-                found.append((f" {core}", p[len(core):]) if len(core) < len(p) else (f" {core}",))
-        merge = self.tokenizer.model.tokenize
-        for w in set(chain.from_iterable(found)).difference(words):
-            plain_ascii = w.isascii() and w.isprintable()
-            letters = w.replace(" ", _SPACE_LETTER) if plain_ascii else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_LETTERS)
-            words[w] = array("I", [*map(_TOKEN_ID, merge(letters))]).tobytes()
-        for p, parts in zip(plain, found, strict=True):
-            known[p] = words[parts[0]] if len(parts) == 1 else b"".join(map(words.__getitem__, parts))
+            if core.isascii() and core.isalpha():  # one word of ASCII letters, and what ends it
+                rest = (p[len(core):],) if len(core) < len(p) else ()
+            else:
+                first, *rest = self.splits(f" {p}")
+                core = first[1:]
+            data = known.get(core)  # the first word is a piece of its own
+            if data is None:
+                data = merged(f" {core}")
+                if rest and core.strip() == core != "":
+                    known[core] = data
+            for w in rest:
+                ids = words.get(w)
+                if ids is None:
+                    ids = words[w] = merged(w)
+                data += ids
+            known[p] = data
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text."""
