@@ -35,7 +35,7 @@ def best_widths(values: np.ndarray) -> tuple[int, ...]:
     """Chunk widths with the least total size: a shortest path over the bit lengths of the values."""
     longest = int(values.max()).bit_length() if values.size else 0
     top = max(STEP, longest + -longest % STEP)
-    longer = [np.count_nonzero(values >= np.uint64(1 << b)) if b else values.size for b in range(0, top, STEP)]  # values that reach level bit b
+    longer = [np.count_nonzero(values >= values.dtype.type(1 << b)) if b else values.size for b in range(0, top, STEP)]  # values that reach level bit b
     flag = 1 + 32 / BLOCK_BITS
     best: list[tuple[float, tuple[int, ...]]] = [(0.0, ())] * (len(longer) + 1)
     for i in range(len(longer) - 1, -1, -1):
@@ -45,7 +45,7 @@ def best_widths(values: np.ndarray) -> tuple[int, ...]:
 
 
 def _pack(chunks: np.ndarray, width: int) -> bytes:
-    low = np.ascontiguousarray(chunks.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :-(-width // 8)])
+    low = np.ascontiguousarray(chunks.view(np.uint8).reshape(-1, chunks.itemsize)[:, :-(-width // 8)])
     if width % 8 == 0:
         return low.tobytes()
     parts = np.empty((len(low), 2 * low.shape[1]), dtype=np.uint8)
@@ -57,15 +57,19 @@ def _pack(chunks: np.ndarray, width: int) -> bytes:
 
 def encode(values: np.ndarray, widths: tuple[int, ...] | None = None) -> bytes:
     """The codes of unsigned integers below 2**60; `widths` are multiples of 4 that together hold the largest."""
-    values = np.asarray(values, dtype=np.uint64)
+    values = np.asarray(values)
+    values = values.astype("<u4" if values.dtype == np.uint32 else "<u8", copy=False)
     widths = widths or best_widths(values)
     if any(w <= 0 or w % STEP for w in widths) or (values.size and int(values.max()) >> sum(widths)):
         raise ValueError("chunk widths must be multiples of 4 that hold the largest value")
+    if max(widths) > 8 * values.itemsize:
+        values = values.astype("<u8")
+    whole = values.dtype.type
     out = [_padded(struct.pack(_HEAD, values.size, len(widths)) + bytes(widths))]
     for level, width in enumerate(widths):
-        out.append(struct.pack("<Q", values.size) + _padded(_pack(values & np.uint64((1 << width) - 1), width)))
-        values = values >> np.uint64(width)
+        out.append(struct.pack("<Q", values.size) + _padded(_pack(values & whole((1 << width) - 1), width)))
         if level < len(widths) - 1:
+            values = values >> whole(width)
             more = values > 0
             bits = np.zeros(_aligned(-(-more.size // 8)), dtype=np.uint8)
             packed = np.packbits(more, bitorder="little")

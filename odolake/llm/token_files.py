@@ -8,15 +8,21 @@ ranges of ascending document ids, and the number of ids before a segment comes f
 
 from __future__ import annotations
 
+import os
 import re
+import string
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
-from operator import attrgetter
+from codecs import charmap_decode
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,9 +36,11 @@ from .tables import column, small_batches
 END_ID = 2
 SEGMENT_IDS = 1 << 20
 SEGMENTS_PER_FILE = 16
-CACHED_PIECES = 500_000  # pieces of text whose ids a task remembers at a time
+CACHED_PIECES = 500_000  # pieces with other characters than letters whose ids a task remembers at a time
 CACHED_CHARS = 40  # longer pieces are encoded where they stand
-TEXTS_AT_ONCE = 200
+CHARS_AT_ONCE = 16 << 20  # of texts that are held together
+WORDS_AT_ONCE = 10_000
+PIECES_AT_ONCE = 100_000
 _MAGIC = b"ODTK\x01\0\0\0"
 _HEAD = "<8sQqqqq"  # magic, bytes, part, number, documents, ids
 _HEAD_BYTES = struct.calcsize(_HEAD)
@@ -40,88 +48,148 @@ _HEAD_BYTES = struct.calcsize(_HEAD)
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
-_BYTE_LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
-_SPACE_LETTER = _BYTE_LETTERS[32]
-_ENDS = ",.;:!?"  # after letters they are one word, which has no apostrophe
-_TOKEN_ID = attrgetter("id")
+_BYTE_LETTERS = "".join(chr(b if b in _SHOWN else 256 + _HIDDEN.index(b)) for b in range(256))
+_ENDS = string.punctuation.replace("'", "")  # after letters they are one word, which has no apostrophe
+# letters in every version of Unicode, and what ends them
+_LETTERS_AND_ENDS = f"^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[{re.escape(_ENDS)}]*$"
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ROWS = "part int, number bigint, place bigint, doc_id bigint, first bigint, n_tokens bigint, ids_crc32 bigint, last_id bigint"
 
 
+def _taken(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The runs of `ids` with the wanted numbers, one after the other."""
+    counts = sizes[wanted]
+    ends = np.cumsum(counts)
+    return ids[np.repeat(starts[wanted] - ends + counts, counts) + np.arange(int(ends[-1]) if ends.size else 0)]
+
+
 class PieceEncoder:
-    """Ids of whole texts, with every different piece of text encoded by the library once while it is remembered.
+    """Ids of whole texts, with every different piece of the texts that are held together encoded by the library once.
 
     A text is cut at each single space between two characters that are no white space. A byte-level pre-tokenizer always
-    begins a token with such a space, and merges stay inside its tokens, so the ids of the pieces are the ids of the text. Words
-    that stand in several pieces are merged once. Tokenizers of another kind get whole texts.
+    begins a token with such a space, and merges stay inside its tokens, so the ids of the pieces are the ids of the text. Words of
+    letters go to the library many at a time, behind a pre-tokenizer that cuts at spaces alone; other pieces are cut into words
+    here and remembered. Tokenizers of another kind get whole texts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         kind = repr(self.tokenizer.pre_tokenizer)
         self.cuts = kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind and self.tokenizer.normalizer is None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}  # ids of pieces that follow a space
-        self.words: dict[str, bytes] = {}  # ids of words
+        if self.cuts and hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # words are asked once, and the library never frees the cache of a tokenizer that has gone
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaces = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)  # ids that begin with a space
+        self.spaces[[i for token, i in vocabulary.items() if token.startswith(_BYTE_LETTERS[32])]] = True
+        self.spaced = Tokenizer(self.tokenizer.model)
+        self.spaced.pre_tokenizer = pre_tokenizers.Split(_BYTE_LETTERS[32], "merged_with_next")
+        self.known: dict[str, bytes] = {}  # ids of pieces that follow a space and are no word of letters
+        self.words: dict[str, bytes] = {}  # ids of words in them
         self.splits = regex.compile(WORD_PATTERN).findall
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Keep the ids of pieces that follow a space; a word that stands in several is merged once."""
-        known, words, merge = self.known, self.words, self.tokenizer.model.tokenize
-
-        def merged(word: str) -> bytes:
-            plain = word.isascii() and word.isprintable()
-            letters = word.replace(" ", _SPACE_LETTER) if plain else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_LETTERS)
-            return array("I", [*map(_TOKEN_ID, merge(letters))]).tobytes()
-
-        for p in pieces:
-            if len(p) > CACHED_CHARS:
-                known[p] = self._whole(f" {p}")
-                continue
-            core = p.rstrip(_ENDS)
-            if core.isascii() and core.isalpha():  # one word of ASCII letters, and what ends it
-                rest = (p[len(core):],) if len(core) < len(p) else ()
-            else:
-                first, *rest = self.splits(f" {p}")
-                core = first[1:]
-            data = known.get(core)  # the first word is a piece of its own
-            if data is None:
-                data = merged(f" {core}")
-                if rest and core.strip() == core != "":
-                    known[core] = data
-            for w in rest:
-                ids = words.get(w)
-                if ids is None:
-                    ids = words[w] = merged(w)
-                data += ids
-            known[p] = data
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            letters = charmap_decode(word.encode("utf-8", "surrogatepass"), "strict", _BYTE_LETTERS)[0]
+            ids = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that follows a space."""
+        ids = self.known.get(piece)
+        if ids is None:
+            if len(piece) > CACHED_CHARS:
+                return self._whole(f" {piece}")
+            ids = b"".join(map(self._word, self.splits(f" {piece}")))
+            if piece and piece.strip() == piece:
+                self.known[piece] = ids
+        return ids
+
+    def _letter_words(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Ids of words of letters that follow a space, and how many each has."""
+        steps = np.append(np.arange(0, len(words), WORDS_AT_ONCE), len(words))
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(steps), words), pa.scalar(" ", pa.large_string()))
+        ids, sizes = [], [np.empty(0, dtype=np.int64)]
+        for text, count in zip(joined.to_pylist(), np.diff(steps).tolist(), strict=True):
+            letters = charmap_decode(f" {text}".encode(), "strict", _BYTE_LETTERS)[0]
+            (found,) = self.spaced.encode_batch_fast([letters], add_special_tokens=False)
+            ids.append(np.array(found.ids, dtype=np.uint32))
+            begins = np.flatnonzero(self.spaces[ids[-1]])  # a word's only space is its first letter
+            if begins.size != count:
+                raise ValueError("the tokenizer gives no id to a space")
+            sizes.append(np.diff(begins, append=ids[-1].size))
+        return [x.tobytes() for x in ids], np.concatenate(sizes)
+
+    def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(bounds of the texts, number of each piece, the different pieces)."""
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds, pieces = np.asarray(cut.offsets), cut.flatten().dictionary_encode()
+        numbers, names = np.asarray(pieces.indices), pieces.dictionary
+        odd = np.flatnonzero(~np.asarray(pc.match_substring_regex(names, _LETTERS_AND_ENDS)))
+        loose = np.zeros(len(names), dtype=bool)
+        loose[odd] = [p.strip() != p or not p for p in names.take(pa.array(odd)).to_pylist()]
+        if not loose.any():
+            return bounds, numbers, names
+        # a space beside other white space: such a text is cut at the single spaces only
+        held = np.add.reduceat(loose[numbers], bounds[:-1], dtype=np.int64).tolist()
+        parts = [_INNER_SPACE.split(text) if n else [] for text, n in zip(texts, held, strict=True)]
+        more = pa.array(chain.from_iterable(parts), pa.large_string()).dictionary_encode()
+        added = np.split(np.asarray(more.indices) + len(names), np.cumsum([len(p) for p in parts])[:-1])
+        all_numbers = [new if new.size else numbers[a:b] for new, a, b in zip(added, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return np.cumsum([0, *map(len, all_numbers)]), np.concatenate(all_numbers), pa.concat_arrays([names, more.dictionary])
+
+    def _together(self, texts: list[str]) -> Iterator[np.ndarray]:
+        whole = [not self.cuts or any(t in text for t in self.added) for text in texts]
+        bounds, numbers, names = self._pieces(["" if w else text for w, text in zip(whole, texts, strict=True)])
+        firsts = bounds[:-1]  # no space stands before the first piece of a text
+        own = [self._whole(text if w else first) for w, text, first in zip(whole, texts, names.take(pa.array(numbers[firsts])).to_pylist(), strict=True)]
+        numbers = numbers.astype(np.int64)
+        numbers[firsts] = np.arange(len(names), len(names) + len(texts))
+        used = np.bincount(numbers, minlength=len(names))[:len(names)] > 0
+        letters = used & np.asarray(pc.match_substring_regex(names, _LETTERS_AND_ENDS))
+        odd = np.flatnonzero(used & ~letters)
+        plain = names.filter(pa.array(letters))
+        words, ends = pc.utf8_rtrim(plain, _ENDS).dictionary_encode(), pc.replace_substring_regex(plain, f"[^{re.escape(_ENDS)}]+", "").dictionary_encode()
+        if len(self.known) > CACHED_PIECES:
+            self.known, self.words = {}, {}
+        data, sizes = self._letter_words(words.dictionary)
+        rest = [*map(self._word, ends.dictionary.to_pylist()), *map(self._piece, names.take(pa.array(odd)).to_pylist()), *own, b""]
+        sizes = np.concatenate([sizes, np.array([*map(len, rest)]) // 4])
+        # a piece is a run of ids and one that ends it: the last one is empty
+        runs = np.full((len(names) + len(texts), 2), sizes.size - 1)
+        at = len(words.dictionary)
+        runs[:len(names)][letters] = np.column_stack([np.asarray(words.indices), np.asarray(ends.indices) + at])
+        at += len(ends.dictionary)
+        runs[odd, 0] = np.arange(at, at + odd.size)
+        runs[len(names):, 0] = np.arange(at + odd.size, sizes.size - 1)
+        ids = _taken(np.frombuffer(b"".join([*data, *rest]), np.uint32), np.cumsum(sizes) - sizes, sizes, runs.ravel())
+        sizes = sizes[runs].sum(axis=1)
+        starts = np.cumsum(sizes) - sizes
+        begin = 0
+        while begin < len(texts):  # a bounded number of pieces at a time, or one text
+            end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + PIECES_AT_ONCE, "right")) - 1)
+            some = numbers[bounds[begin]:bounds[end]]
+            places = np.append(0, np.cumsum(sizes[some]))[bounds[begin + 1:end] - bounds[begin]]
+            yield from np.split(_taken(ids, starts, sizes, some), places)
+            begin = end
+
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of each text."""
-        for begin in range(0, len(texts), TEXTS_AT_ONCE):
-            some = texts[begin:begin + TEXTS_AT_ONCE]
-            cut = [text.split(" ") if self.cuts and not any(t in text for t in self.added) else None for text in some]
-            if len(self.known) > CACHED_PIECES:
-                self.known, self.words = {}, {}
-            fresh = set().union(*[c for c in cut if c]).difference(self.known)
-            loose = {p for p in fresh if p.strip() != p or not p}  # remembered pieces are not
-            if loose:
-                for i, parts in enumerate(cut):
-                    if parts and not loose.isdisjoint(parts):  # a space beside other white space: cut at the single spaces only
-                        cut[i] = _INNER_SPACE.split(some[i])
-                fresh = set().union(*[c[1:] for c in cut if c]).difference(self.known)
-            self._learn(fresh)
-            for text, parts in zip(some, cut, strict=True):
-                data = self._whole(text) if parts is None else b"".join([self._whole(parts[0]), *map(self.known.__getitem__, parts[1:])])
-                yield np.frombuffer(data, np.uint32)
-            for p in fresh:
-                if len(p) > CACHED_CHARS or p.strip() != p or not p:
-                    del self.known[p]
+        held, chars = [], 0
+        for text in texts:
+            held.append(text)
+            chars += len(text)
+            if chars >= CHARS_AT_ONCE:
+                yield from self._together(held)
+                held, chars = [], 0
+        if held:
+            yield from self._together(held)
 
 
 class Segment:
@@ -166,17 +234,22 @@ def open_segments(data: bytes) -> Iterator[Segment]:
 
 def _segment_rows(path: str, end_id: int, segment_ids: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encoder, part, number = PieceEncoder(path), TaskContext.get().partitionId(), 0
-        doc_ids, arrays, held = [], [], 0
-        for batch in batches:
-            keys = [None if null else key for key, null in zip(batch["key"].tolist(), batch["unnumbered"], strict=True)]
-            for key, ids in zip(keys, encoder.encode(batch["text"].tolist()), strict=True):
-                doc_ids.append(key)
-                arrays.append(np.append(ids, np.uint32(end_id)))
-                held += ids.size + 1
-                if held >= segment_ids:
-                    yield pd.DataFrame({"value": [segment_bytes(part, number, doc_ids, arrays)]})
-                    doc_ids, arrays, held, number = [], [], 0, number + 1
+        keys, doc_ids, arrays, held = deque(), [], [], 0
+
+        def texts() -> Iterator[str]:
+            for batch in batches:
+                keys.extend(None if null else key for key, null in zip(batch["key"].tolist(), batch["unnumbered"], strict=True))
+                yield from batch["text"].tolist()
+
+        for ids in encoder.encode(texts()):
+            doc_ids.append(keys.popleft())
+            arrays.append(np.append(ids, np.uint32(end_id)))
+            held += ids.size + 1
+            if held >= segment_ids:
+                yield pd.DataFrame({"value": [segment_bytes(part, number, doc_ids, arrays)]})
+                doc_ids, arrays, held, number = [], [], 0, number + 1
         if doc_ids:
             yield pd.DataFrame({"value": [segment_bytes(part, number, doc_ids, arrays)]})
     return run

@@ -17,6 +17,7 @@ from odolake.llm import shallot
 from odolake.llm.direct_codes import Codes, best_widths, encode
 from odolake.llm.filter_audit import audit_filters
 from odolake.llm.shallot import cluster_vectors
+from odolake.llm import token_files
 from odolake.llm.token_files import PieceEncoder, open_segments, read_tokens, segment_bytes, write_tokens
 from odolake.session import shared_dir
 
@@ -71,6 +72,26 @@ def test_plain_words_need_no_pattern_and_edge_space_is_not_remembered():
     assert asked == [" it's"]
 
 
+def test_words_of_letters_go_to_the_library_together(monkeypatch):
+    texts = ["une été, naïve%%% (x) end.\nNext it's", "", "alone", "  two  spaces à  ", "été, été, <|endoftext|> x", "Ŝĉĝ… Ġa ĠĠ, über($)"] * 3
+    encoder, asked = PieceEncoder(BPE), []
+    expected = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    encoder.splits = lambda piece, splits=encoder.splits: asked.append(piece) or splits(piece)
+    assert [x.tolist() for x in encoder.encode(iter(texts))] == expected
+    assert sorted(asked) == sorted([" (x)", " end.\nNext", " it's", " à  "])
+    monkeypatch.setattr(token_files, "CHARS_AT_ONCE", 30)
+    monkeypatch.setattr(token_files, "WORDS_AT_ONCE", 2)
+    monkeypatch.setattr(token_files, "PIECES_AT_ONCE", 3)
+    assert [x.tolist() for x in PieceEncoder(BPE).encode(iter(texts))] == expected
+
+
+def test_narrow_integers_have_the_same_codes():
+    values = np.array([0, 5, 70_000, 2**32 - 1, 16], dtype=np.uint32)
+    for widths in (None, (8, 8, 16), (32,), (4, 40)):
+        assert encode(values, widths) == encode(values.astype(np.uint64), widths)
+        assert Codes(encode(values, widths)).decode().tolist() == values.tolist()
+
+
 def test_token_files_round_trip(spark):
     texts = {1: "one two  three\n four", 2: None, 3: "", 5: "word " * 30_000 + "y" * 5_000, 7: "é" * 50, 8: "<|endoftext|> x", 10: "last"}
     rows = [(i, t, -i) for i, t in texts.items()] + [(None, "no id", 0), (None, "no id", 0), (5, "again", 0), (7, "é" * 50, 1)]
