@@ -23,7 +23,8 @@ HIDDEN = 8
 BLOCK = 4_096  # segments stepped through at a time
 SAMPLE_PER_LANGUAGE = 600  # labelled texts that training reads, at most twice as many
 SAMPLE_CHARS = 2_000  # of each, from a place that its hash picks
-MAX_LANGUAGES = 256
+FULL_SAMPLES = 256  # languages with samples of that size; of more, each has a smaller one, and none is left out
+LEAST_SAMPLE = 20
 STEPS = 300
 UNKNOWN = "und"
 HELD_OUT = (4, 2)  # folds, fold that is never learned from
@@ -163,6 +164,7 @@ class ByteGRU:
         """(texts, languages); a row of zeros for a text without letters."""
         p = self._applied()
         out = np.zeros((len(texts), len(self.languages)))
+        block = max(1, BLOCK * FULL_SAMPLES // max(FULL_SAMPLES, len(self.languages)))
         held: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         count = 0
@@ -171,9 +173,9 @@ class ByteGRU:
             nonlocal count
             if held:
                 segments, owner = np.concatenate(held), np.concatenate(owners)
-                for begin in range(0, len(segments), BLOCK):
-                    sums = self._block(np.ascontiguousarray(segments[begin:begin + BLOCK].T), p)
-                    np.add.at(out, owner[begin:begin + BLOCK], sums.T)
+                for begin in range(0, len(segments), block):
+                    sums = self._block(np.ascontiguousarray(segments[begin:begin + block].T), p)
+                    np.add.at(out, owner[begin:begin + block], sums.T)
             held.clear()
             owners.clear()
             count = 0
@@ -199,16 +201,21 @@ class ByteGRU:
 
 def training_sample(docs: DataFrame, id_column: str = "doc_id", label: str = "lang", text: str = "text",
                     per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(language, excerpt) of labelled texts outside the held-out fold, about `per_language` different ones each."""
+    """(language, excerpt) of labelled texts outside the held-out fold, about `per_language` different ones each.
+
+    Beyond FULL_SAMPLES languages the samples shrink with their number, down to LEAST_SAMPLE texts, so that every language is learned.
+    """
     usable = docs.select(column(docs, id_column).alias("i"), column(docs, label).alias("l"), column(docs, text).alias("t")).filter(
         F.col("l").isNotNull() & F.col("t").isNotNull() & (fold("i", HELD_OUT[0]) != HELD_OUT[1]))
-    counts = usable.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy("l").count().collect()
     if not counts:
         return []
+    if len(counts) > FULL_SAMPLES:
+        per_language = min(per_language, max(LEAST_SAMPLE, per_language * FULL_SAMPLES // len(counts)))
     place = F.pmod(F.xxhash64("t"), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1e6, 1e6 * 1.5 * per_language / r["count"]))])
+    shares = docs.sparkSession.createDataFrame([(r["l"], min(1e6, 1e6 * 1.5 * per_language / r["count"])) for r in counts], "l string, share double")
     begin = F.pmod(F.xxhash64("t", F.lit(1)), F.greatest(F.lit(1), F.length("t") - SAMPLE_CHARS + 1)).cast("int") + 1
-    excerpts = usable.filter(place < share[F.col("l")]).select(
+    excerpts = usable.join(F.broadcast(shares), "l").filter(place < F.col("share")).select(  # one row per language
         "l", F.substring("t", begin, F.lit(SAMPLE_CHARS)).alias("t"), F.xxhash64("t", F.lit(2)).alias("h"))
     rows = excerpts.dropDuplicates(["l", "t"]).orderBy("h", "l", "t").limit(2 * per_language * len(counts)).collect()
     return [(r["l"], r["t"]) for r in rows]

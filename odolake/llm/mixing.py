@@ -1,6 +1,6 @@
 """Mixing documents to target weights by soft membership.
 
-A naive Bayes classifier over hashed words, fitted on labelled rows, gives each document's posterior over the domains. Document
+A naive Bayes classifier over hashed words, fitted on all labelled rows, gives each document's posterior over the domains. Document
 rates r >= 0 then minimise the distance between the expected tokens of the domains, sum of r * tokens * posterior, and
 their targets, by projected gradient steps. The step is scaled by the domains' Gram matrix, so a step solves the problem as
 long as no rate is at zero. Every step is one aggregate of a few sums; a document's rate follows from those sums alone,
@@ -15,11 +15,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.frames import lookup
 from ..session import materialize
 from .tables import column
 
 BUCKETS = 4_096  # of hashed words
-LABELLED_ROWS = 20_000  # that the classifier is fitted on at most
 EVIDENCE = 200.0  # words that a text's evidence counts for at most, which keeps long texts' posteriors soft
 STEPS = 60
 TOLERANCE = 1e-7
@@ -59,8 +59,7 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str])
     rows = docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text"))
     marks = labelled.select(column(labelled, "doc_id").alias("doc_id"), column(labelled, "domain").alias("domain")).filter(
         F.col("doc_id").isNotNull() & F.col("domain").isin(domains))
-    some = marks.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(LABELLED_ROWS)
-    evidence, priors = _evidence(rows.join(F.broadcast(some), "doc_id"), domains)
+    evidence, priors = _evidence(lookup(rows, marks.distinct(), ["doc_id"]), domains)
     known = _words(rows).join(F.broadcast(evidence), "bucket", "left")  # one row per bucket
     ks = range(len(domains))
     sums = known.groupBy("doc_id", "h").agg(

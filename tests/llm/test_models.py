@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from odolake.llm import masked_lm
-from odolake.llm.language import SEGMENT, ByteGRU, identify_languages, keep_identified
+from odolake.llm.language import SEGMENT, ByteGRU, identify_languages, keep_identified, train_language_model, training_sample
 from odolake.llm.masked_lm import score_texts, train_masked_lm
 from odolake.llm.mixing import domain_posteriors, mixing_rates
 from odolake.llm.quality import isotonic, score_quality, statistics
@@ -81,6 +83,15 @@ def test_language_held_out_accuracy_and_odd_rows(odd):
     assert identify_languages(odd.filter("false")).count() == 0
 
 
+def test_no_language_is_left_out_for_their_number(spark):
+    texts = spark.range(1_800).selectExpr("id AS doc_id", "concat('l', id % 300) AS lang", "concat('text ', id) AS text")
+    sample = training_sample(texts)
+    learned = {(f"l{i % 300}", f"text {i}") for i in range(1_800) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert set(sample) == learned and len(sample) == len(learned) and len({lang for lang, _ in learned}) == 300
+    model = train_language_model(texts)
+    assert len(model.languages) == 300 and np.allclose(model.distributions(["text 1"] * 3).sum(axis=1), 1)
+
+
 def test_isotonic_fit_is_the_best_nondecreasing_one():
     values, weights = np.array([0.1, 0.5, 0.3, 0.2, 0.9, 0.8]), np.array([1.0, 1, 2, 1, 1, 3])
     x, y = isotonic(np.arange(6.0), values, weights)
@@ -183,6 +194,13 @@ def test_mixing_rates_solve_the_least_squares_problem(spark):
     assert (got["rate"].to_numpy()[::3] < 0.01).all()
 
 
+def test_every_labelled_row_teaches_the_domains(spark):
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "'x' AS text").unionByName(spark.createDataFrame([(-1, None)], "doc_id bigint, text string"))
+    labels = spark.range(24_000).selectExpr("id AS doc_id", "if(id % 4 = 0, 'b', 'a') AS domain")
+    (prior,) = domain_posteriors(docs, labels, ["a", "b"]).filter("doc_id = -1").collect()
+    assert prior["p0"] == pytest.approx(18_001 / 24_002, abs=1e-12)
+
+
 def test_mixing_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "a"), (3, None), (4, "other")], "doc_id bigint, domain string")
     rows = mixing_rates(odd, labels, {"a": 1.0, "b": 1.0}).toPandas()
